@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe
+from tessera.llm import bpe, cluster, mixing, quality_rules, suffix_dedup, topk, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -15,13 +15,64 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(spark, _table(spark, sf_dir, "documents"), depth=50, digests_only=True)
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(spark, _table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, digests_only=True)
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark, _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP7_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and vec_id is not null),
+s as (
+  select q.vec_id as query_id, d.vec_id, cast(list_inner_product(q.e, d.e) as bigint) as score
+  from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
+def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = cluster.new_path(spark, "warc")
+    warc.write_pages(spark, _table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d from pages),
+w as (select *, max(page_id) over (partition by d) as top from p)
+select page_id, cast(n as bigint) as payload_bytes, d as payload_digest,
+  case when n >= 1000 and page_id < top then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and page_id < top then top end as refers_to
+from w
+"""
+
+
 def queries():
-    return {"op5_byte_bpe": op5_byte_bpe}
+    return {
+        "op2_suffix_array_dedup": op2_suffix_array_dedup,
+        "op3_source_mixing": op3_source_mixing,
+        "op4_quality_rules": op4_quality_rules,
+        "op5_byte_bpe": op5_byte_bpe,
+        "op7_exact_topk": op7_exact_topk,
+        "op9_arc_to_warc": op9_arc_to_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_topk": OP7_SQL, "op9_arc_to_warc": OP9_SQL}
