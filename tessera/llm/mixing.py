@@ -144,3 +144,14 @@ def taken(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", source_c
     per = segments.groupBy("key", "row").agg(F.sum("n_words").alias("taken"))
     out = sized.join(per, ["key", "row"], "left")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+def repeat_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """docs with each row as often as the mix takes its words, to the nearest whole number (0 to 3); all columns stay.
+
+    Rows of one id are repeated alike. A document without words has none to take, and goes.
+    """
+    per = taken(spark, docs, id_col, source_col, text_col).groupBy(F.col(id_col).alias("_id")).agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
+    per = per.where("s > 0").select("_id", F.round(F.col("t") / F.col("s")).cast("int").alias("_copies")).where("_copies > 0")
+    out = docs.join(per, docs[id_col].eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return out.select(*(docs[c] for c in docs.columns))

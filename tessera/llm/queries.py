@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, cluster, mixing, quality_rules, suffix_dedup, topk, warc
+from tessera.llm import bpe, cluster, html_extract, mixing, pii, quality_model, quality_rules, simhash, suffix_dedup, topk, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(spark, _table(spark, sf_dir, "pages"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(spark, _table(spark, sf_dir, "documents"), depth=50, digests_only=True)
 
@@ -31,6 +35,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, digests_only=True)
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(spark, _table(spark, sf_dir, "documents"))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(spark, _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -47,6 +55,12 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("pii_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined(F.col("pii_base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("pii_spans")).alias("spans"))
+
+
 def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = cluster.new_path(spark, "warc")
     warc.write_pages(spark, _table(spark, sf_dir, "pages"), path)
@@ -63,14 +77,23 @@ from w
 """
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_model.score(spark, docs, quality_model.fit(spark, docs, _table(spark, sf_dir, "labels")))
+
+
 def queries():
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_source_mixing": op3_source_mixing,
         "op4_quality_rules": op4_quality_rules,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_simhash_dedup": op6_simhash_dedup,
         "op7_exact_topk": op7_exact_topk,
+        "op8_pii": op8_pii,
         "op9_arc_to_warc": op9_arc_to_warc,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 

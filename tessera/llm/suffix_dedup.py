@@ -33,6 +33,9 @@ from tessera.llm import vectext as vt
 U64 = np.uint64
 #: Bytes handled at once; longer documents are cut here, with an overlap of the depth.
 SEGMENT = 1 << 18
+#: Bytes of text that make a place. Blocks go from places to places, so their number follows the data and not
+#: the cluster's number of partitions.
+PLACE_BYTES = 4 << 20
 _LAST = np.iinfo(np.int64).max  # stands for a null id, after all others
 _ANCHORS, _SETTLED, _OPEN, _WINDOWS = 0, 1, 2, 3
 
@@ -363,8 +366,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = 50, id_col
     """
     cluster.ship(spark)
     anchor = anchor or max(1, min(20, depth // 2))
-    n = 4 * cluster.shuffle_partitions(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(1 << 24, total // PLACE_BYTES + 1)
 
     dealt = rows.mapInArrow(lambda batches: _scan(batches, n, depth, anchor), _ROWS)
     told = cluster.materialize(spark, dealt.groupBy("kind", "place").applyInArrow(lambda key, t: _order_runs(key, t, n), _ROWS), "runs")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.llm import cluster
 
 BLOCK_ROWS, SHARD_ROWS, GROUP_QUERIES = 256, 16_384, 8_192
-_FIELDS = "part int, n int, ids binary, dims binary, values binary"
+_FIELDS = "part int, block long, ids binary, dims binary, values binary"
 
 
 def usable(vector: Column) -> Column:
@@ -41,12 +41,12 @@ def _pack(batches, scale: float):
     ids = np.concatenate([b.column(0).to_numpy() for b in rows])
     lists = [x for b in rows for x in _vectors(b.column(1))]
     order = np.argsort(ids, kind="stable")
-    for lo in range(0, len(order), BLOCK_ROWS):
+    for k, lo in enumerate(range(0, len(order), BLOCK_ROWS)):
         mine = order[lo : lo + BLOCK_ROWS]
         vectors = [np.floor(scale * lists[i]) for i in mine.tolist()]
         sizes = np.array([len(v) for v in vectors], np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([len(mine)], pa.int32()), pa.array([ids[mine].tobytes()]), pa.array([sizes.tobytes()]), pa.array([np.concatenate(vectors).tobytes()])], ["part", "n", "ids", "dims", "values"]
+            [pa.array([part], pa.int32()), pa.array([(part << 24) + k], pa.int64()), pa.array([ids[mine].tobytes()]), pa.array([sizes.tobytes()]), pa.array([np.concatenate(vectors).tobytes()])], ["part", "block", "ids", "dims", "values"]
         )
 
 
@@ -128,13 +128,14 @@ def search(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 5, i
     blocks = blocks.withColumn("part", F.pmod("part", F.lit(shards))).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     asked = asked.withColumn("grp", F.pmod("part", F.lit(groups))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
-    def cell(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         width = max(_width(left), _width(right))
         ids, values = _matrix(left, width)
         q_ids, q_values = _matrix(right, width)
-        names = ["query", "query_id", "id", "score"]
+        # A query is told apart by its block and place there, which all cells share.
+        query = np.concatenate([(b << 16) + np.arange(len(i)) for b, i in zip(right.column("block").to_pylist(), q_ids)]) if q_ids else np.zeros(0, np.int64)
         if not ids or not q_ids:
-            return pa.table({n: pa.array([], pa.string() if n == "query" else pa.int64()) for n in names})
+            return pa.table({n: pa.array([], pa.int64()) for n in ("query", "query_id", "id", "score")})
         query_ids, queries = np.concatenate(q_ids), np.concatenate(q_values)
         parts, step = [], 1024
         for lo in range(0, len(query_ids), step):
@@ -142,9 +143,8 @@ def search(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 5, i
             parts.append((q + lo, f, s))
         q, f, s = (np.concatenate(x) for x in zip(*parts))
         s = np.clip(s, -(1 << 63), (1 << 63) - 1) if s.dtype == object else s
-        g = key[1].as_py()
-        return pa.table({"query": pa.array([f"{g}:{x}" for x in q.tolist()]), "query_id": pa.array(query_ids[q]), "id": pa.array(f), "score": pa.array([int(x) for x in s], pa.int64())})
+        return pa.table({"query": pa.array(query[q]), "query_id": pa.array(query_ids[q]), "id": pa.array(f, pa.int64()), "score": pa.array([int(x) for x in s], pa.int64())})
 
-    met = blocks.groupBy("part", "grp").cogroup(asked.groupBy("part", "grp")).applyInArrow(cell, "query string, query_id long, id long, score long")
+    met = blocks.groupBy("part", "grp").cogroup(asked.groupBy("part", "grp")).applyInArrow(cell, "query long, query_id long, id long, score long")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "id"))
     return met.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

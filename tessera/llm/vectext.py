@@ -134,9 +134,9 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarr
         h = words.copy()
         for j in range(1, k):
             h = h * U64(0x100000001B3F)
-            upto = len(words) - j
-            if upto > 0:
-                h[:upto] += np.where(left[:upto] > j, words[j:] * U64(2 * j + 1), U64(j))
+            upto = max(0, len(words) - j)
+            h[:upto] += np.where(left[:upto] > j, words[j:] * U64(2 * j + 1), U64(j))
+            h[upto:] += U64(j)
     h, doc = mix(h[take]), doc[take]
     out, sizes = [], np.zeros(n_docs, np.int64)
     for lo in range(0, n_docs, 1 << 19):  # the document's place takes the upper 20 bits of the sorting key
