@@ -77,8 +77,12 @@ def bodies_of(marks: Column, size: Column, profile: Profile) -> Column:
     return let(edges, walk)
 
 
-def split_oversized(body: Column, profile: Profile) -> Column:
+def split_oversized(whole_body: Column, profile: Profile) -> Column:
     """(text, off) of a body: itself within the limit, else pieces from the split points, else windows of the limit."""
+    return let(whole_body, lambda body: _split(body, profile))
+
+
+def _split(body: Column, profile: Profile) -> Column:
     size, most = F.length(body), profile.max_chars
     whole = F.array(F.struct(body.alias("text"), F.lit(0).alias("off")))
     windows = F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(most)), lambda o: F.struct(F.substring(body, o + 1, F.lit(most)).alias("text"), o.alias("off")))
@@ -93,6 +97,28 @@ def split_oversized(body: Column, profile: Profile) -> Column:
     return F.when(size <= most, whole).otherwise(let(find_all(body, HEADING_FLAGS + profile.split_at, 0), pieces))
 
 
+#: The level of a document without headings. A profile's own levels should have other names.
+FALLBACK = "document"
+
+
+def _chunks_of(text: Column, doc_id: Column, profile: Profile) -> Column:
+    """All chunks of a document as one array, so that marks are found once and no row carries more than its own text."""
+
+    def chunk(path: Column, level: str, number: Column, title: Column, body: Column, start: Column, end: Column) -> Column:
+        return F.struct(path.alias("path"), F.lit(level).alias("level"), number.alias("number"), title.alias("title"), body.alias("text"), start.alias("char_start"), end.alias("char_end"))
+
+    def parts(b: Column) -> Column:
+        def placed(raw: Column) -> Column:
+            at = b["pos"] + F.length(raw) - F.length(lstrip(raw))
+            return F.transform(split_oversized(strip(raw), profile), lambda p: chunk(b["path"], profile.chunk_at, b["number"], b["title"], p["text"], at + p["off"], at + p["off"] + F.length(p["text"])))
+
+        return let(F.substring(text, b["pos"] + 1, b["end"] - b["pos"]), placed)
+
+    stem = file_stem(doc_id)
+    whole = F.array(chunk(stem, FALLBACK, F.lit(""), stem, strip(text), F.lit(0), F.length(text)))
+    return let(marks_of(text, profile), lambda marks: F.when(F.size(marks) == 0, whole).otherwise(F.flatten(F.transform(bodies_of(marks, F.length(text), profile), parts))))
+
+
 def segment(docs: DataFrame, profile: Profile, page_map: DataFrame | None = None) -> DataFrame:
     """Chunks of documents (doc_id, text): id, doc_id, path, level, number, title, text, char_start, char_end, page, seq.
 
@@ -100,23 +126,9 @@ def segment(docs: DataFrame, profile: Profile, page_map: DataFrame | None = None
     chunk's level has no chunk. seq numbers a document's chunks. A null text is empty. With a page map
     (doc_id, page, char_start), each chunk has the last page that starts at or before it, or else the first.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    held = docs.select("doc_id", text.alias("text"), marks_of(text, profile).alias("marks"))
-    stem = file_stem(F.col("doc_id"))
-    bodies = held.where(F.size("marks") > 0).select("doc_id", "text", F.explode(bodies_of(F.col("marks"), F.length("text"), profile)).alias("b"))
-    raw = F.substring(F.col("text"), F.col("b.pos") + 1, F.col("b.end") - F.col("b.pos"))
-    bodies = bodies.select("doc_id", "b.*", raw.alias("raw")).withColumn("lead", F.length("raw") - F.length(lstrip(F.col("raw"))))
-    parts = bodies.select("doc_id", "pos", "path", "number", "title", "lead", F.explode(split_oversized(strip(F.col("raw")), profile)).alias("p"))
-    start = F.col("pos") + F.col("lead") + F.col("p.off")
-    cut = parts.select(
-        stable_id(F.col("doc_id"), F.col("path"), start.cast("string")).alias("id"), "doc_id", "path", F.lit(profile.chunk_at).alias("level"), "number", "title",
-        F.col("p.text").alias("text"), start.alias("char_start"), (start + F.length("p.text")).alias("char_end"), F.lit(None).cast("int").alias("page"),
-    )
-    plain = held.where(F.size("marks") == 0).select(
-        stable_id(F.col("doc_id"), F.lit("0")).alias("id"), "doc_id", stem.alias("path"), F.lit("document").alias("level"), F.lit("").alias("number"), stem.alias("title"),
-        strip(F.col("text")).alias("text"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), F.lit(None).cast("int").alias("page"),
-    )
-    chunks = cut.unionByName(plain)
+    rows = docs.select("doc_id", F.explode(_chunks_of(F.coalesce(F.col("text"), F.lit("")), F.col("doc_id"), profile)).alias("c")).select("doc_id", "c.*")
+    key = F.when(F.col("level") == FALLBACK, stable_id(F.col("doc_id"), F.lit("0"))).otherwise(stable_id(F.col("doc_id"), F.col("path"), F.col("char_start").cast("string")))
+    chunks = rows.select(key.alias("id"), "doc_id", "path", "level", "number", "title", "text", "char_start", "char_end", F.lit(None).cast("int").alias("page"))
     return chunks if page_map is None else stamp_pages(chunks, page_map)
 
 

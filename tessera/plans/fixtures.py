@@ -14,7 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One act for each order: its line items are articles, in order of line, part and supplier, that may cite another by number."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity").distinct()
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    # What follows a document costs far more than its bytes tell: keep as many partitions as are asked for.
+    items = items.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey").distinct()
     held = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("items"))
     cited = lambda x: (F.pmod(x["l_partkey"], F.lit(7)) + 1).cast("string")
     clause = lambda x: (
