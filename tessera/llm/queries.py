@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, cluster, html_extract, mixing, pii, quality_model, quality_rules, simhash, suffix_dedup, topk, warc
+from tessera.llm import bpe, cluster, html_extract, mixing, oracles, pii, quality_model, quality_rules, simhash, suffix_dedup, topk, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -43,18 +43,6 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(spark, _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-OP7_SQL = """
-with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
-  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and vec_id is not null),
-s as (
-  select q.vec_id as query_id, d.vec_id, cast(list_inner_product(q.e, d.e) as bigint) as score
-  from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0),
-r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
-select query_id, rank, vec_id, score from r where rank <= 5
-"""
-
-
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("pii_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -67,16 +55,6 @@ def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-OP9_SQL = """
-with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d from pages),
-w as (select *, max(page_id) over (partition by d) as top from p)
-select page_id, cast(n as bigint) as payload_bytes, d as payload_digest,
-  case when n >= 1000 and page_id < top then 'revisit' else 'response' end as record_type,
-  case when n >= 1000 and page_id < top then top end as refers_to
-from w
-"""
-
-
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_model.score(spark, docs, quality_model.fit(spark, docs, _table(spark, sf_dir, "labels")))
@@ -98,4 +76,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": OP7_SQL, "op9_arc_to_warc": OP9_SQL}
+    return dict(oracles.SQL)
