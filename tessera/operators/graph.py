@@ -110,11 +110,13 @@ def prune(nodes: DataFrame, edges: DataFrame, profile: Profile) -> tuple[DataFra
     kept = kept.drop("_label")
     types = [k.label for k in profile.relations]
     linked = edges.where(F.col("rel").isin(types))
-    linked = fix_direction(kept, linked, profile)
     linked = linked.withColumn("properties", _close_properties(F.coalesce("properties", F.create_map().cast("map<string,string>")), F.col("rel"), profile.relations))
+    # Each end's labels join once: dangling edges go, and both directions are judged on the same row.
     a, b = kept.select(F.col("id").alias("src"), F.col("labels").alias("_a")), kept.select(F.col("id").alias("dst"), F.col("labels").alias("_b"))
-    linked = linked.join(a, "src").join(b, "dst").where(_is_legal(F.col("_a"), F.col("rel"), F.col("_b"), profile)).drop("_a", "_b")
-    return kept, linked.select("src", "rel", "dst", "properties")
+    met = linked.join(a, "src").join(b, "dst").withColumn("_as_is", _is_legal(F.col("_a"), F.col("rel"), F.col("_b"), profile))
+    met = met.where(F.col("_as_is") | _is_legal(F.col("_b"), F.col("rel"), F.col("_a"), profile))
+    ends = lambda x, y: F.when(F.col("_as_is"), F.col(x)).otherwise(F.col(y)).alias(x)
+    return kept, met.select(ends("src", "dst"), "rel", ends("dst", "src"), "properties")
 
 
 def prompt(text: Column, profile: Profile) -> Column:
