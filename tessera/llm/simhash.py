@@ -104,12 +104,12 @@ def _deal(batches, width: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), t, np.int32)), pa.array(_sampled(bits, _SAMPLES[t, :width])), batch.column(0), batch.column(1)], ["table", "key", "id", "print"])
 
 
-def _deal_again(batches, width: int):
+def _deal_again(batches, width: int, cap: int):
     """Nodes of buckets over the cap, by additional bits: as many as the bucket's size asks for, under several samples."""
     for batch in batches:
         table, key, n = (batch.column(k).to_numpy() for k in (0, 1, 4))
         bits = np.unpackbits(_prints(batch.column(3)), axis=1)
-        more = np.minimum(np.ceil(np.log2(n / CAP)).astype(np.int64) + 2, 24)
+        more = np.minimum(np.ceil(np.log2(n / cap)).astype(np.int64) + 2, 24)
         for v in range(VARIANTS):
             fresh = np.zeros(len(bits), np.int64)
             for t in np.unique(table).tolist():
@@ -126,17 +126,17 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def spanning_forest(prints: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+def spanning_forest(prints: np.ndarray, most: int, rows: int = FOREST_ROWS) -> list[tuple[int, int, int]]:
     """A minimum spanning forest over distances of at most so much, in memory that is linear: (i, j, distance)."""
     n = len(prints)
-    if n > FOREST_ROWS:
+    if n > rows:
         links, leaders = [], []
-        for lo in range(0, n, FOREST_ROWS):
-            own = spanning_forest(prints[lo : lo + FOREST_ROWS], most)
+        for lo in range(0, n, rows):
+            own = spanning_forest(prints[lo : lo + rows], most, rows)
             links += [(i + lo, j + lo, d) for i, j, d in own]
-            leaders += sorted(set(range(lo, min(n, lo + FOREST_ROWS))) - {j + lo for _, j, _ in own})
+            leaders += sorted(set(range(lo, min(n, lo + rows))) - {j + lo for _, j, _ in own})
         if len(leaders) < n:
-            links += [(leaders[i], leaders[j], d) for i, j, d in spanning_forest(prints[leaders], most)]
+            links += [(leaders[i], leaders[j], d) for i, j, d in spanning_forest(prints[leaders], most, rows)]
         return links
     links = []
     best, near, out = np.full(n, 1 << 30), np.zeros(n, np.int64), np.ones(n, bool)
@@ -153,7 +153,7 @@ def spanning_forest(prints: np.ndarray, most: int) -> list[tuple[int, int, int]]
     return links
 
 
-def bucket_links(group: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket_links(group: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int, forest: int = FOREST_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidate links within buckets: group marks the first row of each."""
     n = len(ids)
     start = np.flatnonzero(group)
@@ -175,7 +175,7 @@ def bucket_links(group: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: i
     keep = ~np.isin(which[i], dense)
     i, j, dist = [i[keep]], [j[keep]], [dist[keep]]
     for g in dense.tolist():
-        if links := spanning_forest(prints[start[g] : start[g] + size[g]], most):
+        if links := spanning_forest(prints[start[g] : start[g] + size[g]], most, forest):
             x = np.array(links)
             i.append(x[:, 0] + start[g]), j.append(x[:, 1] + start[g]), dist.append(x[:, 2])
     i, j, dist = (np.concatenate(x) for x in (i, j, dist))
@@ -183,7 +183,7 @@ def bucket_links(group: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: i
     return a, b, dist
 
 
-def _link(batches, most: int):
+def _link(batches, most: int, forest: int):
     """Links of a partition's buckets, whose rows come sorted; a bucket that a batch cuts waits for the next."""
     held: list[tuple] = []
 
@@ -192,7 +192,7 @@ def _link(batches, most: int):
         prints = np.ascontiguousarray(np.concatenate([p[3] for p in parts])).view(U64)
         group = np.ones(len(ids), bool)
         group[1:] = (table[1:] != table[:-1]) | (key[1:] != key[:-1])
-        a, b, d = bucket_links(group, ids, prints, most)
+        a, b, d = bucket_links(group, ids, prints, most, forest)
         _, once = np.unique(np.stack([a, b]), axis=1, return_index=True) if len(a) else (None, np.zeros(0, np.int64))
         return pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once]), pa.array(d[once])], ["a", "b", "distance"])
 
@@ -275,25 +275,34 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     return out.select(blank(F.col("id")).alias(id_col), blank(F.coalesce("label", "id")).alias("class_id"), F.col("size").alias("n_shingles"))
 
 
+def _may_be(rows: DataFrame, ids: DataFrame, words: int = 1 << 17) -> DataFrame:
+    """rows without most of those whose id is not one of ids: a bitmap of hashed ids, of this many words at most, meets them where they are read."""
+    h = F.xxhash64("id")
+    place, bit = F.pmod(h, F.lit(words)).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int"))
+    bits = ids.select(place, bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return rows.withColumn("_word", place).join(F.broadcast(bits), "_word").where(bit.bitwiseAND(F.col("_bits")) != 0).drop("_word", "_bits")
+
+
 def _links(spark: SparkSession, rows: DataFrame, nodes: DataFrame, similarity: float, k: int) -> DataFrame:
     """Verified links between nodes that connect every class."""
     n = nodes.count()
     width = max(10, min(40, math.ceil(math.log2(max(2, n))) - 3))
-    most = loose_distance(similarity)
+    most, cap, forest = loose_distance(similarity), CAP, FOREST_ROWS
     dealt = nodes.select(F.col("node").alias("id"), "print").mapInArrow(lambda b: _deal(b, width), "table int, key long, id long, print binary")
-    over = cluster.materialize(spark, dealt.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CAP), "over")
+    over = cluster.materialize(spark, dealt.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap), "over")
     fits, large = dealt, None
     if not over.isEmpty():
         marked = dealt.join(over, ["table", "key"], "left")
         fits = marked.where("n is null").drop("n")
-        large = marked.where("n is not null").mapInArrow(lambda b: _deal_again(b, width), "table int, key long, id long, print binary")
+        large = marked.where("n is not null").mapInArrow(lambda b: _deal_again(b, width, cap), "table int, key long, id long, print binary")
     buckets = fits if large is None else fits.unionByName(large)
     parts = cluster.shuffle_partitions(spark)
-    found = buckets.repartition(parts, "table", "key").sortWithinPartitions("table", "key").mapInArrow(lambda b: _link(b, most), "a long, b long, distance long")
+    found = buckets.repartition(parts, "table", "key").sortWithinPartitions("table", "key").mapInArrow(lambda b: _link(b, most, forest), "a long, b long, distance long")
     found = cluster.materialize(spark, found.groupBy("a", "b").agg(F.min("distance").alias("distance")), "found")
 
     ends = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
-    texts = rows.join(ends, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    # An inner join (ends are distinct): a semi-join would be pushed below the bitmap's, and all texts would move.
+    texts = _may_be(rows, ends).join(ends, "id").groupBy("id").agg(F.max("text").alias("text"))
     texts = cluster.materialize(spark, texts, "texts")
 
     def verified(links: DataFrame) -> DataFrame:
