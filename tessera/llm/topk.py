@@ -30,7 +30,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce(~F.exists(vector.cast("array<double>"), bad), F.lit(False))
 
 
-def _pack(batches, scale: float):
+def _pack(batches, scale: float, size: int):
     """Rows (id, vector) of a partition as blocks of whole numbers, by ascending id."""
     from pyspark import TaskContext
 
@@ -41,8 +41,8 @@ def _pack(batches, scale: float):
     ids = np.concatenate([b.column(0).to_numpy() for b in rows])
     lists = [x for b in rows for x in _vectors(b.column(1))]
     order = np.argsort(ids, kind="stable")
-    for k, lo in enumerate(range(0, len(order), BLOCK_ROWS)):
-        mine = order[lo : lo + BLOCK_ROWS]
+    for k, lo in enumerate(range(0, len(order), size)):
+        mine = order[lo : lo + size]
         vectors = [np.floor(scale * lists[i]) for i in mine.tolist()]
         sizes = np.array([len(v) for v in vectors], np.int32)
         yield pa.RecordBatch.from_arrays(
@@ -122,8 +122,9 @@ def search(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 5, i
     own = rows.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     counts = own.agg(F.count(F.lit(1)), F.count_if("q")).first()
     shards, groups = max(1, -(-counts[0] // SHARD_ROWS)), max(1, -(-counts[1] // GROUP_QUERIES))
-    blocks = own.select("id", "v").repartitionByRange(shards, "id").mapInArrow(lambda b: _pack(b, scale), _FIELDS)
-    asked = own.where("q").select("id", "v").repartitionByRange(groups, "id").mapInArrow(lambda b: _pack(b, scale), _FIELDS)
+    size = BLOCK_ROWS
+    blocks = own.select("id", "v").repartitionByRange(shards, "id").mapInArrow(lambda b: _pack(b, scale, size), _FIELDS)
+    asked = own.where("q").select("id", "v").repartitionByRange(groups, "id").mapInArrow(lambda b: _pack(b, scale, size), _FIELDS)
     # Parts are numbered as they come out, which may exceed the number asked for; both sides take them modulo it.
     blocks = blocks.withColumn("part", F.pmod("part", F.lit(shards))).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     asked = asked.withColumn("grp", F.pmod("part", F.lit(groups))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
