@@ -12,7 +12,8 @@ most-significant-digit passes is a fingerprint of a byte block:
 * pass 3 sorts the windows of those runs at full depth.
 
 Every task first settles what repeats among its own rows, so a passage that a third of all documents share
-is dealt once a batch. Rows move as packed blocks. Texts move compressed, to a home of their own, twice.
+is dealt once a batch. An anchor with many different runs in a batch, a common phrase, is not dealt by itself:
+its runs are spread over all places and go on to pass 3, and a mark at the anchor's place sends others after. Rows move as packed blocks. Texts move compressed, to a home of their own, twice.
 """
 
 from __future__ import annotations
@@ -37,7 +38,11 @@ SEGMENT = 1 << 18
 #: the cluster's number of partitions.
 PLACE_BYTES = 4 << 20
 _LAST = np.iinfo(np.int64).max  # stands for a null id, after all others
-_ANCHORS, _SETTLED, _OPEN, _WINDOWS = 0, 1, 2, 3
+_ANCHORS, _SETTLED, _OPEN, _WINDOWS, _COMMON = 0, 1, 2, 3, 4
+#: Different runs of one anchor in a batch from which on they are dealt by the run and not by the anchor.
+MOST_RUNS = 16
+#: Stands for a run in the place of a common anchor, to tell that there are others.
+_MARK = U64((1 << 40) - 1)
 
 
 @functools.cache
@@ -80,7 +85,7 @@ class Chunk:
             own = begin + depth <= ends[piece]
             self.piece, self.begin, self.end = piece[own], begin[own], end[own]
             self.h = m[self.begin] >> U64(8)
-            self.c = vt.mix((self.sums[self.end - 1 + depth] - self.sums[self.begin]) * self.inverse[self.begin] + (self.end - self.begin).astype(U64)) >> U64(24)
+            self.c = np.minimum(_MARK - U64(1), vt.mix((self.sums[self.end - 1 + depth] - self.sums[self.begin]) * self.inverse[self.begin] + (self.end - self.begin).astype(U64)) >> U64(24))
 
     def window_hashes(self, at: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -185,7 +190,7 @@ def _homes(ids: np.ndarray, n: int) -> np.ndarray:
     return (vt.mix(ids.view(U64)) % U64(n)).astype(np.int64)
 
 
-def _scan(batches, n: int, depth: int, anchor: int):
+def _scan(batches, n: int, depth: int, anchor: int, most_runs: int):
     """Pass 1 on the texts' side: the anchors of each batch, what repeats within it settled at once."""
     for batch in batches:
         ids = np.array(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
@@ -197,7 +202,14 @@ def _scan(batches, n: int, depth: int, anchor: int):
         own = ids[doc]
         key = run_key(h, c)
         first, again = _settle(key, own)
-        rows = list(_deal(_ANCHORS, (h[first] % U64(n)).astype(np.int64), own[first], [(h[first], 7), (c[first], 5)]))
+        _, back, times = np.unique(h[first], return_inverse=True, return_counts=True)
+        common = first[(times > most_runs)[back]]
+        first = first[~(times > most_runs)[back]]
+        rows = list(_deal(_COMMON, (key[common] % U64(n)).astype(np.int64), own[common], [(h[common], 7), (c[common], 5)]))
+        _, once = np.unique(h[common], return_index=True)
+        marks = common[once]
+        ids_, h_, c_ = np.concatenate([own[first], own[marks]]), np.concatenate([h[first], h[marks]]), np.concatenate([c[first], np.full(len(marks), _MARK)])
+        rows += _deal(_ANCHORS, (h_ % U64(n)).astype(np.int64), ids_, [(h_, 7), (c_, 5)])
         tied = _unique_pairs(own[again], key[again])
         rows += _deal(_SETTLED, _homes(tied[0], n), tied[0], [(tied[1], 8)])
         if rows:
@@ -210,7 +222,10 @@ def _unique_pairs(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _order_runs(key, table: pa.Table, n: int) -> pa.Table:
-    """Passes 1 and 2 of one place: sort by anchor, then by context, and tell the documents."""
+    """Passes 1 and 2 of one place: sort by anchor, then by context, and tell the documents.
+
+    A common anchor's runs are dealt by themselves: equal ones settle, and all that are left go on.
+    """
     kind, place = key[0].as_py(), key[1].as_py()
     if kind == _SETTLED:
         return table
@@ -218,22 +233,24 @@ def _order_runs(key, table: pa.Table, n: int) -> pa.Table:
     ids, h, c = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(h)
     s = h[order]
-    many = np.zeros(len(s), bool)
-    many[1:] = s[1:] == s[:-1]
-    many[:-1] |= many[1:]
+    many = np.full(len(s), kind == _COMMON)
+    many[1:] |= s[1:] == s[:-1]
+    many[:-1] |= s[1:] == s[:-1]
     ids, h, c = ids[order][many], s[many], c[order][many]
     rows: list = []
     if len(ids):
         runs = run_key(h, c)
         first, again = _settle(runs, ids)
+        again = again[c[again] != _MARK]
         settled = _unique_pairs(ids[again], runs[again])
         rows += _deal(_SETTLED, _homes(settled[0], n), settled[0], [(settled[1], 8)])
-        h, ids, runs = h[first], ids[first], runs[first]
+        h, ids, runs, mark = h[first], ids[first], runs[first], c[first] == _MARK
         order = np.argsort(h)
-        h, ids, runs = h[order], ids[order], runs[order]
+        h, ids, runs, mark = h[order], ids[order], runs[order], mark[order]
         cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         size = np.diff(np.append(cut, len(h)))
-        mixed = np.repeat(np.minimum.reduceat(ids, cut) != np.maximum.reduceat(ids, cut), size)
+        mixed = np.minimum.reduceat(ids, cut) != np.maximum.reduceat(ids, cut)
+        mixed = np.repeat(mixed | np.logical_or.reduceat(mark, cut) | (kind == _COMMON), size) & ~mark
         rows += _deal(_OPEN, _homes(ids[mixed], n), ids[mixed], [(runs[mixed], 8)])
     return pa.Table.from_batches([_batch(rows)])
 
@@ -370,7 +387,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = 50, id_col
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = min(1 << 24, total // PLACE_BYTES + 1)
 
-    dealt = rows.mapInArrow(lambda batches: _scan(batches, n, depth, anchor), _ROWS)
+    most_runs = MOST_RUNS
+    dealt = rows.mapInArrow(lambda batches: _scan(batches, n, depth, anchor, most_runs), _ROWS)
     told = cluster.materialize(spark, dealt.groupBy("kind", "place").applyInArrow(lambda key, t: _order_runs(key, t, n), _ROWS), "runs")
     homes = rows.mapInArrow(lambda batches: _pack_texts(batches, n), _ROWS)
     opened = homes.groupBy("place").cogroup(told.where(F.col("kind") == _OPEN).groupBy("place")).applyInArrow(lambda a, b: _open_windows(a, b, n, depth, anchor), _ROWS)

@@ -46,6 +46,17 @@ def test_long_texts_are_cut_without_loss(spark, monkeypatch):
     assert [(r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(spark, whole, digests_only=True).orderBy("doc_id").collect()] == [(0, 0), (600_000, 1)]
 
 
+def test_common_phrases_are_spread(spark, monkeypatch):
+    """Anchors with many contexts in some batches and few in others."""
+    rng = random.Random(5)
+    phrase = "an often repeated phrase of some length, "
+    docs = [(i, brute.prose(rng, 5) + phrase + brute.prose(rng, rng.randrange(3, 9)) + (phrase + "tail") * (i % 3)) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    for most in (0, 2, 1000):
+        monkeypatch.setattr(suffix_dedup, "MOST_RUNS", most)
+        assert rows_of(suffix_dedup.remove_repeats(spark, df, digests_only=True)) == sorted(brute.repeats(docs), key=repr)
+
+
 def test_spans_and_empty_table(spark):
     df = spark.createDataFrame([(1, "x" + "abc" * 30), (2, "y" + "abc" * 30)], "doc_id long, text string")
     two = suffix_dedup.remove_repeats(spark, df).where("doc_id = 2").first()
