@@ -30,6 +30,8 @@ ARC_FIELDS = {
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
 LEAST_PAYLOAD = 1000
+#: Bytes of payload in a file, about: a reader holds a whole file.
+FILE_BYTES = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("0d5a7c52-5f0e-5c2b-9c1f-4a6b1f3a9e77")
 
@@ -197,8 +199,9 @@ def write_pages(spark: SparkSession, pages: DataFrame, path: str, id_col: str =
                 out = [warc_record(i, r, to).decode() for i, to, r in zip(ids[lo : lo + 256], refers[lo : lo + 256], parse_arc(block), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
+    mean = pages.agg(F.avg(F.octet_length(F.col(payload_col).cast("string")))).first()[0] or 1
     made = rows.mapInArrow(convert, "value string")
-    made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
+    made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, int(FILE_BYTES / max(mean, 1024)))).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
