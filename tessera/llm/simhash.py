@@ -24,8 +24,8 @@ from tessera.llm import vectext as vt
 U64 = np.uint64
 BITS, TABLES, VARIANTS = 256, 40, 3
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-#: Rows in a bucket before additional bits are used, and in a block that one forest is built over.
-CAP, FOREST_ROWS = 1024, 4096
+#: Rows in a bucket before additional bits are used, and from which on a bucket is dealt out at random.
+CAP, MOST_ROWS = 1024, 8192
 _LAST = np.iinfo(np.int64).max
 _RNG = np.random.default_rng(977)
 _SAMPLES = np.stack([_RNG.permutation(BITS) for _ in range(TABLES * (1 + VARIANTS))])
@@ -126,18 +126,9 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def spanning_forest(prints: np.ndarray, most: int, rows: int = FOREST_ROWS) -> list[tuple[int, int, int]]:
+def spanning_forest(prints: np.ndarray, most: int) -> list[tuple[int, int, int]]:
     """A minimum spanning forest over distances of at most so much, in memory that is linear: (i, j, distance)."""
     n = len(prints)
-    if n > rows:
-        links, leaders = [], []
-        for lo in range(0, n, rows):
-            own = spanning_forest(prints[lo : lo + rows], most, rows)
-            links += [(i + lo, j + lo, d) for i, j, d in own]
-            leaders += sorted(set(range(lo, min(n, lo + rows))) - {j + lo for _, j, _ in own})
-        if len(leaders) < n:
-            links += [(leaders[i], leaders[j], d) for i, j, d in spanning_forest(prints[leaders], most, rows)]
-        return links
     links = []
     best, near, out = np.full(n, 1 << 30), np.zeros(n, np.int64), np.ones(n, bool)
     at = 0
@@ -153,7 +144,7 @@ def spanning_forest(prints: np.ndarray, most: int, rows: int = FOREST_ROWS) -> l
     return links
 
 
-def bucket_links(group: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int, forest: int = FOREST_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket_links(group: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidate links within buckets: group marks the first row of each."""
     n = len(ids)
     start = np.flatnonzero(group)
@@ -175,7 +166,7 @@ def bucket_links(group: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: i
     keep = ~np.isin(which[i], dense)
     i, j, dist = [i[keep]], [j[keep]], [dist[keep]]
     for g in dense.tolist():
-        if links := spanning_forest(prints[start[g] : start[g] + size[g]], most, forest):
+        if links := spanning_forest(prints[start[g] : start[g] + size[g]], most):
             x = np.array(links)
             i.append(x[:, 0] + start[g]), j.append(x[:, 1] + start[g]), dist.append(x[:, 2])
     i, j, dist = (np.concatenate(x) for x in (i, j, dist))
@@ -183,7 +174,7 @@ def bucket_links(group: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: i
     return a, b, dist
 
 
-def _link(batches, most: int, forest: int):
+def _link(batches, most: int):
     """Links of a partition's buckets, whose rows come sorted; a bucket that a batch cuts waits for the next."""
     held: list[tuple] = []
 
@@ -192,7 +183,7 @@ def _link(batches, most: int, forest: int):
         prints = np.ascontiguousarray(np.concatenate([p[3] for p in parts])).view(U64)
         group = np.ones(len(ids), bool)
         group[1:] = (table[1:] != table[:-1]) | (key[1:] != key[:-1])
-        a, b, d = bucket_links(group, ids, prints, most, forest)
+        a, b, d = bucket_links(group, ids, prints, most)
         _, once = np.unique(np.stack([a, b]), axis=1, return_index=True) if len(a) else (None, np.zeros(0, np.int64))
         return pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once]), pa.array(d[once])], ["a", "b", "distance"])
 
@@ -283,11 +274,26 @@ def _may_be(rows: DataFrame, ids: DataFrame, words: int = 1 << 17) -> DataFrame:
     return rows.withColumn("_word", place).join(F.broadcast(bits), "_word").where(bit.bitwiseAND(F.col("_bits")) != 0).drop("_word", "_bits")
 
 
+def _dealt_out(spark: SparkSession, buckets: DataFrame) -> DataFrame:
+    """Buckets that additional bits leave over MOST_ROWS, cut at random into parts of about so many rows.
+
+    What agrees in so many bits is one group of near copies. Its cuts differ by table and sample, and two
+    independent cuts into large parts connect a group, so no task needs to hold all of it.
+    """
+    by = ["table", "key"]
+    over = cluster.materialize(spark, buckets.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_ROWS), "large")
+    if over.isEmpty():
+        return buckets
+    part = F.pmod(F.xxhash64("id", "table", "key"), F.ceil(F.col("n") / MOST_ROWS))
+    salted = F.when(F.col("n").isNull(), F.col("key")).otherwise(F.xxhash64("key", part))
+    return buckets.join(over, by, "left").select("table", salted.alias("key"), "id", "print")
+
+
 def _links(spark: SparkSession, rows: DataFrame, nodes: DataFrame, similarity: float, k: int) -> DataFrame:
     """Verified links between nodes that connect every class."""
     n = nodes.count()
     width = max(10, min(40, math.ceil(math.log2(max(2, n))) - 3))
-    most, cap, forest = loose_distance(similarity), CAP, FOREST_ROWS
+    most, cap = loose_distance(similarity), CAP
     dealt = nodes.select(F.col("node").alias("id"), "print").mapInArrow(lambda b: _deal(b, width), "table int, key long, id long, print binary")
     over = cluster.materialize(spark, dealt.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap), "over")
     fits, large = dealt, None
@@ -295,9 +301,9 @@ def _links(spark: SparkSession, rows: DataFrame, nodes: DataFrame, similarity: f
         marked = dealt.join(over, ["table", "key"], "left")
         fits = marked.where("n is null").drop("n")
         large = marked.where("n is not null").mapInArrow(lambda b: _deal_again(b, width, cap), "table int, key long, id long, print binary")
-    buckets = fits if large is None else fits.unionByName(large)
+    buckets = fits if large is None else fits.unionByName(_dealt_out(spark, large))
     parts = cluster.shuffle_partitions(spark)
-    found = buckets.repartition(parts, "table", "key").sortWithinPartitions("table", "key").mapInArrow(lambda b: _link(b, most, forest), "a long, b long, distance long")
+    found = buckets.repartition(parts, "table", "key").sortWithinPartitions("table", "key").mapInArrow(lambda b: _link(b, most), "a long, b long, distance long")
     found = cluster.materialize(spark, found.groupBy("a", "b").agg(F.min("distance").alias("distance")), "found")
 
     ends = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()

@@ -43,7 +43,7 @@ def test_against_all_pairs(spark):
 
 def test_a_large_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CAP", 40)
-    monkeypatch.setattr(simhash, "FOREST_ROWS", 64)
+    monkeypatch.setattr(simhash, "MOST_ROWS", 60)
     rng = random.Random(1)
     base = brute.prose(rng, 300)
     docs = [(i, edited(rng, base, 2)) for i in range(250)] + [(1000 + i, brute.prose(rng, 80)) for i in range(50)]
