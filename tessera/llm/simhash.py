@@ -5,8 +5,9 @@ sets become one node at once. Several tables deal nodes into buckets by sampled
 bucket over its cap is dealt again by additional bits, under several samples, so that links survive. Within
 a bucket, fingerprint distances give candidate links: all of them in a sparse bucket, a minimum spanning
 forest in a dense one, so a group of copies never gives all its pairs. Links are then verified on the texts
-themselves, first each node's closest, then those that still join different classes, and classes are the
-connected components of what holds.
+themselves, first each node's closest, then those that still join different classes. Where a forest's link
+fails and its ends stay apart, all texts that the forest connects are compared exactly, in pairs of blocks,
+so no link that a failing one displaced is lost. Classes are the connected components of what holds.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ BITS, TABLES, VARIANTS = 256, 40, 3
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Rows in a bucket before additional bits are used, and from which on a bucket is dealt out at random.
 CAP, MOST_ROWS = 1024, 8192
+#: Texts and shingles of a block of those that are compared all with all.
+BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 1 << 20
 _LAST = np.iinfo(np.int64).max
 _RNG = np.random.default_rng(977)
 _SAMPLES = np.stack([_RNG.permutation(BITS) for _ in range(TABLES * (1 + VARIANTS))])
@@ -144,8 +147,8 @@ def spanning_forest(prints: np.ndarray, most: int) -> list[tuple[int, int, int]]
     return links
 
 
-def bucket_links(group: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate links within buckets: group marks the first row of each."""
+def bucket_links(group: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate links within buckets, and which of them are a forest's: group marks the first row of each."""
     n = len(ids)
     start = np.flatnonzero(group)
     size = np.diff(np.append(start, n))
@@ -165,13 +168,14 @@ def bucket_links(group: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: i
     dense = np.flatnonzero(~small | (found > 3 * size))
     keep = ~np.isin(which[i], dense)
     i, j, dist = [i[keep]], [j[keep]], [dist[keep]]
+    plain = len(i[0])
     for g in dense.tolist():
         if links := spanning_forest(prints[start[g] : start[g] + size[g]], most):
             x = np.array(links)
             i.append(x[:, 0] + start[g]), j.append(x[:, 1] + start[g]), dist.append(x[:, 2])
     i, j, dist = (np.concatenate(x) for x in (i, j, dist))
     a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-    return a, b, dist
+    return a, b, dist, np.arange(len(a)) >= plain
 
 
 def _link(batches, most: int):
@@ -183,9 +187,9 @@ def _link(batches, most: int):
         prints = np.ascontiguousarray(np.concatenate([p[3] for p in parts])).view(U64)
         group = np.ones(len(ids), bool)
         group[1:] = (table[1:] != table[:-1]) | (key[1:] != key[:-1])
-        a, b, d = bucket_links(group, ids, prints, most)
-        _, once = np.unique(np.stack([a, b]), axis=1, return_index=True) if len(a) else (None, np.zeros(0, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once]), pa.array(d[once])], ["a", "b", "distance"])
+        a, b, d, forest = bucket_links(group, ids, prints, most)
+        _, once = np.unique(np.stack([a, b, forest]), axis=1, return_index=True) if len(a) else (None, np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once]), pa.array(d[once]), pa.array(forest[once])], ["a", "b", "distance", "forest"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -222,6 +226,90 @@ def _verify(batches, k: int, least: float):
         yield pa.RecordBatch.from_arrays([x.filter(pa.array(good)) for x in (batch.column(0), batch.column(1))], ["a", "b"])
 
 
+def _sets(batches, k: int):
+    """Shingle sets of texts: clump, class, id, size, shingles."""
+    for batch in batches:
+        data, at = vt.column_bytes(batch.column(3))
+        for i, j in vt.chunks(at, 1 << 20):
+            sets, where = vt.shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], k)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(3)), pa.array(np.diff(where)), vt.binary_rows(sets, where)], ["clump", "class", "id", "size", "shingles"])
+
+
+def common_shingles(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many shingles each set of left (sets, offsets) shares with each of right."""
+    n, m = len(left[1]) - 1, len(right[1]) - 1
+    both = np.intersect1d(left[0], right[0])
+    out = np.zeros((n, m), np.float32)
+    if not len(both):
+        return out
+    sides = []
+    for sets, at in (left, right):
+        column = np.minimum(np.searchsorted(both, sets), len(both) - 1)
+        mine = both[column] == sets
+        column, row = column[mine], np.repeat(np.arange(len(at) - 1), np.diff(at))[mine]
+        order = np.argsort(column, kind="stable")
+        sides.append((row[order], np.searchsorted(column[order], np.arange(len(both) + 1))))
+    (r1, at1), (r2, at2) = sides
+    n1, n2 = np.diff(at1), np.diff(at2)
+    rare = n1 * n2 <= 64
+    for lo in range(0, len(both), 1 << 14):  # columns with few pairs: pair by pair
+        c = lo + np.flatnonzero(rare[lo : lo + (1 << 14)])
+        if len(c):
+            times = n1[c] * n2[c]
+            place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            c = np.repeat(c, times)
+            out += np.bincount(r1[at1[c] + place // n2[c]] * m + r2[at2[c] + place % n2[c]], minlength=n * m).reshape(n, m)
+    full = np.flatnonzero(~rare)
+    for lo in range(0, len(full), 2048):  # the others: a product of matrices
+        c = full[lo : lo + 2048]
+        dense = []
+        for r, at, size, rows in ((r1, at1, n1, n), (r2, at2, n2, m)):
+            x = np.zeros((rows, len(c)), np.float32)
+            begin = np.cumsum(size[c]) - size[c]
+            where = np.repeat(at[c] - begin, size[c]) + np.arange(size[c].sum())
+            x[r[where], np.repeat(np.arange(len(c)), size[c])] = 1
+            dense.append(x)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def spanning_links(joined: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric matrix of links."""
+    links = []
+    left = joined.any(axis=1)
+    while left.any():
+        front = np.array([left.argmax()])
+        left[front] = False
+        while len(front):
+            hit = joined[front] & left
+            fresh = np.flatnonzero(hit.any(axis=0))
+            links += zip(front[hit[:, fresh].argmax(axis=0)].tolist(), fresh.tolist())
+            left[fresh] = False
+            front = fresh
+    return links
+
+
+def _compare(table: pa.Table, least: float) -> pa.Table:
+    """Links that connect what similar pairs of different classes connect, of one block or between two."""
+    blocks = []
+    for rows in table.column("rows").to_pylist():
+        size = np.array([r["size"] for r in rows], np.int64)
+        sets = np.frombuffer(b"".join(r["shingles"] for r in rows), U64)
+        blocks.append((np.array([r["id"] for r in rows], np.int64), np.array([r["class"] for r in rows], np.int64), size, (sets, np.concatenate(([0], np.cumsum(size))))))
+    (i1, c1, s1, x1), (i2, c2, s2, x2) = blocks[0], blocks[-1]
+    common = common_shingles(x1, x2)
+    good = (common > 0) & (common >= least * (s1[:, None] + s2[None, :] - common) - 1e-9) & (c1[:, None] != c2[None, :])
+    ids = i1
+    if len(blocks) == 2:
+        n, ids = len(i1), np.concatenate([i1, i2])
+        joined = np.zeros((len(ids), len(ids)), bool)
+        joined[:n, n:], joined[n:, :n] = good, good.T
+        good = joined
+    x = np.array(spanning_links(good), np.int64).reshape(-1, 2)
+    ends = np.sort(ids[x], axis=1)
+    return pa.table({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(node, label) of all nodes of links (a, b), a < b: the least node that links lead to. By alternating large and small stars."""
     edges = cluster.materialize(spark, links.select("a", "b"), "stars")
@@ -303,8 +391,8 @@ def _links(spark: SparkSession, rows: DataFrame, nodes: DataFrame, similarity: f
         large = marked.where("n is not null").mapInArrow(lambda b: _deal_again(b, width, cap), "table int, key long, id long, print binary")
     buckets = fits if large is None else fits.unionByName(_dealt_out(spark, large))
     parts = cluster.shuffle_partitions(spark)
-    found = buckets.repartition(parts, "table", "key").sortWithinPartitions("table", "key").mapInArrow(lambda b: _link(b, most), "a long, b long, distance long")
-    found = cluster.materialize(spark, found.groupBy("a", "b").agg(F.min("distance").alias("distance")), "found")
+    found = buckets.repartition(parts, "table", "key").sortWithinPartitions("table", "key").mapInArrow(lambda b: _link(b, most), "a long, b long, distance long, forest boolean")
+    found = cluster.materialize(spark, found.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max("forest").alias("forest")), "found")
 
     ends = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
     # An inner join (ends are distinct): a semi-join would be pushed below the bitmap's, and all texts would move.
@@ -322,7 +410,43 @@ def _links(spark: SparkSession, rows: DataFrame, nodes: DataFrame, similarity: f
     label = components(spark, good)
     a, b = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     rest = found.select("a", "b").join(closest, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").where(~F.coalesce("la", "a").eqNullSafe(F.coalesce("lb", "b")))
-    return cluster.materialize(spark, good.unionByName(verified(rest)), "links")
+    good = cluster.materialize(spark, good.unionByName(verified(rest)), "links")
+    return good.unionByName(_displaced(spark, texts, found, good, similarity, k))
+
+
+def _displaced(spark: SparkSession, texts: DataFrame, found: DataFrame, good: DataFrame, similarity: float, k: int) -> DataFrame:
+    """Links that hold but that a forest proposed others for, which failed.
+
+    A forest connects all rows of its bucket that close pairs connect. So what its failed links and those that
+    hold connect, a clump, has both ends of every pair that was not proposed; a clump's texts are compared all
+    with all, but for those of one class. Blocks of texts are rows, so few rows move however large a clump is.
+    """
+    label = components(spark, good)
+    a, b = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    la, lb = F.coalesce("la", "a"), F.coalesce("lb", "b")
+    apart = found.where("forest").join(a, "a", "left").join(b, "b", "left").where(la != lb).select(F.least(la, lb).alias("a"), F.greatest(la, lb).alias("b")).distinct()
+    apart = cluster.materialize(spark, apart, "apart")
+    if apart.isEmpty():
+        return good.limit(0)
+    clumps = components(spark, apart).select(F.col("node").alias("class"), F.col("label").alias("clump"))
+    held = texts.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("label", "id")).join(clumps, "class")
+    sets = held.select("clump", "class", "id", "text").mapInArrow(lambda batches: _sets(batches, k), "clump long, class long, id long, size long, shingles binary")
+    sets = cluster.materialize(spark, sets, "sets")
+    # A class that fills blocks has them for itself: they are not compared with one another.
+    count = (F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
+    each = sets.groupBy("clump", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    each = each.withColumn("own", F.when((F.col("n") > BLOCK_TEXTS // 8) | (F.col("shingles") > BLOCK_SHINGLES // 8), F.col("class")).otherwise(F.lit(_LAST)))
+    parts = each.groupBy("clump", "own").agg(*count).select("clump", "own", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("parts"))
+    placed = sets.join(each.select("clump", "class", "own").join(parts, ["clump", "own"]), ["clump", "class"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    blocks = placed.groupBy("clump", "own", "part").agg(F.collect_list(F.struct("id", "class", "size", "shingles")).alias("rows"), F.min("size").alias("least"), F.max("size").alias("most"))
+    blocks = cluster.materialize(spark, blocks.withColumn("block", F.concat_ws(" ", "clump", "own", "part")), "blocks")
+    one = blocks.select("clump", "own", "block", "least", "most")
+    other = one.withColumnsRenamed({c: c + "2" for c in one.columns if c != "clump"})
+    near = (F.col("most2") >= similarity * F.col("least") - 1e-9) & (F.col("most") >= similarity * F.col("least2") - 1e-9)
+    pairs = one.join(other, "clump").where((F.col("block") <= F.col("block2")) & ((F.col("own") != F.col("own2")) | (F.col("own") == _LAST)) & near)
+    sides = pairs.select(F.concat_ws("/", "block", "block2").alias("pair"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    met = sides.join(blocks.select("block", "rows"), "block").select("pair", "rows")
+    return cluster.materialize(spark, met.groupBy("pair").applyInArrow(lambda t: _compare(t, similarity), "a long, b long"), "displaced")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -51,6 +51,56 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert {got[i] for i in range(250)} == {0} and all(got[i] == i for i in range(1000, 1050))
 
 
+def hub_and_copies(rng, n):
+    """A base and copies, each over 0.8 to the base but under 0.8 to one another."""
+    base = [f"w{i}" for i in range(304)]
+    docs = {0: " ".join(base)}
+    for i in range(1, n):
+        words = list(base)
+        for p in rng.sample(range(5, 300, 6), 6):
+            words[p] = f"x{i}y{p}"
+        docs[i] = " ".join(words)
+    return docs
+
+
+def test_a_base_that_failed_links_displaced(spark, monkeypatch):
+    docs = hub_and_copies(random.Random(5), 160)
+    want = brute.similar_classes(docs)
+    assert set(want.values()) == {0}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    without = brute.similar_classes({i: t for i, t in docs.items() if i})
+    assert len(set(without.values())) > 100  # nothing but the base connects them
+    assert {r.doc_id: r.class_id for r in simhash.classes(spark, df).collect()} == want
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 32)
+    monkeypatch.setattr(simhash, "CAP", 40)
+    monkeypatch.setattr(simhash, "MOST_ROWS", 60)
+    assert {r.doc_id: r.class_id for r in simhash.classes(spark, df).collect()} == want
+
+
+def test_a_template_family_below_the_threshold(spark):
+    rng = random.Random(6)
+    docs = {}
+    base = brute.prose(rng, 240)
+    for i in range(90):
+        docs[i] = base + " " + " ".join(f"own{i}x{j}" for j in range(50))
+    docs[90] = docs[17].replace("own17x40", "other")
+    want = brute.similar_classes(docs)
+    assert len(set(want.values())) == 90 and want[90] == 17
+    assert {r.doc_id: r.class_id for r in simhash.classes(spark, spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()} == want
+
+
+def test_common_shingles_and_spanning_links():
+    rng = np.random.default_rng(3)
+    both = [[np.unique(rng.choice(300, rng.integers(1, 90))).astype(np.uint64) for _ in range(n)] for n in (40, 25)]
+    packed = [(np.concatenate(x), np.concatenate(([0], np.cumsum([len(s) for s in x])))) for x in both]
+    assert simhash.common_shingles(*packed).tolist() == [[len(np.intersect1d(a, b)) for b in both[1]] for a in both[0]]
+    m = np.zeros((9, 9), bool)
+    for i, j in ((0, 3), (3, 5), (0, 5), (2, 8), (8, 7), (2, 7)):
+        m[i, j] = m[j, i] = True
+    links = simhash.spanning_links(m)
+    assert len(links) == 4 and all(m[i, j] for i, j in links)
+
+
 def test_rows_without_id_repeated_rows_and_none(spark):
     text = "some words that are there twice or more"
     df = spark.createDataFrame([(None, text), (None, text), (3, text), (3, text), (5, text)], "doc_id long, text string")
