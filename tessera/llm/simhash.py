@@ -1,7 +1,8 @@
 """Near-duplicate classes by SimHash with random bit sampling.
 
 Each document's distinct five-word shingles vote on a fingerprint of 256 bits. Documents of equal shingle
-sets become one node at once. Several tables deal nodes into buckets by sampled bits of the fingerprint; a
+sets become one node at once. Tables, more of them the more bits they sample, deal nodes into buckets by
+sampled bits of the fingerprint, and one deals short texts by the shingles that similar ones must share; a
 bucket over its cap is dealt again by additional bits, under several samples, so that links survive. Within
 a bucket, fingerprint distances give candidate links: all of them in a sparse bucket, a minimum spanning
 forest in a dense one, so a group of copies never gives all its pairs. Links are then verified on the texts
@@ -12,6 +13,7 @@ so no link that a failing one displaced is lost. Classes are the connected compo
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -23,15 +25,38 @@ from tessera.llm import cluster
 from tessera.llm import vectext as vt
 
 U64 = np.uint64
-BITS, TABLES, VARIANTS = 256, 40, 3
+BITS, VARIANTS = 256, 3
+#: A pair at the similarity asked for meets in no table with this probability at most, whatever the number of texts.
+MISS = 0.001
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Rows in a bucket before additional bits are used, and from which on a bucket is dealt out at random.
 CAP, MOST_ROWS = 1024, 8192
 #: Texts and shingles of a block of those that are compared all with all.
 BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 1 << 20
 _LAST = np.iinfo(np.int64).max
-_RNG = np.random.default_rng(977)
-_SAMPLES = np.stack([_RNG.permutation(BITS) for _ in range(TABLES * (1 + VARIANTS))])
+#: Texts of so many shingles at most meet by shared shingles; at worst (4 and 5, sharing 4) they differ in this share of bits.
+SHORT, SHORT_APART = 80, 0.1875
+SHORT_MOST = math.ceil(BITS * SHORT_APART + 5 * math.sqrt(BITS * SHORT_APART * (1 - SHORT_APART)))
+
+
+@functools.cache
+def _order(table: int, variant: int = -1) -> np.ndarray:
+    """The order in which a table samples bits; -1 is the table of shared shingles."""
+    return np.random.default_rng([977, table + 1, variant + 1]).permutation(BITS)
+
+
+def table_width(n: int) -> int:
+    """Sampled bits for so many nodes."""
+    return max(10, min(40, math.ceil(math.log2(max(2, n))) - 3))
+
+
+def tables(width: int, similarity: float = SIMILARITY) -> int:
+    """Tables of so many sampled bits that leave a pair of this similarity unmet with probability MISS at most."""
+    return _times((1 - expected_distance(similarity) / BITS) ** width)
+
+
+def _times(meet: float) -> int:
+    return 1 if meet >= 1 - MISS else math.ceil(math.log(MISS) / math.log1p(-meet))
 
 
 def expected_distance(similarity: float, bits: int = BITS) -> float:
@@ -69,7 +94,14 @@ def fingerprints(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signatures(batches, k: int):
+def _heads(sets: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The least shingles of each short set, so many that two similar sets share one; offsets."""
+    n = np.where((size > 0) & (size <= SHORT), size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
+    place = np.arange(len(sets)) - np.repeat(np.cumsum(size) - size, size)
+    return sets[place < np.repeat(n, size)], np.concatenate(([0], np.cumsum(n)))
+
+
+def _signatures(batches, k: int, similarity: float):
     for batch in batches:
         data, at = vt.column_bytes(batch.column(1))
         ids = np.array(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
@@ -84,7 +116,7 @@ def _signatures(batches, k: int):
                 s1[own] = np.add.reduceat(vt.mix(sets), starts)
                 s2[own] = np.add.reduceat(vt.mix(sets ^ U64(0x5851F42D4C957F2D)), starts)
                 print_[own] = fingerprints(sets, np.append(starts, len(sets)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), vt.binary_rows(print_.ravel(), np.arange(j - i + 1) * (BITS // 8))], ["id", "size", "s1", "s2", "print"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), vt.binary_rows(print_.ravel(), np.arange(j - i + 1) * (BITS // 8)), vt.binary_rows(*_heads(sets, size, similarity))], ["id", "size", "s1", "s2", "print", "heads"])
 
 
 def _prints(column) -> np.ndarray:
@@ -99,12 +131,16 @@ def _sampled(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def _deal(batches, width: int):
-    """Each node once a table: table, key, id, print."""
+def _deal(batches, width: int, count: int):
+    """Each node once a table, and a short one by its shingles in table -1: table, key, id, print."""
     for batch in batches:
         bits = np.unpackbits(_prints(batch.column(1)), axis=1)
-        for t in range(TABLES):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), t, np.int32)), pa.array(_sampled(bits, _SAMPLES[t, :width])), batch.column(0), batch.column(1)], ["table", "key", "id", "print"])
+        for t in range(count):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), t, np.int32)), pa.array(_sampled(bits, _order(t)[:width])), batch.column(0), batch.column(1)], ["table", "key", "id", "print"])
+        data, at = vt.column_bytes(batch.column(2))
+        heads, row = np.frombuffer(data.tobytes(), np.int64), np.repeat(np.arange(len(bits)), np.diff(at) // 8)
+        if len(heads):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), -1, np.int32)), pa.array(heads), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["table", "key", "id", "print"])
 
 
 def _deal_again(batches, width: int, cap: int):
@@ -113,16 +149,21 @@ def _deal_again(batches, width: int, cap: int):
         table, key, n = (batch.column(k).to_numpy() for k in (0, 1, 4))
         bits = np.unpackbits(_prints(batch.column(3)), axis=1)
         more = np.minimum(np.ceil(np.log2(n / cap)).astype(np.int64) + 2, 24)
-        for v in range(VARIANTS):
-            fresh = np.zeros(len(bits), np.int64)
-            for t in np.unique(table).tolist():
-                mine = table == t
-                order = _SAMPLES[TABLES + t * VARIANTS + v]
-                order = order[~np.isin(order, _SAMPLES[t, :width])][:24]
-                fresh[mine] = _sampled(bits[mine], order) >> (24 - more[mine])
+        often = {m: _times((1 - SHORT_APART) ** m) for m in np.unique(more).tolist()}
+        variants = np.where(table < 0, [often[m] for m in more.tolist()], VARIANTS)
+        for v in range(int(variants.max(initial=0))):
+            mine = np.flatnonzero(variants > v)
+            fresh = np.zeros(len(mine), np.int64)
+            for t in np.unique(table[mine]).tolist():
+                here = table[mine] == t
+                order = _order(t, v)
+                if t >= 0:
+                    order = order[~np.isin(order, _order(t)[:width])]
+                fresh[here] = _sampled(bits[mine[here]], order[:24]) >> (24 - more[mine[here]])
             with np.errstate(over="ignore"):
-                salted = vt.mix(key.view(U64) * U64(VARIANTS) + U64(v + 1)) ^ vt.mix(fresh.view(U64) + U64(1 << 40))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(salted.view(np.int64)), batch.column(2), batch.column(3)], ["table", "key", "id", "print"])
+                salted = vt.mix(key[mine].view(U64) * U64(1 << 13) + U64(v + 1)) ^ vt.mix(fresh.view(U64) + U64(1 << 40))
+            rows = pa.array(mine)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(salted.view(np.int64)), batch.column(2).take(rows), batch.column(3).take(rows)], ["table", "key", "id", "print"])
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -147,9 +188,10 @@ def spanning_forest(prints: np.ndarray, most: int) -> list[tuple[int, int, int]]
     return links
 
 
-def bucket_links(group: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def bucket_links(group: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Candidate links within buckets, and which of them are a forest's: group marks the first row of each."""
     n = len(ids)
+    most = np.broadcast_to(most, n)
     start = np.flatnonzero(group)
     size = np.diff(np.append(start, n))
     which = np.repeat(np.arange(len(start)), size)
@@ -160,7 +202,7 @@ def bucket_links(group: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: i
     left = (start + size)[which]
     while len(rows := rows[rows + lag < left[rows]]):
         dist = _distance(prints[rows], prints[rows + lag])
-        close = dist <= most
+        close = dist <= most[rows]
         a.append(rows[close]), b.append(rows[close] + lag), d.append(dist[close])
         lag += 1
     i, j, dist = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, d))
@@ -170,7 +212,7 @@ def bucket_links(group: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: i
     i, j, dist = [i[keep]], [j[keep]], [dist[keep]]
     plain = len(i[0])
     for g in dense.tolist():
-        if links := spanning_forest(prints[start[g] : start[g] + size[g]], most):
+        if links := spanning_forest(prints[start[g] : start[g] + size[g]], int(most[start[g]])):
             x = np.array(links)
             i.append(x[:, 0] + start[g]), j.append(x[:, 1] + start[g]), dist.append(x[:, 2])
     i, j, dist = (np.concatenate(x) for x in (i, j, dist))
@@ -187,7 +229,7 @@ def _link(batches, most: int):
         prints = np.ascontiguousarray(np.concatenate([p[3] for p in parts])).view(U64)
         group = np.ones(len(ids), bool)
         group[1:] = (table[1:] != table[:-1]) | (key[1:] != key[:-1])
-        a, b, d, forest = bucket_links(group, ids, prints, most)
+        a, b, d, forest = bucket_links(group, ids, prints, np.where(table < 0, max(most, SHORT_MOST), most))
         _, once = np.unique(np.stack([a, b, forest]), axis=1, return_index=True) if len(a) else (None, np.zeros(0, np.int64))
         return pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once]), pa.array(d[once]), pa.array(forest[once])], ["a", "b", "distance", "forest"])
 
@@ -337,19 +379,20 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     Near duplicates have a Jaccard similarity of ``similarity`` or more over distinct shingles of k words
     (words part at space and tab to carriage return; a text of fewer words is one shingle). Links are exact:
     no pair below the similarity is linked; a pair above may be missed with the probability that bit sampling
-    leaves (about 3 % at 0.8 and 0.1 % at 0.85 for a pair that nothing else connects). A text without words,
+    leaves (by its model MISS at most at the similarity itself, for any number of texts, for a pair that nothing
+    else connects; less for short texts, which meet by shared shingles). A text without words,
     null or not, is a class of its own; a row without id takes no part and has no class. Rows of one id are
     one document. Only the two columns are read. An empty table gives an empty one.
     """
     cluster.ship(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = cluster.materialize(spark, rows.mapInArrow(lambda b: _signatures(b, k), "id long, size long, s1 long, s2 long, print binary"), "prints")
-    nodes = signed.where((F.col("size") > 0) & (F.col("id") != _LAST)).groupBy("s1", "s2").agg(F.min("id").alias("node"), F.max("print").alias("print"))
+    signed = cluster.materialize(spark, rows.mapInArrow(lambda b: _signatures(b, k, similarity), "id long, size long, s1 long, s2 long, print binary, heads binary"), "prints")
+    nodes = signed.where((F.col("size") > 0) & (F.col("id") != _LAST)).groupBy("s1", "s2").agg(F.min("id").alias("node"), F.max("print").alias("print"), F.max("heads").alias("heads"))
     nodes = cluster.materialize(spark, nodes, "nodes")
     links = _links(spark, rows, nodes, similarity, k)
     labels = components(spark, links)
-    named = nodes.drop("print").join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("label"))
-    out = signed.drop("print").withColumn("alone", (F.col("size") == 0) | (F.col("id") == _LAST)).join(named.withColumn("alone", F.lit(False)), ["s1", "s2", "alone"], "left")
+    named = nodes.drop("print", "heads").join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("label"))
+    out = signed.drop("print", "heads").withColumn("alone", (F.col("size") == 0) | (F.col("id") == _LAST)).join(named.withColumn("alone", F.lit(False)), ["s1", "s2", "alone"], "left")
     blank = lambda c: F.nullif(c, F.lit(_LAST))
     return out.select(blank(F.col("id")).alias(id_col), blank(F.coalesce("label", "id")).alias("class_id"), F.col("size").alias("n_shingles"))
 
@@ -380,9 +423,10 @@ def _dealt_out(spark: SparkSession, buckets: DataFrame) -> DataFrame:
 def _links(spark: SparkSession, rows: DataFrame, nodes: DataFrame, similarity: float, k: int) -> DataFrame:
     """Verified links between nodes that connect every class."""
     n = nodes.count()
-    width = max(10, min(40, math.ceil(math.log2(max(2, n))) - 3))
+    width = table_width(n)
+    count = tables(width, similarity)
     most, cap = loose_distance(similarity), CAP
-    dealt = nodes.select(F.col("node").alias("id"), "print").mapInArrow(lambda b: _deal(b, width), "table int, key long, id long, print binary")
+    dealt = nodes.select(F.col("node").alias("id"), "print", "heads").mapInArrow(lambda b: _deal(b, width, count), "table int, key long, id long, print binary")
     over = cluster.materialize(spark, dealt.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap), "over")
     fits, large = dealt, None
     if not over.isEmpty():

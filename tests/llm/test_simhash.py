@@ -89,6 +89,22 @@ def test_a_template_family_below_the_threshold(spark):
     assert {r.doc_id: r.class_id for r in simhash.classes(spark, spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()} == want
 
 
+def test_tables_follow_the_width():
+    p = simhash.expected_distance(0.8) / simhash.BITS
+    for n in (100, 10_000, 250_000, 1_000_000, 15_000_000):
+        width = simhash.table_width(n)
+        assert (1 - (1 - p) ** width) ** simhash.tables(width) <= 0.001
+
+
+def test_short_texts(spark):
+    docs = {}
+    for i in range(300):
+        docs[2 * i] = " ".join(f"w{i}x{j}" for j in range(8))
+        docs[2 * i + 1] = docs[2 * i] + " more"
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in simhash.classes(spark, df).collect()} == {i: i - i % 2 for i in docs}
+
+
 def test_common_shingles_and_spanning_links():
     rng = np.random.default_rng(3)
     both = [[np.unique(rng.choice(300, rng.integers(1, 90))).astype(np.uint64) for _ in range(n)] for n in (40, 25)]
