@@ -1,6 +1,6 @@
 """Entity resolution: exact, fuzzy, semantic and by vocabulary; classes are connected components.
 
-Pairs come from blocks of a key, never from all pairs of a label.
+Fuzzy pairs come from blocks of a key, never from all pairs of a label; semantic ones are all compared.
 """
 
 from __future__ import annotations
@@ -76,20 +76,20 @@ def fuzzy(spark: SparkSession, entities: DataFrame, threshold: float) -> DataFra
     return reps.join(least, ["label", "key"]).join(labels, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("canonical"))
 
 
-def semantic_pairs(entities: DataFrame, vectors: DataFrame, threshold: float, bits: int = 10, tables: int = 12) -> DataFrame:
-    """a, b, score of names of one label whose vectors (id, embedding) have such a cosine. Candidates share the signs of random sums in one of several tables."""
-    held = entities.select("id", "label").join(vectors, "id")
+def semantic_pairs(entities: DataFrame, vectors: DataFrame, threshold: float, blocks: int = 16) -> DataFrame:
+    """a, b, score of names of one label whose vectors (id, embedding) have such a cosine: every pair, compared exactly.
 
-    def side(t: int, k: int):
-        weight = lambda i: (F.pmod(F.xxhash64(F.lit(t), F.lit(k), i), F.lit(2001)) - 1000).cast("double")
-        total = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * weight(i)), F.lit(0.0), lambda s, v: s + v)
-        return F.when(total > 0, F.lit("1")).otherwise(F.lit("0"))
-
-    keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.concat(*(side(t, k) for k in range(bits))).alias("signs")) for t in range(tables))))
-    dealt = held.select("id", "label", "embedding", keys.alias("k")).select("id", "label", "embedding", "k.t", "k.signs")
-    other = dealt.select(F.col("id").alias("id2"), "label", F.col("embedding").alias("embedding2"), "t", "signs")
-    met = dealt.join(other, ["label", "t", "signs"]).where("id < id2").dropDuplicates(["label", "id", "id2"])
-    return met.select("label", F.col("id").alias("a"), F.col("id2").alias("b"), cosine(F.col("embedding"), F.col("embedding2")).alias("score")).where(F.col("score") >= threshold)
+    Rows of a label fall into blocks by a hash of the id, and each pair of blocks meets under a key of its own,
+    so a row moves once a block and a label's pairs are spread over tasks.
+    """
+    held = entities.select("id", "label").distinct().join(vectors.select("id", "embedding"), "id")
+    mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    dealt = held.select("label", "id", "embedding", mine.alias("x"), F.explode(every).alias("y"))
+    other = held.select("label", F.col("id").alias("id2"), F.col("embedding").alias("embedding2"), mine.alias("y"), F.explode(every).alias("x"))
+    met = dealt.join(other, ["label", "x", "y"]).where("id < id2")
+    scored = met.select("label", F.col("id").alias("a"), F.col("id2").alias("b"), cosine(F.col("embedding"), F.col("embedding2")).alias("score"))
+    return scored.where(F.col("score") >= threshold).groupBy("label", "a", "b").agg(F.max("score").alias("score"))
 
 
 def semantic(spark: SparkSession, entities: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:

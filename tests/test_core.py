@@ -264,6 +264,26 @@ def test_fuzzy_pairs_against_all_pairs(spark):
         assert {(r.a, r.b) for r in resolve.fuzzy_pairs(ents, t).collect()} == want
 
 
+def test_semantic_pairs_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for g in range(80):
+        base = [rng.gauss(0, 1) for _ in range(16)]
+        size = sum(x * x for x in base) ** 0.5
+        rows += [(f"v{g:02d}{k}", f"L{g % 2}", [x + rng.gauss(0, 0.12) * size for x in base]) for k in range(3)]
+
+    def cos(a, b):
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+
+    want = {(a, b) for a, la, x in rows for b, lb, y in rows if a < b and la == lb and cos(x, y) >= 0.8}
+    df = spark.createDataFrame(rows, "id string, label string, embedding array<double>")
+    assert len(want) > 50
+    got = resolve.semantic_pairs(df.select("id", "label", F.col("id").alias("name")), df.select("id", "embedding"), 0.8)
+    assert {(r.a, r.b) for r in got.collect()} == want
+
+
 def test_semantic_and_vocabulary(spark):
     ents = spark.createDataFrame([("a", "M", "oak"), ("b", "M", "oak tree"), ("c", "M", "stone")], "id string, label string, name string")
     vectors = spark.createDataFrame([("a", [1.0, 0.0, 0.1]), ("b", [1.0, 0.02, 0.1]), ("c", [-1.0, 1.0, 0.0])], "id string, embedding array<float>")
