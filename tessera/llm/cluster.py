@@ -33,9 +33,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -57,6 +60,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def fresh_names(*names: str) -> list[str]:
+    """Column names that no table has."""
+    return [f"_{x}_{uuid.uuid4().hex}" for x in names]
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it again."""
     path = new_path(spark, name)

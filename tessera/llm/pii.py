@@ -4,7 +4,8 @@ Everything on the rows is an expression of built-in functions. Base patterns (st
 Generators propose further spans in loose formats, which may overlap; each has features of its own form and
 of the text around it. Trees boosted on generated labelled samples score them: the trees are fitted once on
 the driver and compiled into CASE expressions. A kind's threshold is the least score at which held-out
-samples are right often enough. Of overlapping proposals the best stays, and none that meets a base span.
+samples, which another generator makes, are right often enough. No proposal that meets a base span stays, and of
+overlapping ones of two kinds that of the kind with the stricter format.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import cluster
+
 KINDS = ("email", "ip", "card", "phone")
 
 #: The strict formats. Possessive and guarded against long runs, they find what the plain patterns find:
@@ -42,6 +45,8 @@ GENERATORS = (
     ("phone", r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[\x20.-]{1,2}[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9A-Za-z])", r"[0-9]\)?[\x20.-]{1,2}[0-9]"),
 )
 CONTEXT = 24
+#: Code points of a piece of a text from which parts are cut.
+CHUNK = 1024
 
 #: Features: of the match (m), of the text before it (b) or after it (a). Counts first, then tests.
 COUNTS = (("digits", "[0-9]"), ("marks", r"[\x20./-]"), ("letters", "[A-Za-z]"), ("colons", ":"))
@@ -113,20 +118,51 @@ def _none(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def _found(text: Column, matches: Column, pattern: str, keep: Callable[[Column], Column], made: Callable[[Column, Column], Column], kind: str) -> Column:
-    """made(match, start) of each match that keep accepts. Places come from the lengths of what lies between matches."""
+def _scan(values: Column, join: Callable[[Column, Column], Column], kind: str = "int") -> Column:
+    """Running results of an associative join over an array.
+
+    A fold that appends copies its result at each step; so runs of about the root of the number fold by
+    themselves, then the runs' ends, and each run goes on from the end of those before it.
+    """
+
+    def fold(part: Column) -> Column:
+        step = lambda acc, x: F.array_append(acc, F.when(F.size(acc) == 0, x).otherwise(join(F.element_at(acc, -1), x)))
+        return F.aggregate(part, _none(kind), step)
+
+    def whole(v: Column) -> Column:
+        length = F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / length).cast("int") - 1), lambda c: fold(F.slice(v, c * length + 1, length)))
+
+        def joined_up(r: Column) -> Column:
+            ends = fold(F.transform(r, lambda x: F.element_at(x, -1)))
+            return _let(ends, lambda e: F.flatten(F.transform(r, lambda x, c: F.when(c == 0, x).otherwise(F.transform(x, lambda y: join(F.get(e, c - 1), y))))))
+
+        return _let(runs, joined_up)
 
-    def walk(between: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), _none(kind).alias("out"))
+    return _let(values, lambda v: F.when(F.size(v) <= 16, fold(v)).otherwise(whole(v)))
 
-        def step(acc: Column, i: Column) -> Column:
-            m = F.element_at(matches, i)
-            at = acc["at"] + F.length(F.element_at(between, i))
-            return F.struct((at + F.length(m)).alias("at"), F.when(keep(m), F.array_append(acc["out"], made(m, at))).otherwise(acc["out"]).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(matches)), start, step, lambda a: a["out"])
+def _places(text: Column, matches: Column, pattern: str) -> Column:
+    """start and end of each match, in code points: running sums of the lengths of matches and of what lies between them."""
 
-    return F.when(F.exists(matches, keep), _let(F.split(text, pattern, -1), walk)).otherwise(_none(kind))
+    def spans(between: Column) -> Column:
+        steps = F.transform(matches, lambda m, i: F.length(F.get(between, i)) + F.length(m))
+        return F.transform(F.arrays_zip(_scan(steps, lambda a, b: a + b).alias("end"), matches.alias("match")), lambda z: F.struct((z["end"] - F.length(z["match"])).alias("start"), z["end"].alias("end"), z["match"].alias("match")))
+
+    return _let(F.split(text, pattern, -1), spans)
+
+
+def _chunked(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _cut(chunks: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end of a text in chunks, without a walk from the text's beginning."""
+    i, j = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    low, high = start - i * CHUNK, end - j * CHUNK
+    first, last = F.coalesce(F.get(chunks, i), F.lit("")), F.coalesce(F.get(chunks, j), F.lit(""))
+    between = F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+    return F.when(end <= start, "").when(i == j, F.substring(first, low + 1, high - low)).otherwise(F.concat(F.substring(first, low + 1, F.lit(CHUNK)), between, F.substring(last, F.lit(1), high)))
 
 
 # The trees
@@ -275,55 +311,92 @@ def detector(precision: float = 0.98) -> dict[str, tuple[tuple, float]]:
 
 
 def _base_spans(kind: str, text: Column, matches: Column) -> Column:
-    return _found(text, matches, BASE[kind], lambda m: _valid(kind, m), lambda m, at: F.struct(F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(m)).alias("end")), _SPAN)
+    good = lambda: F.filter(_places(text, matches, BASE[kind]), lambda z: _valid(kind, z["match"]))
+    spans = F.transform(good(), lambda z: F.struct(F.lit(kind).alias("kind"), z["start"].alias("start"), z["end"].alias("end")))
+    return F.when(F.exists(matches, lambda m: _valid(kind, m)), spans).otherwise(_none(_SPAN))
 
 
-def _proposals(kind: str, pattern: str, text: Column, matches: Column) -> Column:
+def _proposals(kind: str, pattern: str, text: Column, matches: Column, chunks: Column) -> Column:
+    """The spans of a generator whose score reaches the kind's threshold."""
     trees, threshold = detector()[kind]
 
-    def made(m: Column, at: Column) -> Column:
-        before = F.substring(text, F.greatest(at - CONTEXT, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT)))
-        after = F.substring(text, at + F.length(m) + 1, F.lit(CONTEXT))
-        score = _let(_features(m, before, after), lambda f: sum((_compiled(t, f) for t in trees), F.lit(0.0)))
-        return F.struct((-score).alias("order"), at.alias("start"), (at + F.length(m)).alias("end"), F.lit(kind).alias("kind"))
+    def accepted(z: Column) -> Column:
+        before = _cut(chunks, F.greatest(z["start"] - CONTEXT, F.lit(0)), z["start"])
+        after = _cut(chunks, z["end"], z["end"] + CONTEXT)
+        return _let(_features(z["match"], before, after), lambda f: sum((_compiled(t, f) for t in trees), F.lit(0.0))) >= threshold
+
+    spans = F.transform(F.filter(_places(text, matches, pattern), accepted), lambda z: F.struct(F.lit(kind).alias("kind"), z["start"].alias("start"), z["end"].alias("end")))
+    return F.when(F.size(matches) > 0, spans).otherwise(_none(_SPAN))
 
-    every = _found(text, matches, pattern, lambda m: F.lit(True), made, "struct<order:double,start:int,end:int,kind:string>")
-    return F.filter(every, lambda s: -s["order"] >= threshold)
 
+def _clear(spans: Column, taken: Column) -> Column:
+    """Those of spans that meet none of taken: all by their start, running maxima of ends before and minima of starts after."""
+    tagged = lambda array, new: F.transform(array, lambda s: F.struct(s["start"].alias("start"), F.lit(new).alias("new"), s["end"].alias("end"), s["kind"].alias("kind")))
 
-def _overlaps(spans: Column, s: Column) -> Column:
-    return F.exists(spans, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
+    def sift(every: Column) -> Column:
+        last = _scan(F.transform(every, lambda s: F.when(s["new"], F.lit(0)).otherwise(s["end"])), F.greatest)
+        none = F.lit((1 << 31) - 1)
+        following = F.reverse(_scan(F.reverse(F.transform(every, lambda s: F.when(s["new"], none).otherwise(s["start"]))), F.least))
+
+        def free(last_: Column, following_: Column) -> Column:
+            keep = lambda s, i: s["new"] & (F.get(last_, i) <= s["start"]) & (F.get(following_, i) >= s["end"])
+            return F.transform(F.filter(every, keep), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+        return _let(last, lambda a: _let(following, lambda b: free(a, b)))
+
+    whole = _let(F.sort_array(F.concat(tagged(spans, True), tagged(taken, False))), sift)
+    return F.when(F.size(spans) == 0, _none(_SPAN)).when(F.size(taken) == 0, spans).otherwise(whole)
+
+
+def names(docs: DataFrame) -> tuple[str, str]:
+    """The names of the columns that find adds: pii_base and pii_spans, with underscores at the end where docs has such columns."""
+    held = {c.lower() for c in docs.columns}
+    out = []
+    for name in ("pii_base", "pii_spans"):
+        while name in held:
+            name += "_"
+        out.append(name)
+    return out[0], out[1]
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with two columns more: pii_base and pii_spans, arrays of (kind, start, end) by kind and start.
+    """docs with two columns more, which names tells: pii_base and pii_spans, arrays of (kind, start, end) by kind and start.
 
     Places count code points from 0; end is exclusive. Base spans are the matches of BASE, leftmost and
     apart from each other within a kind, that pass their kind's test: an address's parts at most 255, a
     card's 16 to 19 digits Luhn's sum, a phone's digits 8 to 15. pii_spans has them and the accepted
-    proposals. A null or empty text has none. Rows keep their order and number; other columns stay, of any name.
+    proposals that meet none of them and none of an earlier kind (email, card, ip, phone). A null or empty text
+    has none. Rows keep their order and number, repeated ones are alike; other columns stay, of any name. The
+    work on a text grows as n log n with its matches.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base_name, spans_name = names(docs)
+    work, whole, chunks = cluster.fresh_names("pii_text", "pii_more", "pii_chunks")
     never = F.array().cast("array<string>")
+    base_scans, more_scans = cluster.fresh_names(*KINDS), cluster.fresh_names(*(k for k, _, _ in GENERATORS))
     scans = {}
-    for kind in KINDS:
-        need = F.contains(F.col("_pii_text"), F.lit(_NEEDS[kind])) if kind in _NEEDS else F.lit(True)
-        scans[f"_pii_{kind}"] = F.when(need, F.regexp_extract_all(F.col("_pii_text"), F.lit(BASE[kind]), F.lit(0))).otherwise(never)
-    for i, (_, pattern, need) in enumerate(GENERATORS):
-        scans[f"_pii_more{i}"] = F.when(F.col("_pii_text").rlike(need), F.regexp_extract_all(F.col("_pii_text"), F.lit(pattern), F.lit(0))).otherwise(never)
-    found = docs.withColumn("_pii_text", text).withColumns(scans)
-    base = F.concat(*(_base_spans(k, F.col("_pii_text"), F.col(f"_pii_{k}")) for k in KINDS))
-    more = F.concat(*(_proposals(k, p, F.col("_pii_text"), F.col(f"_pii_more{i}")) for i, (k, p, _) in enumerate(GENERATORS)))
-    found = found.withColumns({"pii_base": base, "_pii_more": more})
-    taken = F.aggregate(
-        F.sort_array(F.col("_pii_more")),
-        F.col("pii_base"),
-        lambda acc, s: F.when(_overlaps(acc, s), acc).otherwise(F.array_append(acc, F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))),
-    )
+    for kind, name in zip(KINDS, base_scans):
+        need = F.contains(F.col(work), F.lit(_NEEDS[kind])) if kind in _NEEDS else F.lit(True)
+        scans[name] = F.when(need, F.regexp_extract_all(F.col(work), F.lit(BASE[kind]), F.lit(0))).otherwise(never)
+    for (_, pattern, need), name in zip(GENERATORS, more_scans):
+        scans[name] = F.when(F.col(work).rlike(need), F.regexp_extract_all(F.col(work), F.lit(pattern), F.lit(0))).otherwise(never)
+    found = docs.withColumn(work, F.coalesce(docs[text_col].cast("string"), F.lit(""))).withColumns(scans)
+    some = sum((F.size(name) for name in more_scans), F.lit(0)) > 0
+    found = found.withColumns({base_name: F.concat(*(_base_spans(k, F.col(work), F.col(name)) for k, name in zip(KINDS, base_scans))), chunks: F.when(some, _chunked(F.col(work))).otherwise(never)})
+    proposed = dict(zip(_PRECEDENCE, cluster.fresh_names(*_PRECEDENCE)))
+    found = found.withColumns({proposed[k]: _proposals(k, pattern, F.col(work), F.col(name), F.col(chunks)) for (k, pattern, _), name in zip(GENERATORS, more_scans)})
+    taken = base_name
+    stages = cluster.fresh_names(*_PRECEDENCE)
+    for kind, name in zip(_PRECEDENCE, stages):
+        found = found.withColumn(name, F.when(F.size(proposed[kind]) > 0, F.concat(F.col(taken), _clear(F.col(proposed[kind]), F.col(taken)))).otherwise(F.col(taken)))
+        taken = name
     place = lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     ordered = F.transform(F.sort_array(F.transform(taken, place)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    found = found.withColumn("pii_spans", F.when(F.size("_pii_more") > 0, ordered).otherwise(F.col("pii_base")))
-    return found.drop("_pii_text", "_pii_more", *scans)
+    spans = F.when(F.size(taken) > F.size(base_name), ordered).otherwise(F.col(base_name))
+    return found.select(*(found[c] for c in docs.columns), F.col(base_name), spans.alias(spans_name))
+
+
+#: Of proposals that meet, that of the kind named first stays.
+_PRECEDENCE = ("email", "card", "ip", "phone")
 
 
 def joined(spans: Column) -> Column:
@@ -332,17 +405,23 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: Callable[[Column], Column] = lambda kind: F.concat(F.lit("["), F.upper(kind), F.lit("]"))) -> DataFrame:
-    """docs with each span of the text replaced by its kind's mark. Overlapping spans become one, under the first's mark; a null text stays null."""
+    """docs with each span of the text replaced by its kind's mark. Overlapping spans become one, under the first's mark; a null text stays null. Other columns stay, of any name."""
     found = find(docs, text_col)
-    text = F.col(text_col)
-    by_start = F.sort_array(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, mark(s["kind"]))).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rebuilt = F.aggregate(by_start, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    out = found.withColumn(text_col, F.when(text.isNull() | (F.size("pii_spans") == 0), text).otherwise(rebuilt))
-    return out.drop("pii_base", "pii_spans")
+    _, spans = names(docs)
+    text = found[text_col]
+
+    def rebuilt(by_start: Column, chunks: Column) -> Column:
+        def pieces(upto: Column) -> Column:
+            # A span goes on the one before it where that one's running end lies beyond its start.
+            def piece(s: Column, i: Column) -> Column:
+                before = F.coalesce(F.get(upto, i - 1), F.lit(0))
+                return F.when(s["start"] < before, "").otherwise(F.concat(_cut(chunks, before, s["start"]), mark(s["kind"])))
+
+            return F.concat(F.array_join(F.transform(by_start, piece), ""), _cut(chunks, F.element_at(upto, -1), F.length(text)))
+
+        return _let(_scan(F.transform(by_start, lambda s: s["end"]), F.greatest), pieces)
+
+    by_start = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    fresh = _let(by_start, lambda s: _let(_chunked(text), lambda c: rebuilt(s, c)))
+    new = F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(fresh)
+    return found.select(*(new.alias(c) if c == text_col else found[c] for c in docs.columns))

@@ -3,12 +3,15 @@
 Each document's distinct five-word shingles vote on a fingerprint of 256 bits. Documents of equal shingle
 sets become one node at once. Tables, more of them the more bits they sample, deal nodes into buckets by
 sampled bits of the fingerprint, and one deals short texts by the shingles that similar ones must share; a
-bucket over its cap is dealt again by additional bits, under several samples, so that links survive. Within
-a bucket, fingerprint distances give candidate links: all of them in a sparse bucket, a minimum spanning
+bucket over its cap is dealt again by additional bits, under several samples, which links most of a large group.
+Within a bucket, fingerprint distances give candidate links: all of them in a sparse bucket, a minimum spanning
 forest in a dense one, so a group of copies never gives all its pairs. Links are then verified on the texts
-themselves, first each node's closest, then those that still join different classes. Where a forest's link
-fails and its ends stay apart, all texts that the forest connects are compared exactly, in pairs of blocks,
-so no link that a failing one displaced is lost. Classes are the connected components of what holds.
+themselves, first each node's closest, then those that still join different classes.
+
+Nothing that met in a bucket is lost after that. Rows of a bucket over the cap whose classes still differ are
+compared by their fingerprints, all with all, in pairs of blocks. Where close rows are still apart though
+forests or blocks connect them, all texts of what is so connected are compared exactly, in pairs of blocks.
+Rows of one class are never compared again. Classes are the connected components of what holds.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import cluster
@@ -29,8 +32,10 @@ BITS, VARIANTS = 256, 3
 #: A pair at the similarity asked for meets in no table with this probability at most, whatever the number of texts.
 MISS = 0.001
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-#: Rows in a bucket before additional bits are used, and from which on a bucket is dealt out at random.
+#: Rows in a bucket before additional bits are used, and rows that a task holds of what these leave together.
 CAP, MOST_ROWS = 1024, 8192
+#: Rows of a bucket up to which all its distances are taken lag by lag, together with those of other buckets.
+SMALL = 192
 #: Texts and shingles of a block of those that are compared all with all.
 BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 1 << 20
 _LAST = np.iinfo(np.int64).max
@@ -46,8 +51,8 @@ def _order(table: int, variant: int = -1) -> np.ndarray:
 
 
 def table_width(n: int) -> int:
-    """Sampled bits for so many nodes."""
-    return max(10, min(40, math.ceil(math.log2(max(2, n))) - 3))
+    """Sampled bits for so many nodes: some 64 to 128 unrelated rows a bucket, as distances cost less than tables."""
+    return max(8, min(40, math.ceil(math.log2(max(2, n))) - 7))
 
 
 def tables(width: int, similarity: float = SIMILARITY) -> int:
@@ -188,6 +193,14 @@ def spanning_forest(prints: np.ndarray, most: int) -> list[tuple[int, int, int]]
     return links
 
 
+def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Between all rows of left and all of right."""
+    out = np.zeros((len(left), len(right)), np.uint16)
+    for k in range(left.shape[1]):
+        out += np.bitwise_count(left[:, k, None] ^ right[None, :, k])
+    return out
+
+
 def bucket_links(group: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Candidate links within buckets, and which of them are a forest's: group marks the first row of each."""
     n = len(ids)
@@ -195,7 +208,7 @@ def bucket_links(group: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: i
     start = np.flatnonzero(group)
     size = np.diff(np.append(start, n))
     which = np.repeat(np.arange(len(start)), size)
-    small = size <= 48
+    small = size <= SMALL
     a, b, d = [], [], []
     lag = 1
     rows = np.flatnonzero(small[which])
@@ -207,10 +220,20 @@ def bucket_links(group: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: i
         lag += 1
     i, j, dist = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, d))
     found = np.bincount(which[i], minlength=len(start))
-    dense = np.flatnonzero(~small | (found > 3 * size))
-    keep = ~np.isin(which[i], dense)
+    crowded = found > 3 * size
+    keep = ~crowded[which[i]]
     i, j, dist = [i[keep]], [j[keep]], [dist[keep]]
-    plain = len(i[0])
+    for g in np.flatnonzero(~small).tolist():
+        lo, hi = start[g], start[g] + size[g]
+        crowded[g] = size[g] > CAP
+        if not crowded[g]:
+            d = distances(prints[lo:hi], prints[lo:hi])
+            x, y = np.nonzero(np.triu(d <= most[lo], 1))
+            crowded[g] = len(x) > 3 * size[g]
+            if not crowded[g]:
+                i.append(x + lo), j.append(y + lo), dist.append(d[x, y].astype(np.int64))
+    dense = np.flatnonzero(crowded)
+    plain = sum(map(len, i))
     for g in dense.tolist():
         if links := spanning_forest(prints[start[g] : start[g] + size[g]], int(most[start[g]])):
             x = np.array(links)
@@ -341,8 +364,23 @@ def _compare(table: pa.Table, least: float) -> pa.Table:
     (i1, c1, s1, x1), (i2, c2, s2, x2) = blocks[0], blocks[-1]
     common = common_shingles(x1, x2)
     good = (common > 0) & (common >= least * (s1[:, None] + s2[None, :] - common) - 1e-9) & (c1[:, None] != c2[None, :])
+    return _connecting(i1, i2, good, len(blocks) == 2)
+
+
+def _near(table: pa.Table, most: int) -> pa.Table:
+    """Links that connect what close rows of different classes connect, of one block or between two."""
+    blocks = []
+    for rows in table.column("rows").to_pylist():
+        prints = np.frombuffer(b"".join(r["print"] for r in rows), U64).reshape(-1, BITS // 64)
+        blocks.append((np.array([r["id"] for r in rows], np.int64), np.array([r["class"] for r in rows], np.int64), prints, rows[0]["table"]))
+    (i1, c1, p1, t), (i2, c2, p2, _) = blocks[0], blocks[-1]
+    close = (distances(p1, p2) <= (most if t >= 0 else max(most, SHORT_MOST))) & (c1[:, None] != c2[None, :])
+    return _connecting(i1, i2, close, len(blocks) == 2)
+
+
+def _connecting(i1: np.ndarray, i2: np.ndarray, good: np.ndarray, two: bool) -> pa.Table:
     ids = i1
-    if len(blocks) == 2:
+    if two:
         n, ids = len(i1), np.concatenate([i1, i2])
         joined = np.zeros((len(ids), len(ids)), bool)
         joined[:n, n:], joined[n:, :n] = good, good.T
@@ -379,8 +417,8 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     Near duplicates have a Jaccard similarity of ``similarity`` or more over distinct shingles of k words
     (words part at space and tab to carriage return; a text of fewer words is one shingle). Links are exact:
     no pair below the similarity is linked; a pair above may be missed with the probability that bit sampling
-    leaves (by its model MISS at most at the similarity itself, for any number of texts, for a pair that nothing
-    else connects; less for short texts, which meet by shared shingles). A text without words,
+    leaves (by its model MISS at most at the similarity itself, for any number of texts and any size of a bucket,
+    for a pair that nothing else connects; less for short texts, which meet by shared shingles). A text without words,
     null or not, is a class of its own; a row without id takes no part and has no class. Rows of one id are
     one document. Only the two columns are read. An empty table gives an empty one.
     """
@@ -405,19 +443,20 @@ def _may_be(rows: DataFrame, ids: DataFrame, words: int = 1 << 17) -> DataFrame:
     return rows.withColumn("_word", place).join(F.broadcast(bits), "_word").where(bit.bitwiseAND(F.col("_bits")) != 0).drop("_word", "_bits")
 
 
-def _dealt_out(spark: SparkSession, buckets: DataFrame) -> DataFrame:
-    """Buckets that additional bits leave over MOST_ROWS, cut at random into parts of about so many rows.
+def _dealt_out(spark: SparkSession, buckets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Buckets that additional bits leave over MOST_ROWS, cut at random into parts of about so many rows; and those of shared shingles whole.
 
-    What agrees in so many bits is one group of near copies. Its cuts differ by table and sample, and two
-    independent cuts into large parts connect a group, so no task needs to hold all of it.
+    What agrees in so many bits is mostly one group of near copies. Its cuts differ by table and sample, and two
+    independent cuts into large parts connect a group, so no task needs to hold all of it; what they leave apart
+    meets in _across.
     """
     by = ["table", "key"]
     over = cluster.materialize(spark, buckets.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_ROWS), "large")
     if over.isEmpty():
-        return buckets
+        return buckets, None
     part = F.pmod(F.xxhash64("id", "table", "key"), F.ceil(F.col("n") / MOST_ROWS))
     salted = F.when(F.col("n").isNull(), F.col("key")).otherwise(F.xxhash64("key", part))
-    return buckets.join(over, by, "left").select("table", salted.alias("key"), "id", "print")
+    return buckets.join(over, by, "left").select("table", salted.alias("key"), "id", "print"), buckets.where("table < 0").join(over, by).select("table", "key", "id", "print")
 
 
 def _links(spark: SparkSession, rows: DataFrame, nodes: DataFrame, similarity: float, k: int) -> DataFrame:
@@ -428,20 +467,30 @@ def _links(spark: SparkSession, rows: DataFrame, nodes: DataFrame, similarity: f
     most, cap = loose_distance(similarity), CAP
     dealt = nodes.select(F.col("node").alias("id"), "print", "heads").mapInArrow(lambda b: _deal(b, width, count), "table int, key long, id long, print binary")
     over = cluster.materialize(spark, dealt.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap), "over")
-    fits, large = dealt, None
+    buckets = fits = dealt
+    large = None
     if not over.isEmpty():
         marked = dealt.join(over, ["table", "key"], "left")
         fits = marked.where("n is null").drop("n")
-        large = marked.where("n is not null").mapInArrow(lambda b: _deal_again(b, width, cap), "table int, key long, id long, print binary")
-    buckets = fits if large is None else fits.unionByName(_dealt_out(spark, large))
+        large = cluster.materialize(spark, marked.where("n is not null"), "crowded")
+        again = large.select("table", "key", "id", "print", "n").mapInArrow(lambda b: _deal_again(b, width, cap), "table int, key long, id long, print binary")
+        dealt_again, whole = _dealt_out(spark, again)
+        buckets = fits.unionByName(dealt_again)
+        # Samples of shared-shingle buckets are as many as MISS asks for: only what is cut at random has to meet.
+        large = large.where("table >= 0").drop("n")
+        large = large if whole is None else large.unionByName(whole)
     parts = cluster.shuffle_partitions(spark)
     found = buckets.repartition(parts, "table", "key").sortWithinPartitions("table", "key").mapInArrow(lambda b: _link(b, most), "a long, b long, distance long, forest boolean")
     found = cluster.materialize(spark, found.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max("forest").alias("forest")), "found")
 
-    ends = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
-    # An inner join (ends are distinct): a semi-join would be pushed below the bitmap's, and all texts would move.
-    texts = _may_be(rows, ends).join(ends, "id").groupBy("id").agg(F.max("text").alias("text"))
-    texts = cluster.materialize(spark, texts, "texts")
+    def fetched(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+        if known is not None:
+            ends = cluster.materialize(spark, ends.join(known.select("id"), "id", "left_anti"), "ends")
+        # An inner join (ends are distinct): a semi-join would be pushed below the bitmap's, and all texts would move.
+        return cluster.materialize(spark, _may_be(rows, ends).join(ends, "id").groupBy("id").agg(F.max("text").alias("text")), "texts")
+
+    texts = fetched(found)
 
     def verified(links: DataFrame) -> DataFrame:
         left, right = texts.withColumnsRenamed({"id": "a", "text": "t1"}), texts.withColumnsRenamed({"id": "b", "text": "t2"})
@@ -455,41 +504,72 @@ def _links(spark: SparkSession, rows: DataFrame, nodes: DataFrame, similarity: f
     a, b = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     rest = found.select("a", "b").join(closest, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").where(~F.coalesce("la", "a").eqNullSafe(F.coalesce("lb", "b")))
     good = cluster.materialize(spark, good.unionByName(verified(rest)), "links")
-    return good.unionByName(_displaced(spark, texts, found, good, similarity, k))
+    forests = found.where("forest").select("a", "b")
+    if large is not None:
+        more = _across(spark, large, components(spark, good), most)
+        texts, forests = texts.unionByName(fetched(more, texts)), forests.unionByName(more)
+    return good.unionByName(_displaced(spark, texts, forests, good, similarity, k))
 
 
-def _displaced(spark: SparkSession, texts: DataFrame, found: DataFrame, good: DataFrame, similarity: float, k: int) -> DataFrame:
-    """Links that hold but that a forest proposed others for, which failed.
+def _block_pairs(spark: SparkSession, rows: DataFrame, by: list[str], payload: list[str], similarity: float | None = None) -> DataFrame:
+    """(pair, rows) for the pairs of blocks, and blocks with themselves, that have all pairs of rows of a group whose classes differ.
+
+    rows: by, class, id and the payload. A class that fills blocks has them for itself: they are not compared
+    with one another. Given a similarity, the payload has the sizes of sets, which bound it. Blocks are rows, so
+    few rows move however large a group is.
+    """
+    sized = similarity is not None
+    size = F.col("size") if sized else F.lit(0)
+    each = rows.groupBy(*by, "class").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("shingles"))
+    each = each.withColumn("own", F.when((F.col("n") > BLOCK_TEXTS // 8) | (F.col("shingles") > BLOCK_SHINGLES // 8), F.col("class")).otherwise(F.lit(_LAST)))
+    parts = each.groupBy(*by, "own").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
+    parts = parts.select(*by, "own", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("parts"))
+    placed = rows.join(each.select(*by, "class", "own").join(parts, [*by, "own"]), [*by, "class"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    bounds = (F.min(size).alias("least"), F.max(size).alias("most"))
+    blocks = placed.groupBy(*by, "own", "part").agg(F.collect_list(F.struct("id", "class", *payload)).alias("rows"), *bounds)
+    blocks = cluster.materialize(spark, blocks.withColumn("block", F.concat_ws(" ", *by, "own", "part")), "blocks")
+    one = blocks.select(*by, "own", "block", "least", "most")
+    other = one.withColumnsRenamed({c: c + "2" for c in one.columns if c not in by})
+    met = (F.col("block") <= F.col("block2")) & ((F.col("own") != F.col("own2")) | (F.col("own") == _LAST))
+    if sized:
+        met = met & (F.col("most2") >= similarity * F.col("least") - 1e-9) & (F.col("most") >= similarity * F.col("least2") - 1e-9)
+    pairs = one.join(other, by).where(met)
+    sides = pairs.select(F.concat_ws("/", "block", "block2").alias("pair"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    return sides.join(blocks.select("block", "rows"), "block").select("pair", "rows")
+
+
+def _named(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes as pairs of their classes, those within a class left out."""
+    a, b = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    la, lb = F.coalesce("la", "a"), F.coalesce("lb", "b")
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(la != lb).select(F.least(la, lb).alias("a"), F.greatest(la, lb).alias("b")).distinct()
+
+
+def _across(spark: SparkSession, large: DataFrame, label: DataFrame, most: int) -> DataFrame:
+    """Of buckets over the cap (table, key, id, print): links (a, b) that connect what pairs of close rows of different classes connect."""
+    rows = large.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("label", "id")).drop("label")
+    mixed = rows.groupBy("table", "key").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first < last").select("table", "key")
+    rows = cluster.materialize(spark, rows.join(mixed, ["table", "key"]), "mixed")
+    met = _block_pairs(spark, rows, ["table", "key"], ["print", "table"])
+    return cluster.materialize(spark, met.groupBy("pair").applyInArrow(lambda t: _near(t, most), "a long, b long").distinct(), "across")
+
+
+def _displaced(spark: SparkSession, texts: DataFrame, forests: DataFrame, good: DataFrame, similarity: float, k: int) -> DataFrame:
+    """Links that hold but that forests (a, b) have others for, which failed.
 
     A forest connects all rows of its bucket that close pairs connect. So what its failed links and those that
     hold connect, a clump, has both ends of every pair that was not proposed; a clump's texts are compared all
-    with all, but for those of one class. Blocks of texts are rows, so few rows move however large a clump is.
+    with all, but for those of one class.
     """
     label = components(spark, good)
-    a, b = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    la, lb = F.coalesce("la", "a"), F.coalesce("lb", "b")
-    apart = found.where("forest").join(a, "a", "left").join(b, "b", "left").where(la != lb).select(F.least(la, lb).alias("a"), F.greatest(la, lb).alias("b")).distinct()
-    apart = cluster.materialize(spark, apart, "apart")
+    apart = cluster.materialize(spark, _named(forests, label), "apart")
     if apart.isEmpty():
         return good.limit(0)
     clumps = components(spark, apart).select(F.col("node").alias("class"), F.col("label").alias("clump"))
     held = texts.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("label", "id")).join(clumps, "class")
     sets = held.select("clump", "class", "id", "text").mapInArrow(lambda batches: _sets(batches, k), "clump long, class long, id long, size long, shingles binary")
     sets = cluster.materialize(spark, sets, "sets")
-    # A class that fills blocks has them for itself: they are not compared with one another.
-    count = (F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
-    each = sets.groupBy("clump", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
-    each = each.withColumn("own", F.when((F.col("n") > BLOCK_TEXTS // 8) | (F.col("shingles") > BLOCK_SHINGLES // 8), F.col("class")).otherwise(F.lit(_LAST)))
-    parts = each.groupBy("clump", "own").agg(*count).select("clump", "own", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("parts"))
-    placed = sets.join(each.select("clump", "class", "own").join(parts, ["clump", "own"]), ["clump", "class"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    blocks = placed.groupBy("clump", "own", "part").agg(F.collect_list(F.struct("id", "class", "size", "shingles")).alias("rows"), F.min("size").alias("least"), F.max("size").alias("most"))
-    blocks = cluster.materialize(spark, blocks.withColumn("block", F.concat_ws(" ", "clump", "own", "part")), "blocks")
-    one = blocks.select("clump", "own", "block", "least", "most")
-    other = one.withColumnsRenamed({c: c + "2" for c in one.columns if c != "clump"})
-    near = (F.col("most2") >= similarity * F.col("least") - 1e-9) & (F.col("most") >= similarity * F.col("least2") - 1e-9)
-    pairs = one.join(other, "clump").where((F.col("block") <= F.col("block2")) & ((F.col("own") != F.col("own2")) | (F.col("own") == _LAST)) & near)
-    sides = pairs.select(F.concat_ws("/", "block", "block2").alias("pair"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
-    met = sides.join(blocks.select("block", "rows"), "block").select("pair", "rows")
+    met = _block_pairs(spark, sets, ["clump"], ["size", "shingles"], similarity)
     return cluster.materialize(spark, met.groupBy("pair").applyInArrow(lambda t: _compare(t, similarity), "a long, b long"), "displaced")
 
 
@@ -498,9 +578,11 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
 
     Rows without id stay. Of rows with one id and one text, one stays.
     """
-    id_ = F.col(id_col).cast("long")
-    named = classes(spark, docs, id_col, text_col, similarity).where(F.col("class_id") == F.col(id_col)).select(F.col(id_col).alias("_kept")).distinct()
-    named = cluster.materialize(spark, named, "kept")
-    staying = docs.where(id_.isNotNull()).withColumn("_kept", id_).join(named, "_kept", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_kept", F.xxhash64(F.col(text_col))).orderBy(F.lit(0)))
-    return staying.withColumn("_row", first).where("_row = 1").drop("_kept", "_row").unionByName(docs.where(id_.isNull()))
+    own = cluster.fresh_names("kept", "times", "text")
+    id_ = docs[id_col].cast("long")
+    named = classes(spark, docs, id_col, text_col, similarity).where(F.col("class_id") == F.col(id_col))
+    named = cluster.materialize(spark, named.groupBy(F.col(id_col).alias(own[0])).agg(F.count(F.lit(1)).alias(own[1])), "kept")
+    staying = docs.where(id_.isNotNull()).join(named, id_ == F.col(own[0]))
+    once = staying.where(F.col(own[1]) == 1).select(docs.columns)
+    again = staying.where(F.col(own[1]) > 1).withColumn(own[2], F.xxhash64(docs[text_col])).dropDuplicates([own[0], own[2]]).select(docs.columns)
+    return once.unionByName(again).unionByName(docs.where(id_.isNull()))

@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+import pytest
 
 from tessera.llm import simhash
 from tessera.llm import vectext as vt
@@ -89,6 +90,44 @@ def test_a_template_family_below_the_threshold(spark):
     assert {r.doc_id: r.class_id for r in simhash.classes(spark, spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()} == want
 
 
+def templated(rng, n, pairs, own, changed, words=240):
+    """Pages of one template, each with words of its own; the last ones are edits of the first."""
+    base = brute.prose(rng, words).split()
+    docs = {}
+    for i in range(n):
+        docs[i] = base + [f"own{i}x{j}" for j in range(own)]
+    for p in range(pairs):
+        docs[n + p] = docs[p][: len(docs[p]) - changed] + [f"new{p}x{j}" for j in range(changed)]
+    return {i: " ".join(w) for i, w in docs.items()}
+
+
+@pytest.mark.parametrize("cap", [1024, 100])
+def test_templated_pairs_just_above_the_threshold(spark, monkeypatch, cap):
+    """Pairs at about 0.81 among pages that share a template at about 0.75: none is lost, in buckets below the cap or above it."""
+    monkeypatch.setattr(simhash, "CAP", cap)
+    monkeypatch.setattr(simhash, "MOST_ROWS", 4 * cap)
+    docs = templated(random.Random(8), 240, 60, 40, 30)
+    sets = {i: brute.shingles(t) for i, t in docs.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.8 <= min(alike(p, 240 + p) for p in range(60)) < 0.83 and 0.7 < alike(100, 101) < 0.77
+    want = brute.similar_classes(docs)
+    got = {r.doc_id: r.class_id for r in simhash.classes(spark, spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == want and sum(want[240 + p] == p for p in range(60)) == 60
+
+
+def test_names_of_the_callers_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7, 8), (2, "a b c d e f", 9, 10), (2, "a b c d e f", 9, 10), (None, None, 1, 2)], "doc_id long, text string, _kept int, _row int")
+    out = simhash.keep_one(spark, df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=repr) == sorted([(1, "a b c d e f", 7, 8), (None, None, 1, 2)], key=repr)
+    assert simhash.keep_one(spark, df.limit(0)).count() == 0
+
+
+def test_distances():
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(0, 1 << 63, (n, 4)).astype(np.uint64) for n in (7, 5))
+    assert simhash.distances(a, b).tolist() == [[sum(int(x).bit_count() for x in r ^ t) for t in b] for r in a]
+
+
 def test_tables_follow_the_width():
     p = simhash.expected_distance(0.8) / simhash.BITS
     for n in (100, 10_000, 250_000, 1_000_000, 15_000_000):
