@@ -34,6 +34,8 @@ MISS = 0.001
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Rows in a bucket before additional bits are used, and rows that a task holds of what these leave together.
 CAP, MOST_ROWS = 1024, 8192
+#: Bits of the bitmap that tells most rows that their bucket is not over the cap: 1 MB, whatever the input.
+SLOTS = 1 << 23
 #: Rows of a bucket up to which all its distances are taken lag by lag, together with those of other buckets.
 SMALL = 192
 #: Texts and shingles of a block of those that are compared all with all.
@@ -136,16 +138,51 @@ def _sampled(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def _deal(batches, width: int, count: int):
-    """Each node once a table, and a short one by its shingles in table -1: table, key, id, print."""
+def _dealt(batches, width: int, count: int):
+    """Each node once a table, and a short one by its shingles in table -1: (table, keys, rows, batch)."""
     for batch in batches:
         bits = np.unpackbits(_prints(batch.column(1)), axis=1)
         for t in range(count):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), t, np.int32)), pa.array(_sampled(bits, _order(t)[:width])), batch.column(0), batch.column(1)], ["table", "key", "id", "print"])
+            yield t, _sampled(bits, _order(t)[:width]), np.arange(len(bits)), batch
         data, at = vt.column_bytes(batch.column(2))
         heads, row = np.frombuffer(data.tobytes(), np.int64), np.repeat(np.arange(len(bits)), np.diff(at) // 8)
         if len(heads):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), -1, np.int32)), pa.array(heads), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["table", "key", "id", "print"])
+            yield -1, heads, row, batch
+
+
+def _slots(table: int | np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A place in a bitmap of SLOTS bits for each bucket."""
+    with np.errstate(over="ignore"):
+        return (vt.mix(key.view(U64) * U64(1 << 13) + np.asarray(table, np.int64).view(U64) + U64(1)) % U64(SLOTS)).astype(np.int64)
+
+
+def _deal(batches, width: int, count: int, over: np.ndarray | None, large: bool):
+    """Rows (table, key, id, print): those of buckets that the bitmap over has, or all others."""
+    for table, key, row, batch in _dealt(batches, width, count):
+        if over is not None:
+            at = _slots(table, key)
+            mine = np.flatnonzero((over[at >> 6] >> (at & 63).astype(U64) & U64(1)).astype(bool) == large)
+            key, row = key[mine], row[mine]
+        if len(key):
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), table, np.int32)), pa.array(key), batch.column(0).take(rows), batch.column(1).take(rows)], ["table", "key", "id", "print"])
+
+
+def _count(batches, width: int, count: int):
+    """Rows of each bucket, summed up within batches."""
+    for table, key, _, _ in _dealt(batches, width, count):
+        key, n = np.unique(key, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), table, np.int32)), pa.array(key), pa.array(n)], ["table", "key", "n"])
+
+
+def _bitmap(batches):
+    """Buckets (table, key) as words of a bitmap: (word, bits)."""
+    out = np.zeros(SLOTS // 64, U64)
+    for batch in batches:
+        at = _slots(batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy())
+        np.bitwise_or.at(out, at >> 6, U64(1) << (at & 63).astype(U64))
+    word = np.flatnonzero(out)
+    yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(out[word].view(np.int64))], ["word", "bits"])
 
 
 def _deal_again(batches, width: int, cap: int):
@@ -465,14 +502,20 @@ def _links(spark: SparkSession, rows: DataFrame, nodes: DataFrame, similarity: f
     width = table_width(n)
     count = tables(width, similarity)
     most, cap = loose_distance(similarity), CAP
-    dealt = nodes.select(F.col("node").alias("id"), "print", "heads").mapInArrow(lambda b: _deal(b, width, count), "table int, key long, id long, print binary")
-    over = cluster.materialize(spark, dealt.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap), "over")
-    buckets = fits = dealt
-    large = None
-    if not over.isEmpty():
-        marked = dealt.join(over, ["table", "key"], "left")
-        fits = marked.where("n is null").drop("n")
-        large = cluster.materialize(spark, marked.where("n is not null"), "crowded")
+    own, fields = nodes.select(F.col("node").alias("id"), "print", "heads"), "table int, key long, id long, print binary"
+    counted = own.mapInArrow(lambda b: _count(b, width, count), "table int, key long, n long").groupBy("table", "key").agg(F.sum("n").alias("n"))
+    over = cluster.materialize(spark, counted.where(F.col("n") > cap), "over")
+    if over.isEmpty():
+        buckets, large = own.mapInArrow(lambda b: _deal(b, width, count, None, False), fields), None
+    else:
+        # The bitmap has some false hits; their buckets are known by the join and stay as they are.
+        words = over.select("table", "key").mapInArrow(_bitmap, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        bitmap = np.zeros(SLOTS // 64, U64)
+        bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U64)
+        marked = own.mapInArrow(lambda b: _deal(b, width, count, bitmap, True), fields).join(over, ["table", "key"], "left")
+        marked = cluster.materialize(spark, marked, "crowded")
+        fits = own.mapInArrow(lambda b: _deal(b, width, count, bitmap, False), fields).unionByName(marked.where("n is null").drop("n"))
+        large = marked.where("n is not null")
         again = large.select("table", "key", "id", "print", "n").mapInArrow(lambda b: _deal_again(b, width, cap), "table int, key long, id long, print binary")
         dealt_again, whole = _dealt_out(spark, again)
         buckets = fits.unionByName(dealt_again)
