@@ -6,7 +6,7 @@ from tessera.llm.quality_rules import STOP_WORDS
 OP1 = r"""
 with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) as h from pages),
 b as (select page_id, url, list_transform(regexp_split_to_array(h, '</?(?:p|h1)>'), lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')) as b from a),
-u as (select page_id, url, list_transform(b, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) as b from b),
+u as (select page_id, url, list_transform(b, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) as b from b),
 t as (select page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) as text from u)
 select page_id, url, text, length(text) as n_chars from t
 """
