@@ -1,7 +1,8 @@
 """Quality rules: a threshold table compiled into one projection of built-in functions.
 
-No row meets another: counts and verdicts come from the row's own text. Windows of three words that repeat
-are found by sorting the row's window hashes, each packed with its place, so the work grows as n log n.
+No row meets another: counts and verdicts come from the row's own text. Windows of three words that may repeat
+are found by sorting the row's window hashes, each packed with its place, and these are then sorted by their
+words, so the count is exact and the work grows as n log n.
 """
 
 from __future__ import annotations
@@ -65,6 +66,21 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _covered(words: Column, places: Column) -> Column:
+    """Words in those windows of three at these places that equal another of them."""
+
+    def repeated(windows: Column) -> Column:
+        same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+        beside = lambda i, x: F.coalesce(same(F.get(windows, i), x), F.lit(False))
+        twice = F.filter(windows, lambda x, i: beside(i - 1, x) | beside(i + 1, x))
+        start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
+        step = lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3), x - a["last"])).alias("n"))
+        return F.aggregate(F.sort_array(F.transform(twice, lambda x: x["at"])), start, step, lambda a: a["n"])
+
+    window = lambda i: F.struct(F.get(words, i).alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"), i.alias("at"))
+    return _let(F.sort_array(F.transform(places, window)), repeated)
+
+
 def _repeat_words(words: Column) -> Column:
     """Words that stand in a window of three words found twice or more in the row."""
 
@@ -81,9 +97,7 @@ def _repeat_words(words: Column) -> Column:
                 group = lambda x: x - F.pmod(x, p)
                 beside = lambda i, step, x: group(F.get(keys, i + step)).eqNullSafe(group(x))
                 twice = F.filter(keys, lambda x, i: beside(i, -1, x) | beside(i, 1, x))
-                places = F.sort_array(F.transform(twice, lambda x: F.pmod(x, p)))
-                start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-                return F.aggregate(places, start, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n")), lambda a: a["n"])
+                return _let(F.transform(twice, lambda x: F.pmod(x, p).cast("int")), lambda places: F.when(F.size(places) == 0, F.lit(0).cast("long")).otherwise(_covered(words, places)))
 
             return _let(F.sort_array(F.transform(F.slice(h, F.lit(1), F.greatest(n - 2, F.lit(0))), pack)), repeated)
 

@@ -25,3 +25,21 @@ def test_no_python_and_no_exchange_in_the_plan(spark):
 def test_a_rule_table_of_ones_own(spark):
     df = spark.createDataFrame([(1, "word " * 20 + "end here now " + " ".join(f"w{i}" for i in range(60)))], "doc_id long, text string")
     assert quality_rules.judge(df, (quality_rules.Rule("short", "n_words", high=10),)).first().failed == ["short"]
+
+
+def test_windows_that_only_share_a_hash_are_told_apart(spark):
+    """Every place proposed, as if all windows had one hash: the words decide."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcd") for _ in range(n)) for n in (3, 4, 9, 30, 200)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("w", F.split("t", " "))
+    got = df.select("t", quality_rules._covered(F.col("w"), F.sequence(F.lit(0), F.size("w") - 3)).alias("n")).collect()
+    assert all(r.n == brute.rule_counts(r.t)[4] for r in got)
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(5)
+    text = " ".join(str(rng.randrange(400)) for _ in range(300_000))
+    r = quality_rules.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.rule_counts(text)
