@@ -18,10 +18,12 @@ from tessera.llm.quality_rules import count_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_PASSES = 3
-#: Points are multiples of 2 ** -BITS; sources meet slots in cells of 2 ** -CELL_BITS.
-BITS, CELL_BITS = 44, 12
+#: Points are multiples of 2 ** -BITS; sources meet slots in cells, so many that a cell has few sources, 2 ** LEAST_CELL_BITS at least.
+BITS, LEAST_CELL_BITS = 44, 12
 #: Words in a block at most, blocks in a source at least (where it has the words), and documents a cell.
 MOST_WORDS, LEAST_BLOCKS, DOCS_A_CELL = 512, 256, 4096
+#: Sources that a task orders.
+ROWS_A_RANGE = 100_000
 
 
 def source_key(source: Column) -> Column:
@@ -29,7 +31,25 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
-def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
+def running(spark: SparkSession, rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with place (from 0 in this order, which must be total) and, by name, each sum over the rows before.
+
+    Ranges of rows are summed by themselves, then the ranges' sums, so that no task has all rows.
+    """
+    part = cluster.fresh_names("part")[0]
+    rows = rows.withColumns({"place": F.lit(1).cast("long"), **sums})
+    parts = max(1, -(-rows.count() // ROWS_A_RANGE))
+    rows = cluster.materialize(spark, rows.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    names = ["place", *sums]
+    per = rows.groupBy(part).agg(*(F.sum(c).alias(c) for c in names))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    per = per.select(F.col(part), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{part}_{c}") for c in names))
+    within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(F.broadcast(per), part)
+    return out.withColumns({c: F.col(f"{part}_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in names}).drop(part, *(f"{part}_{c}" for c in names))
+
+
+def targets(spark: SparkSession, sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
     """Per source of sized (source, size): key, n_docs, source_size, target.
 
     Sources by code point, null last, take the weights in turn. Targets share the sum of all sizes by weight
@@ -37,15 +57,15 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     by cap over weight, all before some place stop at their caps: running sums find it.
     """
     per = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.pmod(place - 1, F.lit(len(weights))) + 1).cast("int")))
+    per = running(spark, per, [F.col("source").asc_nulls_last()], {})
+    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int"))).withColumnRenamed("place", "number")
     per = per.withColumn("cap", (F.col("source_size") * most).cast("double"))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, rest, whole = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.withColumn("level", (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
-    free = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
-    per = per.withColumn("level", F.first(free, ignorenulls=True).over(whole))
-    return per.select("source", source_key(F.col("source")).alias("key"), "n_docs", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    per = cluster.materialize(spark, running(spark, per, [F.col("cap") / F.col("weight"), F.col("number")], {"capped": F.col("cap"), "weights": F.col("weight")}), "shares")
+    size, weight = per.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(float(size or 0)) - F.col("capped")) / (F.lit(float(weight or 0)) - F.col("weights"))
+    free = per.select(level.alias("level"), "place").where(level * F.col("weight") <= F.col("cap")).agg(F.min_by("level", "place")).first()[0]
+    target = F.col("cap") if free is None else F.least(F.col("cap"), F.lit(free) * F.col("weight"))
+    return per.select("source", source_key(F.col("source")).alias("key"), "n_docs", "source_size", target.alias("target"))
 
 
 def points_below(n: np.ndarray, t: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -70,21 +90,19 @@ def schedule(spark: SparkSession, per: DataFrame) -> DataFrame:
         {"quota": F.round(F.col("target") / F.col("words")).cast("long"), "blocks": F.ceil(F.col("source_size") / F.col("words"))}
     )
     per = per.where("quota > 0")
-    whole = Window.orderBy("key")
-    unit = float(1 << BITS)
-    upto = F.sum("quota").over(whole.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("quota").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    edge = lambda c: F.floor(c / total * F.lit(unit)).cast("long")
-    per = per.withColumns({"low": edge(upto - F.col("quota")), "high": F.when(upto == total, F.lit(1 << BITS)).otherwise(edge(upto)), "total": total})
-    per = cluster.materialize(spark, per.select("key", "words", "quota", "blocks", "low", "high", "total"), "sources")
-    slots = int(per.agg(F.coalesce(F.max("total"), F.lit(0))).first()[0])
+    per = cluster.materialize(spark, running(spark, per, [F.col("key")], {"before": F.col("quota")}), "quotas")
+    slots, sources = per.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count(F.lit(1))).first()
+    total, upto = F.lit(slots), F.col("before") + F.col("quota")
+    edge = lambda c: F.floor(c / total * F.lit(float(1 << BITS))).cast("long")
+    per = per.withColumns({"low": edge(F.col("before")), "high": F.when(upto == total, F.lit(1 << BITS)).otherwise(edge(upto))})
+    cell_bits = max(LEAST_CELL_BITS, min(BITS, int(sources).bit_length() + 1))
     if slots >= 1 << (BITS - 1):
         raise ValueError("more slots than points; let MOST_WORDS be larger")
     n = slots + slots // 256 + 2 * BITS if slots else 0  # past the end, until each source has had its quota
     point = F.conv(F.reverse(F.lpad(F.bin("id"), BITS, "0")), 2, 10).cast("long")
     run = spark.range(0, n, 1, max(1, min(n // 50_000 + 1, 100_000))).select(F.col("id").alias("slot"), point.alias("point"))
-    run = run.withColumn("cell", F.shiftright("point", BITS - CELL_BITS))
-    cells = per.withColumn("cell", F.explode(F.sequence(F.shiftright("low", BITS - CELL_BITS), F.shiftright(F.greatest(F.col("low"), F.col("high") - 1), BITS - CELL_BITS))))
+    run = run.withColumn("cell", F.shiftright("point", BITS - cell_bits))
+    cells = per.withColumn("cell", F.explode(F.sequence(F.shiftright("low", BITS - cell_bits), F.shiftright(F.greatest(F.col("low"), F.col("high") - 1), BITS - cell_bits))))
     met = run.join(cells, "cell").where("low <= point and point < high").select("slot", "key", "quota", "blocks", "low", "high")
 
     def rank(batches):
@@ -111,18 +129,18 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", source_col
     """
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size"))
     sized = cluster.materialize(spark, sized, "sizes")
-    per = cluster.materialize(spark, targets(sized), "targets")
+    per = cluster.materialize(spark, targets(spark, sized), "targets")
     slots = schedule(spark, per)
 
     # Running sums of words, in two steps: over cells of a source's shuffled order, then within a cell.
     known = per.select("key", "n_docs", "source_size", "target", F.greatest(F.lit(1), F.least(F.lit(MOST_WORDS), F.floor(F.col("source_size") / LEAST_BLOCKS))).alias("words"))
-    order = F.xxhash64(F.col("id"), F.lit(seed))
+    order = F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f" {seed}")).cast("binary"))
     placed = sized.withColumn("key", source_key(F.col("source"))).join(known, "key")
-    placed = placed.withColumn("order", order).withColumn("cell", F.pmod(F.col("order"), F.ceil(F.col("n_docs") / DOCS_A_CELL)))
+    placed = placed.withColumn("order", order).withColumn("cell", F.pmod(F.conv(F.substring("order", 1, 12), 16, 10).cast("long"), F.ceil(F.col("n_docs") / DOCS_A_CELL)))
     by_cell = placed.groupBy("key", "cell").agg(F.sum("size").alias("cell_words"), F.count(F.lit(1)).alias("cell_docs"))
     upto = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     by_cell = by_cell.select("key", "cell", F.coalesce(F.sum("cell_words").over(upto), F.lit(0)).alias("base_words"), F.coalesce(F.sum("cell_docs").over(upto), F.lit(0)).alias("base_docs"))
-    within = Window.partitionBy("key", "cell").orderBy("order", "id", "size")
+    within = Window.partitionBy("key", "cell").orderBy("order", "size")
     placed = placed.join(by_cell, ["key", "cell"]).withColumns(
         {
             "at": F.col("base_words") + F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
@@ -147,11 +165,12 @@ def taken(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", source_c
 
 
 def repeat_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs with each row as often as the mix takes its words, to the nearest whole number (0 to 3); all columns stay.
+    """docs with each row as often as the mix takes its words, to the nearest whole number (0 to 3); all columns stay, of any name.
 
     Rows of one id are repeated alike. A document without words has none to take, and goes.
     """
-    per = taken(spark, docs, id_col, source_col, text_col).groupBy(F.col(id_col).alias("_id")).agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-    per = per.where("s > 0").select("_id", F.round(F.col("t") / F.col("s")).cast("int").alias("_copies")).where("_copies > 0")
-    out = docs.join(per, docs[id_col].eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    own, copies, copy = cluster.fresh_names("id", "copies", "copy")
+    per = taken(spark, docs, id_col, source_col, text_col).groupBy(F.col(id_col).alias(own)).agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
+    per = per.where("s > 0").select(own, F.round(F.col("t") / F.col("s")).cast("int").alias(copies)).where(F.col(copies) > 0)
+    out = docs.join(per, docs[id_col].eqNullSafe(F.col(own))).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return out.select(*(docs[c] for c in docs.columns))

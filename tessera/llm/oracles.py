@@ -11,6 +11,31 @@ t as (select page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), ch
 select page_id, url, text, length(text) as n_chars from t
 """
 
+#: Slots by their numbers' turned bits, ranked within a source by counting; documents in the order of a digest.
+OP3 = r"""
+with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
+s as (select source, count(*) as n_docs, cast(sum(size) as bigint) as source_size, row_number() over (order by encode(source) nulls last) - 1 as number from d group by source),
+c as (select *, case number % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight, cast(3 * source_size as double) as cap from s),
+o as (select *, row_number() over (order by cap / weight, number) as place,
+  (cast(sum(source_size) over () as double) - coalesce(sum(cap) over (order by cap / weight, number rows between unbounded preceding and 1 preceding), 0)) /
+  (sum(weight) over () - coalesce(sum(weight) over (order by cap / weight, number rows between unbounded preceding and 1 preceding), 0)) as level from c),
+l as (select min_by(level, place) as level from o where level * weight <= cap),
+t as (select o.* exclude (level), case when l.level is null then cap else least(cap, l.level * weight) end as target, coalesce('s' || source, 'n') as key, greatest(1, least(512, source_size // 256)) as words from o, l),
+q as (select *, cast(round(target / words) as bigint) as quota, (source_size + words - 1) // words as blocks from t where source_size > 0 and target > 0),
+e as (select *, sum(quota) over (order by encode(key)) as upto, sum(quota) over () as total from q where quota > 0),
+r as (select key, quota, blocks, cast(floor(cast(upto - quota as double) / total * 17592186044416.0::double) as bigint) as low, case when upto = total then 17592186044416 else cast(floor(cast(upto as double) / total * 17592186044416.0::double) as bigint) end as high from e),
+n as (select unnest(range(0, (select coalesce(cast(max(total) as bigint), 0) + coalesce(cast(max(total) as bigint), 0) // 256 + 88 from e))) as slot),
+p as (select slot, list_sum(list_transform(range(0, 44), lambda b: ((slot >> b) & 1) << (43 - b))) as point from n),
+k as (select slot, key, blocks, quota, row_number() over (partition by key order by slot) - 1 as rank from p join r on low <= point and point < high),
+m as (select key, rank % blocks as block, count(*) as times from k where rank < quota group by all),
+g as (select doc_id, key, size, source_size, target, words, md5(coalesce(cast(doc_id as varchar), '') || ' 17') as ord, n_docs from d join t on d.source is not distinct from t.source),
+h as (select *, cast('0x' || substr(ord, 1, 12) as bigint) % cast(ceil(n_docs / 4096) as bigint) as cell from g),
+a as (select *, row_number() over () as nr, cast(coalesce(sum(size) over (partition by key order by cell, ord, size rows between unbounded preceding and 1 preceding), 0) as bigint) as first from h),
+b as (select nr, first, size, words, key, unnest(range(first // words, (first + size - 1) // words + 1)) as block from a where size > 0),
+f as (select nr, cast(sum(times * (least(first + size, (block + 1) * words) - greatest(first, block * words))) as bigint) as taken from b join m using (key, block) group by nr)
+select doc_id, size, source_size, target, coalesce(taken, 0) as taken from a left join f using (nr)
+"""
+
 #: Windows as hexadecimal digits, two a byte.
 OP2 = """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
@@ -74,4 +99,4 @@ select page_id, cast(n as bigint) as payload_bytes, d as payload_digest,
 from w
 """
 
-SQL = {"op1_html_extraction": OP1, "op2_suffix_array_dedup": OP2, "op4_quality_rules": OP4, "op6_simhash_dedup": OP6, "op7_exact_topk": OP7, "op9_arc_to_warc": OP9}
+SQL = {"op1_html_extraction": OP1, "op2_suffix_array_dedup": OP2, "op3_source_mixing": OP3, "op4_quality_rules": OP4, "op6_simhash_dedup": OP6, "op7_exact_topk": OP7, "op9_arc_to_warc": OP9}

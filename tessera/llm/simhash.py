@@ -168,11 +168,10 @@ def _deal(batches, width: int, count: int, over: np.ndarray | None, large: bool)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), table, np.int32)), pa.array(key), batch.column(0).take(rows), batch.column(1).take(rows)], ["table", "key", "id", "print"])
 
 
-def _count(batches, width: int, count: int):
-    """Rows of each bucket, summed up within batches."""
+def _keys(batches, width: int, count: int):
+    """The bucket of each row, once a table."""
     for table, key, _, _ in _dealt(batches, width, count):
-        key, n = np.unique(key, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), table, np.int32)), pa.array(key), pa.array(n)], ["table", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), table, np.int32)), pa.array(key)], ["table", "key"])
 
 
 def _bitmap(batches):
@@ -503,7 +502,7 @@ def _links(spark: SparkSession, rows: DataFrame, nodes: DataFrame, similarity: f
     count = tables(width, similarity)
     most, cap = loose_distance(similarity), CAP
     own, fields = nodes.select(F.col("node").alias("id"), "print", "heads"), "table int, key long, id long, print binary"
-    counted = own.mapInArrow(lambda b: _count(b, width, count), "table int, key long, n long").groupBy("table", "key").agg(F.sum("n").alias("n"))
+    counted = own.mapInArrow(lambda b: _keys(b, width, count), "table int, key long").groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"))
     over = cluster.materialize(spark, counted.where(F.col("n") > cap), "over")
     if over.isEmpty():
         buckets, large = own.mapInArrow(lambda b: _deal(b, width, count, None, False), fields), None
