@@ -32,17 +32,7 @@ def _show(df: DataFrame, title: str) -> None:
 
 
 def _embedded(chunks: DataFrame, dimensions: int) -> DataFrame:
-    """id, embedding of the chunks by the hashed embedder, where the chunks are."""
-    make = providers.get(providers.EMBEDDERS, "hashed")
-
-    def run(batches):
-        import pyarrow as pa
-
-        embed = make(dimensions)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([embed(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.float32()))], ["id", "embedding"])
-
-    return chunks.select("id", "text").mapInArrow(run, "id string, embedding array<float>")
+    return index.embed(chunks, providers.get(providers.EMBEDDERS, "hashed")(dimensions))
 
 
 def extract(spark, a, p) -> int:

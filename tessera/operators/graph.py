@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.profile import Profile, safe_name
+from tessera.sources.storage import materialize
 
 NODES = "id string, labels array<string>, properties map<string,string>"
 EDGES = "src string, rel string, dst string, properties map<string,string>"
@@ -165,14 +166,21 @@ def dry_run_summary(records: DataFrame) -> DataFrame:
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int, relations: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
-    """(seed, node, hop): nodes within so many steps, either way, each at its least hop; a cap on nodes of a seed takes nearer ones first."""
+    """(seed, node, hop): nodes within so many steps, either way, each at its least hop; a cap on nodes of a seed takes nearer ones first.
+
+    Each hop's front is a table, so no hop runs twice. A seed that has reached its cap goes no further.
+    """
+    spark = edges.sparkSession
     both = edges if not relations else edges.where(F.col("rel").isin(*map(safe_name, relations)))
-    both = both.select("src", "dst").unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    seen = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("hop")).distinct()
+    both = materialize(spark, both.select("src", "dst").unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "both")
+    seen = materialize(spark, seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("hop")).distinct(), "hop0")
     front = seen
     for hop in range(1, hops + 1):
+        if limit is not None:
+            room = seen.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < limit).select("seed")
+            front = front.join(room, "seed", "left_semi")
         step = front.join(both, front.node == both.src).select("seed", F.col("dst").alias("node")).distinct()
-        front = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        front = materialize(spark, step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop)), f"hop{hop}")
         seen = seen.unionByName(front)
     if limit is not None:
         place = F.row_number().over(Window.partitionBy("seed").orderBy("hop", "node"))

@@ -31,13 +31,13 @@ def similarity(a, b):
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def fuzzy_pairs(entities: DataFrame, threshold: float, most: int = 2000) -> DataFrame:
+def fuzzy_pairs(entities: DataFrame, threshold: float) -> DataFrame:
     """a, b, score of names of one label that are so similar.
 
     Names within the threshold share one of a few keys: with at most d edits allowed by the longer name's
     length, d + 1 disjoint pieces of the shorter name leave one untouched, at an offset of at most d. The
-    keys are those pieces with their number and the label, so a key's group is small; keys of more than
-    ``most`` names are cut finer by the names' lengths, which the threshold bounds.
+    keys are those pieces with their number, the shorter name's length and the label. A common
+    piece ("inc") makes as large a group as there are names with it at that place.
     """
     key = F.lower(F.trim("name"))
     names = entities.select("label", key.alias("key"), "id").groupBy("label", "key").agg(F.min("id").alias("id"))
@@ -189,3 +189,14 @@ def communities(spark: SparkSession, edges: DataFrame, rounds: int = 8) -> DataF
         best = votes.groupBy(F.col("src").alias("node")).agg(F.min_by("community", F.struct(-F.col("n"), F.col("community"))).alias("community"))
         labels = materialize(spark, best, "communities")
     return labels
+
+
+def community_summaries(nodes: DataFrame, edges: DataFrame, labels: DataFrame, most: int = 5) -> DataFrame:
+    """community, size, inner (edges within), names (the most linked members, at most so many): what a summary of each has to tell."""
+    a, b = labels.select(F.col("node").alias("src"), F.col("community").alias("ca")), labels.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
+    inner = edges.join(a, "src").join(b, "dst").where("ca = cb").groupBy(F.col("ca").alias("community")).agg(F.count(F.lit(1)).alias("inner"))
+    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    named = labels.join(ends, "node", "left").join(nodes.select(F.col("id").alias("node"), F.try_element_at("properties", F.lit("name")).alias("name")), "node", "left")
+    place = F.row_number().over(Window.partitionBy("community").orderBy(F.desc_nulls_last("degree"), "node"))
+    top = named.withColumn("place", place).where(F.col("place") <= most).groupBy("community").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("names"))
+    return labels.groupBy("community").agg(F.count(F.lit(1)).alias("size")).join(top, "community").join(inner, "community", "left").select("community", "size", F.coalesce("inner", F.lit(0)).alias("inner"), "names")

@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,8 +64,10 @@ def _prop(name: str, c: str = "properties") -> Column:
     return F.try_element_at(F.col(c), F.lit(name))
 
 
-def _labelled(nodes: DataFrame, label: str, name: str = "dst") -> DataFrame:
-    return nodes.where(F.array_contains("labels", label)).select(F.col("id").alias(name), F.col("properties").alias("p"))
+def _labelled(nodes: DataFrame, label: str, name: str = "dst", *props: str) -> DataFrame:
+    """Nodes with a label, and of their properties those asked for, as p: a chunk's text does not move where a name is wanted."""
+    own = props or ("name",)
+    return nodes.where(F.array_contains("labels", label)).select(F.col("id").alias(name), F.create_map(*(x for k in own for x in (F.lit(k), _prop(k)))).alias("p"))
 
 
 def _entities(seeds_: DataFrame, edges: DataFrame) -> DataFrame:
@@ -73,12 +76,12 @@ def _entities(seeds_: DataFrame, edges: DataFrame) -> DataFrame:
     return part.join(seeds_.select("chunk_id").distinct(), "chunk_id", "left_semi")
 
 
-def _branch(start: DataFrame, at: str, edges: DataFrame, rels: tuple[str, ...], nodes: DataFrame, label: str, both_ways: bool = False) -> DataFrame:
+def _branch(start: DataFrame, at: str, edges: DataFrame, rels: tuple[str, ...], nodes: DataFrame, label: str, both_ways: bool = False, prop: str = "name") -> DataFrame:
     """start with dst, p (its properties) and ep (the edge's) of what the relations lead to from column ``at``."""
     own = edges.where(F.col("rel").isin(*rels)).select("src", "dst", F.col("properties").alias("ep"))
     if both_ways:
         own = own.unionByName(own.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "ep"))
-    return start.join(own, F.col(at) == F.col("src")).drop("src").join(_labelled(nodes, label), "dst")
+    return start.join(own, F.col(at) == F.col("src")).drop("src").join(_labelled(nodes, label, "dst", prop), "dst")
 
 
 def _names(found: DataFrame, column: str, value: Column | None = None) -> DataFrame:
@@ -106,8 +109,9 @@ def expand_statutes(seeds_: DataFrame, nodes: DataFrame, edges: DataFrame, as_of
     own = seeds_.join(valid_at(nodes, as_of).select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
     ents = _entities(own, edges)
     cites = ("REFERS_TO", "EXCEPTION_TO", "DEROGATES_FROM", "AMENDS")
-    refs = edges.where(F.col("rel").isin(*cites)).select(F.col("src").alias("chunk_id"), "rel", "dst").join(own.select("chunk_id"), "chunk_id", "left_semi").join(_labelled(nodes, "Chunk"), "dst")
-    entry = F.struct(F.col("rel").alias("ref"), _prop("path", "p").alias("path"), F.left(_prop("text", "p"), F.lit(500)).alias("text"))
+    short = nodes.where(F.array_contains("labels", "Chunk")).select(F.col("id").alias("dst"), _prop("path").alias("path"), F.left(_prop("text"), F.lit(500)).alias("text"))
+    refs = edges.where(F.col("rel").isin(*cites)).select(F.col("src").alias("chunk_id"), "rel", "dst").join(own.select("chunk_id"), "chunk_id", "left_semi").join(short, "dst")
+    entry = F.struct(F.col("rel").alias("ref"), "path", "text")
     cited = refs.groupBy("chunk_id").agg(F.array_sort(F.collect_set(entry)).alias("cited_clauses"))
     duties = _branch(ents, "e", edges, ("IMPOSES",), nodes, "Obligation")
     after = duties.select("chunk_id", F.col("dst").alias("o"))
@@ -145,7 +149,7 @@ def expand_cookbook(seeds_: DataFrame, nodes: DataFrame, edges: DataFrame, exclu
     Recipes with an excluded allergen or diet are left out: with their chunk's row where strict, else only as
     the recipe of the row, whose text stays. A chunk without any recipe stays either way.
     """
-    recipes = _labelled(nodes, "Recipe", "e").select("e", "p")
+    recipes = _labelled(nodes, "Recipe", "e", "name", "servings")
     linked = _entities(seeds_, edges).join(recipes, "e").select("chunk_id", F.col("e").alias("r"), _prop("name", "p").alias("recipe"), _prop("servings", "p").alias("servings"))
     bad = excluded_recipes(nodes, edges, exclude_allergens or [], diet_tags or [])
     good = linked.join(bad, "r", "left_anti")
@@ -170,11 +174,11 @@ def expand_cookbook(seeds_: DataFrame, nodes: DataFrame, edges: DataFrame, exclu
 def expand_handbook(seeds_: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """text, citation, subjects and what surrounds them; hazards and what not to do always come along."""
     ents = _entities(seeds_, edges)
-    named = ents.join(nodes.select(F.col("id").alias("e"), F.col("properties").alias("p")), "e")
+    named = ents.join(nodes.select(F.col("id").alias("e"), F.create_map(F.lit("name"), _prop("name")).alias("p")), "e")
     step = lambda rel, label: _branch(ents, "e", edges, (rel,), nodes, label)
     material = step("REQUIRES_MATERIAL", "Material")
     hazards = step("HAS_HAZARD", "Hazard")
-    rules = _branch(hazards.select("chunk_id", F.col("dst").alias("h")), "h", edges, ("MITIGATED_BY",), nodes, "SafetyRule")
+    rules = _branch(hazards.select("chunk_id", F.col("dst").alias("h")), "h", edges, ("MITIGATED_BY",), nodes, "SafetyRule", prop="rule")
     out = _joined(
         _chunks(seeds_, nodes),
         [
@@ -206,6 +210,24 @@ def expand(seeds_: DataFrame, nodes: DataFrame, edges: DataFrame, profile: Profi
     return seeds_.join(near.groupBy("seed").agg(F.array_sort(F.collect_set("node")).alias("nodes")), F.col("chunk_id") == F.col("seed"), "left").drop("seed")
 
 
+def search(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, postings: DataFrame, lengths: DataFrame, question: str, query_vector: list[float], profile: Profile, k: int = DEFAULT_K, mode: str = "hybrid", params: dict | None = None) -> DataFrame:
+    """The k best chunks of a question by mode, each with what the profile's expansion finds around it."""
+    return expand(seeds(vectors, postings, lengths, question, query_vector, k, mode), nodes, edges, profile, params)
+
+
+def answer(rows: DataFrame, question: str, answerer: Callable[[str, list[str]], str], most: int = 20) -> str:
+    """What an answerer says of the texts of the best rows (text, similarity), at most so many of them."""
+    best = rows.orderBy(F.desc("similarity"), "chunk_id").limit(most).select("text").collect()
+    return answerer(question, [r.text or "" for r in best])
+
+
+def count(nodes: DataFrame, edges: DataFrame, template: str) -> DataFrame:
+    """A counting question by one of TEMPLATES, over the graph as tables nodes and edges."""
+    if template not in TEMPLATES:
+        raise ValueError(f"no template {template!r}; there are {sorted(TEMPLATES)}")
+    return nodes.sparkSession.sql(TEMPLATES[template], nodes=nodes, edges=edges)
+
+
 def visible(rows: DataFrame, user: str, today: datetime.date | None = None) -> DataFrame:
     """Rows (owner, public, valid_to) that are public, or the user's and not past their day."""
     day = F.lit(today) if today else F.current_date()
@@ -221,14 +243,23 @@ def rerank(rows: DataFrame, k: int | None = None) -> DataFrame:
 _ROUTES = (("count", r"\b(how many|count|number of|combien|total|average|most|least)\b"), ("expand", r"\b(related|depends?|connected|exceptions?|refers?|why|lien)\b"), ("text", r"\"[^\"]+\"|\b(article|section|chapter)\s+\d+"))
 
 
+def routes(question: Column) -> Column:
+    """route of each row."""
+    out = F.lit("hybrid")
+    for tool, pattern in reversed(_ROUTES):
+        out = F.when(question.rlike(f"(?i){pattern}"), F.lit(tool)).otherwise(out)
+    return out
+
+
 def route(question: str) -> str:
     """Which tool answers a question: count (a template query), expand (graph), text (full text) or hybrid."""
     return next((tool for tool, pattern in _ROUTES if re.search(pattern, question, re.I)), "hybrid")
 
 
 TEMPLATES = {
-    "count nodes by label": "select label, count(*) as n from nodes lateral view explode(labels) as label group by label order by n desc, label",
-    "count edges by relation": "select rel, count(*) as n from edges group by rel order by n desc, rel",
+    "count nodes by label": "select label as name, count(*) as n from {nodes} lateral view explode(labels) as label group by label order by n desc, name",
+    "count edges by relation": "select rel as name, count(*) as n from {edges} group by rel order by n desc, name",
+    "count edges from nodes by label": "select label as name, count(*) as n from {nodes} join {edges} on id = src lateral view explode(labels) as label group by label order by n desc, name",
 }
 
 

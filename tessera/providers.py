@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import subprocess
 import tempfile
@@ -11,7 +12,7 @@ from collections.abc import Callable
 EXTRACTORS: dict[str, Callable] = {}
 EMBEDDERS: dict[str, Callable] = {}
 PAGE_ENGINES: dict[str, Callable[[bytes], list[str]]] = {}
-ANSWERERS: dict[str, Callable[[str, list[str]], str]] = {}
+ANSWERERS: dict[str, Callable[..., Callable[[str, list[str]], str]]] = {}
 
 
 def register(kind: dict, name: str) -> Callable:
@@ -41,22 +42,46 @@ def gazetteer(terms: dict[str, str]) -> Callable[[str, str], dict]:
     return extract
 
 
+@register(EXTRACTORS, "prompted")
+def prompted(complete: Callable[[str], str], lead: str = "") -> Callable[[str, str], dict]:
+    """An extractor by a model: ``complete`` answers a prompt with the JSON of a record, perhaps with words around it."""
+
+    def extract(chunk_id: str, text: str) -> dict:
+        answer = complete(lead + text)
+        found = json.loads(answer[answer.index("{") : answer.rindex("}") + 1])
+        return {"nodes": found.get("nodes") or [], "relationships": found.get("relationships") or []}
+
+    return extract
+
+
 @register(EMBEDDERS, "hashed")
 def hashed(dimensions: int = 384, n: int = 3) -> Callable[[str], list[float]]:
-    """An embedder by hashed character n-grams, of length one."""
+    """An embedder by hashed character n-grams (the digest's first 15 hex digits give the place and the sign), of length one."""
 
     def embed(text: str) -> list[float]:
         out = [0.0] * dimensions
         padded = f" {text.lower()} "
         for i in range(len(padded) - n + 1):
-            h = int.from_bytes(hashlib.blake2b(padded[i : i + n].encode(), digest_size=8).digest(), "little")
-            out[h % dimensions] += 1.0 if h >> 63 else -1.0
+            h = int(hashlib.md5(padded[i : i + n].encode()).hexdigest()[:15], 16)
+            out[h % dimensions] += 1.0 if h // dimensions % 2 else -1.0
         size = sum(x * x for x in out) ** 0.5
         return [x / size for x in out] if size else out
 
     return embed
 
 
+@register(EMBEDDERS, "remote")
+def remote(call: Callable[[list[str]], list[list[float]]]) -> Callable[[str], list[float]]:
+    """An embedder by a service that takes a list of texts."""
+    return lambda text: call([text])[0]
+
+
+@register(ANSWERERS, "quoting")
+def quoting(most: int = 200) -> Callable[[str, list[str]], str]:
+    """An answerer that quotes the first characters of each context, numbered."""
+    return lambda question, contexts: "\n".join(f"[{k + 1}] {c[:most]}" for k, c in enumerate(contexts))
+
+
 @register(PAGE_ENGINES, "text")
 def text_pages(content: bytes) -> list[str]:
     """Pages of text that has been extracted already, parted by form feeds."""

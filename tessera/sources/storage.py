@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only where it is unset and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -24,9 +28,49 @@ def _delete(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table of the shared folder and read it again."""
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, deleted when the driver's Python ends."""
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds, sorted; none of a folder that is not there."""
+    fs, p = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write one small file."""
+    fs, p = _file_system(spark, path)
+    out = fs.create(p, True)
+    out.write(data)
+    out.close()
+
+
+def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table of the shared folder and read it again."""
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
