@@ -59,7 +59,7 @@ xrefs as (select c.id as chunk_id, c.doc_id, case c.clause when 0 then 'EXCEPTIO
 
 def markup_profile() -> Profile:
     """Headings of the raw pages: h1 a section, p a paragraph."""
-    return Profile(name="markup", levels=(Level("section", r"<h1>([^<]*)</h1>"), Level("paragraph", r"<p>([^<]{0,40})")), chunk_at="paragraph", max_chars=400).check()
+    return Profile(name="markup", levels=(Level("section", r"<h1>([^<]*)</h1>"), Level("paragraph", r"<p>([^<]*)")), chunk_at="paragraph", max_chars=400).check()
 
 
 def source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

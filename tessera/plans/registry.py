@@ -27,10 +27,14 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
+    from tessera.plans import more  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessera.plans import more  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -82,13 +86,15 @@ def fallback_chunk(spark, sf_dir):
 @query(
     "markup_segments",
     """with p as (select page_id, html, unnest(range(2, len(string_split(html, '<p>')) + 1)) as k from pages),
-b as (select page_id, k, string_split(html, '<p>')[k] as body from p)
-select cast(page_id as varchar) as doc_id, trim(substr(regexp_extract(body, '^([^<]*)', 1), 1, 40)) as title, count(*) as n from b group by all""",
+b as (select page_id, k, string_split(html, '<p>')[k] as body, length(array_to_string(list_slice(string_split(html, '<p>'), 1, k - 1), '<p>')) as pos from p)
+select cast(page_id as varchar) as doc_id, cast(pos as integer) as pos, md5(regexp_extract(body, '^([^<]*)', 1)) as digest from b""",
 )
 def markup_segments(spark, sf_dir):
+    """Every paragraph of the pages with its place and its whole text up to the first tag in it."""
     docs = fx.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.col("html").alias("text"))
-    marks = segment.heading_marks(docs, fx.markup_profile()).where("level = 'paragraph'")
-    return marks.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.substring("title", 1, 40).alias("title")).groupBy("doc_id", "title").agg(F.count(F.lit(1)).alias("n"))
+    marks = segment.heading_marks(docs, fx.markup_profile()).where("level = 'paragraph'").select("doc_id", "pos")
+    whole = F.regexp_extract(F.substring("text", F.col("pos") + 4, F.length("text")), "^([^<]*)", 1)
+    return marks.join(docs, "doc_id").select("doc_id", "pos", F.md5(whole.cast("binary")).alias("digest"))
 
 
 @query(
@@ -247,11 +253,15 @@ def squeeze_spaces(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", F.md5(clean.squeeze(wide).cast("binary")).alias("digest"))
 
 
-@query("dehyphenate", """select doc_id, md5(coalesce(text, '')) as digest from documents where not regexp_matches(coalesce(text, ''), '[a-z]-|[-‐‑]\\n')""")
+_BROKEN = "regexp_replace(coalesce(text, ''), '([a-z])([a-z])([a-z]{2})', '\\1-' || chr(10) || '\\2\\3', 'g')"
+_HYPHEN = r"([\pL\pN_])[-‐‑]\n([a-zà-ÿ])"
+
+
+@query("dehyphenate", f"select doc_id, md5(regexp_replace(regexp_replace({_BROKEN}, '{_HYPHEN}', '\\1\\2', 'g'), '{_HYPHEN}', '\\1\\2', 'g')) as digest from documents")
 def dehyphenate(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))).where(~F.col("text").rlike(r"[a-z]-|[-‐‑]\n"))
-    broken = F.regexp_replace("text", r"(?<=[a-z])(?=[a-z]{3}[a-z])", "-\n")
-    return docs.select("doc_id", F.md5(clean.dehyphenate(broken).cast("binary")).alias("digest"))
+    """All documents, with more words broken than they have."""
+    broken = F.regexp_replace(F.coalesce("text", F.lit("")), "([a-z])([a-z])([a-z]{2})", "$1-\n$2$3")
+    return fx.table(spark, sf_dir, "documents").select("doc_id", F.md5(clean.dehyphenate(broken).cast("binary")).alias("digest"))
 
 
 # The graph
@@ -431,13 +441,13 @@ def merged_graph(spark, sf_dir):
 @query(
     "vocab_normalize",
     """with v as (select distinct p_brand as c from part)
-select c as name, c as canonical, 1 as tier from v union all select ' ' || upper(c) || ' ', c, 2 from v union all select lower(c) || 's', c, 3 from v union all select 'nothing like it', null, 0""",
+select c as name, c as canonical, 1 as tier from v union all select ' ' || upper(c) || ' ', c, 2 from v union all select lower(c) || 's', c, 3 from v union all select replace(lower(c), 'a', ''), c, 4 from v union all select 'nothing like it', null, 0""",
 )
 def vocab_normalize(spark, sf_dir):
     brands = fx.table(spark, sf_dir, "part").select("p_brand").distinct()
-    names = brands.select(F.explode(F.array("p_brand", F.concat(F.lit(" "), F.upper("p_brand"), F.lit(" ")), F.concat(F.lower("p_brand"), F.lit("s")), F.lit("nothing like it"))).alias("name"))
+    names = brands.select(F.explode(F.array("p_brand", F.concat(F.lit(" "), F.upper("p_brand"), F.lit(" ")), F.concat(F.lower("p_brand"), F.lit("s")), F.replace(F.lower("p_brand"), F.lit("a"), F.lit("")), F.lit("nothing like it"))).alias("name"))
     terms = resolve.vocabulary_terms(brands.select(F.col("p_brand").alias("canonical"), F.lit("").alias("aliases")))
-    return resolve.normalize(names, terms, 0.95)
+    return resolve.normalize(names, terms, 0.85)
 
 
 # Retrieval
@@ -561,7 +571,8 @@ def expand_cookbook_lenient(spark, sf_dir):
     "expand_statutes",
     f"""{_SCOPED}, c as (select *, cast(regexp_extract(doc_id, '([0-9]+)[.]txt', 1) as bigint) % 3 as m from chunks),
 x as (select r.chunk_id, string_agg(distinct relation || '>' || t.path, '|' order by relation || '>' || t.path) as cites, count(distinct relation || t.id) as n from refs r join chunks t on t.id = r.target_chunk_id group by 1)
-select id as chunk_id, path as citation, coalesce(cites, '') as cited, cast(coalesce(n, 1) as bigint) as n_cited, case when m = 0 then 'pay ' || number else '' end as obligations, case when m = 0 then 'actor ' || length(number) else '' end as actors
+select id as chunk_id, path as citation, coalesce(cites, '') as cited, cast(coalesce(n, 1) as bigint) as n_cited, case when m = 0 then 'pay ' || number else '' end as obligations, case when m = 0 then 'actor ' || length(number) else '' end as actors,
+  case when m = 0 and cast(number as integer) % 2 = 0 then 'fine ' || number else '' end as sanctions, case when m = 0 then case when cast(number as integer) % 3 = 0 then 'out ' || id || '|over ' || id else 'over ' || id end else '' end as exceptions
 from c left join x on x.chunk_id = c.id where m <> 1""",
 )
 def expand_statutes(spark, sf_dir):
@@ -575,20 +586,28 @@ def expand_statutes(spark, sf_dir):
     name = lambda label, i, n: own.select(i.alias("id"), F.array(F.lit(label), F.lit("__Entity__")).alias("labels"), F.create_map(F.lit("name"), n).alias("properties")).dropDuplicates(["id"])
     clause, duty, actor = F.concat(F.lit("clause:"), F.col("id")), F.concat(F.lit("duty:"), F.col("number")), F.concat(F.lit("actor:"), F.length("number").cast("string"))
     nodes = nodes.unionByName(name("Clause", clause, clause)).unionByName(name("Obligation", duty, F.concat(F.lit("pay "), F.col("number")))).unionByName(name("Actor", actor, F.concat(F.lit("actor "), F.length("number").cast("string"))))
+    # Fines of even articles; an exception that points at a clause, and of every third article one that the clause points at.
+    fine, out_, over = F.concat(F.lit("fine:"), F.col("number")), F.concat(F.lit("out:"), F.col("id")), F.concat(F.lit("over:"), F.col("id"))
+    even, third = own.where(F.col("number").cast("int") % 2 == 0), own.where(F.col("number").cast("int") % 3 == 0)
+    named = lambda df, label, i, n: df.select(i.alias("id"), F.array(F.lit(label), F.lit("__Entity__")).alias("labels"), F.create_map(F.lit("name"), n).alias("properties")).dropDuplicates(["id"])
+    nodes = nodes.unionByName(named(even, "Sanction", fine, F.concat(F.lit("fine "), F.col("number")))).unionByName(named(own, "Clause", over, F.concat(F.lit("over "), F.col("id")))).unionByName(named(third, "Clause", out_, F.concat(F.lit("out "), F.col("id"))))
     none = F.create_map().cast("map<string,string>").alias("properties")
+    more = lambda df, a, r, b: df.select(a.alias("src"), F.lit(r).alias("rel"), b.alias("dst")).distinct().withColumn("properties", none)
+    edges = edges.unionByName(more(even, duty, "SANCTIONED_BY", fine)).unionByName(more(own, over, "EXCEPTION_TO", clause)).unionByName(more(third, clause, "DEROGATES_FROM", out_))
     link = lambda a, r, b: own.select(a.alias("src"), F.lit(r).alias("rel"), b.alias("dst")).distinct().withColumn("properties", none)
     edges = edges.unionByName(refs).unionByName(link(clause, "PART_OF_CHUNK", F.col("id"))).unionByName(link(clause, "IMPOSES", duty)).unionByName(link(duty, "APPLIES_TO", actor))
     nodes, edges = materialize(spark, nodes, "nodes"), materialize(spark, edges, "edges")
     out = retrieve.expand_statutes(chunks.select(F.col("id").alias("chunk_id"), F.lit(1.0).alias("score")), nodes, edges, datetime.date(2020, 1, 1))
     cited = F.array_join(F.array_sort(F.filter(F.transform("cited_clauses", lambda c: F.concat(c["ref"], F.lit(">"), c["path"])), lambda x: x.isNotNull())), "|")
-    return out.select("chunk_id", "citation", cited.alias("cited"), F.size("cited_clauses").cast("long").alias("n_cited"), F.array_join("obligations", "|").alias("obligations"), F.array_join("actors", "|").alias("actors"))
+    return out.select("chunk_id", "citation", cited.alias("cited"), F.size("cited_clauses").cast("long").alias("n_cited"), *(F.array_join(c, "|").alias(c) for c in ("obligations", "actors", "sanctions", "exceptions")))
 
 
 @query(
     "expand_handbook",
     """with m as (select l_orderkey as k, string_agg(distinct p_name || ' (' || l_linestatus || ')', '|' order by p_name || ' (' || l_linestatus || ')') as materials from lineitem join part on p_partkey = l_partkey group by 1),
 h as (select l_orderkey as k, string_agg(distinct 'hazard ' || l_suppkey, '|' order by 'hazard ' || l_suppkey) as hazards, string_agg(distinct 'rule ' || (l_suppkey % 4), '|' order by 'rule ' || (l_suppkey % 4)) as safety_rules from lineitem where l_returnflag = 'R' group by 1)
-select 'chunk:' || o_orderkey as chunk_id, 'p:' || o_orderkey as citation, 'lay:' || o_orderkey as subjects, coalesce(materials, '') as materials, coalesce(hazards, '') as hazards, coalesce(safety_rules, '') as safety_rules
+select 'chunk:' || o_orderkey as chunk_id, 'p:' || o_orderkey as citation, 'lay:' || o_orderkey as subjects, coalesce(materials, '') as materials, coalesce(hazards, '') as hazards, coalesce(safety_rules, '') as safety_rules,
+  'way ' || (o_custkey % 3) as techniques, case when o_orderkey % 2 = 0 then 'tool ' || (o_custkey % 5) else '' end as tools, 'warm' as purposes, 'dry' as works_when, case when o_orderkey % 3 = 0 then 'wet' else '' end as avoid_when
 from orders left join m on m.k = o_orderkey left join h on h.k = o_orderkey""",
 )
 def expand_handbook(spark, sf_dir):
@@ -601,9 +620,16 @@ def expand_handbook(spark, sf_dir):
     nodes = nodes.unionByName(one(part, s("part:", "p_partkey"), "Material", name=F.col("p_name"))).unionByName(one(risky, s("hazard:", "l_suppkey"), "Hazard", name=s("hazard ", "l_suppkey"))).unionByName(one(risky, s("rule:", "rule"), "SafetyRule", rule=s("rule ", "rule")))
     edges = link(orders, s("lay:", "o_orderkey"), "PART_OF_CHUNK", s("chunk:", "o_orderkey")).unionByName(link(items, s("lay:", "l_orderkey"), "REQUIRES_MATERIAL", s("part:", "l_partkey"), F.create_map(F.lit("stage"), F.col("l_linestatus"))))
     edges = edges.unionByName(link(risky, s("lay:", "l_orderkey"), "HAS_HAZARD", s("hazard:", "l_suppkey"))).unionByName(link(risky.select("l_suppkey", "rule").distinct(), s("hazard:", "l_suppkey"), "MITIGATED_BY", s("rule:", "rule")))
+    by = lambda c, n: F.pmod(c, F.lit(n)).cast("string")
+    rest = (
+        (orders, "BUILT_WITH", "Technique", F.concat(F.lit("way "), by("o_custkey", 3))), (orders.where("o_orderkey % 2 = 0"), "REQUIRES_TOOL", "Tool", F.concat(F.lit("tool "), by("o_custkey", 5))),
+        (orders, "SERVES_PURPOSE", "Purpose", F.lit("warm")), (orders, "SUITED_FOR", "Condition", F.lit("dry")), (orders.where("o_orderkey % 3 = 0"), "UNSUITED_FOR", "Condition", F.lit("wet")),
+    )
+    for df, rel, label, name in rest:
+        nodes, edges = nodes.unionByName(one(df, name, label, name=name)), edges.unionByName(link(df, s("lay:", "o_orderkey"), rel, name))
     seeds = orders.select(s("chunk:", "o_orderkey").alias("chunk_id"), F.lit(1.0).alias("score"))
     out = retrieve.expand_handbook(seeds, nodes, edges)
-    return out.select("chunk_id", "citation", *(F.array_join(c, "|").alias(c) for c in ("subjects", "materials", "hazards", "safety_rules")))
+    return out.select("chunk_id", "citation", *(F.array_join(c, "|").alias(c) for c in ("subjects", "materials", "hazards", "safety_rules", "techniques", "tools", "purposes", "works_when", "avoid_when")))
 
 
 @query(
