@@ -3,7 +3,8 @@
 A piece's bytes are the leaves of a tree over positions; each leaf holds the rank of the pair that starts
 there with the next live neighbour, each inner node the leftmost least rank below it. A merge reads the
 root, joins two neighbours, and updates the leaves of the joined part and of its left neighbour:
-logarithmic work each. Pieces repeat, so each worker keeps the ids of the pieces it has met, up to a bound.
+logarithmic work each. Pieces repeat, so each worker keeps the ids of the pieces it has met, up to a bound;
+of the pieces kept longest ago those that come again stay.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from tessera.llm import cluster
 #: White space as Unicode's property has it; \s of this regex library also holds U+001C to U+001F.
 _WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NONE = 1 << 60
-#: Pieces kept by a worker, and the longest of them in bytes.
+#: Pieces that a worker keeps in either of two generations, and the longest of them in bytes.
 KEPT_PIECES, KEPT_BYTES = 300_000, 64
 
 
@@ -104,32 +105,40 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class _Kept(dict):
+    """Ids of pieces; one that is not there is encoded, or taken over from the generation before."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks, self.old = ranks, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            ids = np.array(encode_piece(raw, self.ranks), "<u4").tobytes()
+            if len(raw) > KEPT_BYTES:
+                return ids
+        if len(self) >= KEPT_PIECES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class Tokenizer:
     """Encodes whole texts to little-endian 32-bit ids and decodes them again."""
 
     def __init__(self, path: str, pattern: str):
-        self.ranks = load_ranks(path)
+        ranks = load_ranks(path)
         self.split = splitter(pattern).findall
-        size = max(self.ranks.values()) + 1
-        self.table = [b""] * size
-        for piece, rank in self.ranks.items():
+        self.table = [b""] * (max(ranks.values()) + 1)
+        for piece, rank in ranks.items():
             self.table[rank] = piece
-        self.kept: dict[str, bytes] = {}
-
-    def _ids(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "surrogatepass")
-        ids = np.array(encode_piece(raw, self.ranks), "<u4").tobytes()
-        if len(raw) <= KEPT_BYTES:
-            if len(self.kept) >= KEPT_PIECES:
-                self.kept.clear()
-            self.kept[piece] = ids
-        return ids
+        self.kept = _Kept(ranks)
 
     def encode(self, text: str) -> bytes:
-        get, ids, out = self.kept.get, self._ids, []
-        for piece in self.split(text):
-            out.append(get(piece) or ids(piece))
-        return b"".join(out)
+        return b"".join(map(self.kept.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -140,33 +149,21 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(path, pattern)
 
 
-def encode_documents(spark: SparkSession, docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
-    """One row a document: its id, n_tokens, ids (binary, little-endian u32), and decoded (binary).
+def encode_documents(spark: SparkSession, docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: its id, n_tokens, ids (binary, little-endian u32), and decoded (binary, what the ids decode to).
 
     A null or empty text has no tokens. Texts are encoded whole, each in the task that reads it; no row moves.
-    Repeated rows give repeated rows; other columns are not read, whatever their names. With digests_only, the
-    SHA-256 of ids and decoded bytes come in their place (ids_sha256, decoded_sha256).
+    Repeated rows give repeated rows; other columns are not read, whatever their names.
     """
     cluster.ship(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
-    kind = "ids_sha256 string, decoded_sha256 string" if digests_only else "ids binary, decoded binary"
-    typed = pa.string() if digests_only else pa.binary()
 
     def run(batches):
         t = tokenizer(path, pattern)
         for batch in batches:
-            counts, first, second = [], [], []
-            for text in batch.column(1):
-                text = text.as_py()
-                ids = t.encode(text) if text else b""
-                decoded = t.decode(ids)
-                counts.append(len(ids) // 4)
-                first.append(hashlib.sha256(ids).hexdigest() if digests_only else ids)
-                second.append(hashlib.sha256(decoded).hexdigest() if digests_only else decoded)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(first, typed), pa.array(second, typed)],
-                ["id", "n_tokens", "ids_sha256" if digests_only else "ids", "decoded_sha256" if digests_only else "decoded"],
-            )
-
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {id_type}, n_tokens long, {kind}")
+            held = [(ids := t.encode(text) if text else b"", t.decode(ids)) for text in batch.column(1).to_pylist()]
+            counts = pa.array([len(ids) // 4 for ids, _ in held], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, *(pa.array([x[k] for x in held], pa.binary()) for k in (0, 1))], ["id", "n_tokens", "ids", "decoded"])
+
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {id_type}, n_tokens long, ids binary, decoded binary")
     return out.withColumnRenamed("id", id_col)

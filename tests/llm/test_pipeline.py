@@ -83,7 +83,7 @@ def test_stages(spark, sf_dir, tmp_path):
     assert Counter(r.doc_id for r in rows) == copies
     for r in rows:
         ids = np.array(library.encode_ordinary(mixed[r.doc_id].text), "<u4").tobytes()
-        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(mixed[r.doc_id].text.encode()).hexdigest())
+        assert (r.n_tokens, bytes(r.ids), r.ids_sha256, r.decoded_sha256) == (len(ids) // 4, ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(mixed[r.doc_id].text.encode()).hexdigest())
 
 
 def test_run_equals_its_stages(spark, sf_dir):
