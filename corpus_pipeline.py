@@ -38,8 +38,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and of the decoded bytes, one row a document of the mix."""
-    return bpe.encode_documents(spark, docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, digests_only=True)
+    """Token ids of each document of the mix (little-endian, 32 bits), their number, and digests of them and of what they decode to."""
+    out = bpe.encode_documents(spark, docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
