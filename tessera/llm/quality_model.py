@@ -2,15 +2,17 @@
 
 One logistic model reads the text (hashed words, and how words, signs and repeats are spread), the other the
 page's metadata (language, source, length, layout of lines). Both start from the labelled sample. In each
-round, each labels the documents of an unlabelled pool that it is surest of, and the other learns from them.
+round, each labels those of all unlabelled documents that it is surest of, and the other learns from them.
 Labelled rows held out calibrate both views; their calibrated log-odds, less the prior, add up to the score.
 
-Only the fit is on bounded samples (MOST_LABELLED and MOST_POOL rows, by a hash of the id); every document
-is scored, whole.
+Only the fit is on bounded samples: MOST_LABELLED labelled documents, by a hash of the id, and in each round
+MOST_EXCHANGED more pseudo-labelled ones for each view. These are the surest of all documents: a pass over a table
+of their features finds them. Every document is scored, whole.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm import cluster
 from tessera.llm import vectext as vt
 
-MOST_LABELLED, MOST_POOL = 12_000, 12_000
+MOST_LABELLED, MOST_EXCHANGED = 12_000, 1_200
 ROUNDS, SURE, SHARE = 4, 0.97, 0.1
 WORD_SLOTS, SOURCE_SLOTS, LANG_SLOTS = 192, 64, 8
 N_TEXT, N_META = 14 + WORD_SLOTS, 5 + SOURCE_SLOTS + LANG_SLOTS
@@ -72,10 +74,10 @@ def features(data: np.ndarray, at: np.ndarray, lang: list, source: list, n_chars
         text[:, 13] = np.log1p(count)
         slot = (words % np.uint64(WORD_SLOTS)).astype(np.int64)
         text[:, 14:] = np.bincount(doc * WORD_SLOTS + slot, minlength=n * WORD_SLOTS).reshape(n, WORD_SLOTS) / some
-        breaks = np.flatnonzero(data == 10)
-        lines = 1 + np.searchsorted(breaks, at[1:]) - np.searchsorted(breaks, at[:-1])
-        meta[:, 0] = np.log1p(lines)
-        meta[:, 1] = np.log1p(size[:, 0] / lines)
+    breaks = np.flatnonzero(data == 10)
+    lines = 1 + np.searchsorted(breaks, at[1:]) - np.searchsorted(breaks, at[:-1])
+    meta[:, 0] = np.log1p(lines)
+    meta[:, 1] = np.log1p(size[:, 0] / lines)
     known = np.array([-1 if x is None else max(0, x) for x in n_chars], np.float64)
     meta[:, 2] = np.log1p(np.maximum(known, 0))
     meta[:, 3] = known < 0
@@ -157,7 +159,87 @@ def _calibrate(view: View, x: np.ndarray, y: np.ndarray) -> View:
     return view
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> Model:
+def _surest(p: np.ndarray, ids: np.ndarray, label: float, most: int) -> np.ndarray:
+    """Places of the ids that are surest of a label, at SURE or more: the surest first, equals by a hash of the id."""
+    sure = p if label else 1 - p
+    own = np.flatnonzero(sure >= SURE)
+    order = np.lexsort((ids[own], vt.mix(ids[own].view(np.uint64)), -sure[own]))
+    own = own[order]
+    _, first = np.unique(ids[own], return_index=True)
+    return own[np.sort(first)][:most]
+
+
+class Held:
+    """Unlabelled documents that are at hand: ids and features of both views."""
+
+    def __init__(self, ids: np.ndarray, text: np.ndarray, meta: np.ndarray):
+        self.ids, self.views, self.size = ids.astype(np.int64), (text, meta), len(ids)
+
+    def surest(self, views: list[View], most: dict[float, int]) -> dict[tuple[int, float], np.ndarray]:
+        """By view and label, the ids that this view is surest have the label."""
+        p = [_sigmoid(views[v].logit(self.views[v])) for v in (0, 1)]
+        return {(v, label): self.ids[_surest(p[v], self.ids, label, n)] for v in (0, 1) for label, n in most.items()}
+
+    def fetch(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(self.ids, kind="stable")
+        at = order[np.searchsorted(self.ids[order], ids)]
+        return self.views[0][at], self.views[1][at]
+
+
+class Spread:
+    """Unlabelled documents as a table of features (id, text, meta) of any size, without those of the labelled ids."""
+
+    def __init__(self, spark: SparkSession, features: DataFrame, labelled: np.ndarray):
+        self.spark, self.features, self.labelled = spark, features.where("id is not null"), np.sort(labelled)
+        self.size = max(0, self.features.count() - len(labelled))
+
+    def surest(self, views: list[View], most: dict[float, int]) -> dict[tuple[int, float], np.ndarray]:
+        labelled = self.labelled
+
+        def run(batches):
+            for batch in batches:
+                ids = batch.column(0).to_numpy().astype(np.int64)
+                free = ~np.isin(ids, labelled)
+                ids = ids[free]
+                for v in (0, 1):
+                    p = _sigmoid(views[v].logit(_matrix(batch.column(1 + v))[free]))
+                    for label, n in most.items():
+                        at = _surest(p, ids, label, n)
+                        sure = p[at] if label else 1 - p[at]
+                        tie = vt.mix(ids[at].view(np.uint64)).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), v, np.int32)), pa.array(np.full(len(at), label)), pa.array(sure), pa.array(tie), pa.array(ids[at])], ["view", "label", "sure", "tie", "id"])
+
+        found = self.features.select("id", "text", "meta").mapInArrow(run, "view int, label double, sure double, tie long, id long")
+        found = cluster.materialize(self.spark, found.groupBy("view", "label", "id").agg(F.max("sure").alias("sure"), F.max("tie").alias("tie")), "surest")
+        # The hash is compared as a number without sign, as numpy does.
+        order = (F.desc("sure"), F.col("tie") < 0, "tie", "id")
+        tops = [found.where((F.col("view") == v) & (F.col("label") == label)).orderBy(*order).limit(n) for v in (0, 1) for label, n in most.items()]
+        every = functools.reduce(DataFrame.unionByName, tops).select("view", "label", "id").toArrow().to_pydict()
+        out: dict[tuple[int, float], list[int]] = {(v, label): [] for v in (0, 1) for label in most}
+        for v, label, i in zip(every["view"], every["label"], every["id"]):
+            out[v, label].append(i)
+        return {k: np.array(x, np.int64) for k, x in out.items()}
+
+    def fetch(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        chosen = self.spark.createDataFrame([(int(i),) for i in ids], "id long")  # bounded by MOST_EXCHANGED and the rounds
+        table = _collected(self.features.join(F.broadcast(chosen), "id"))
+        at = np.searchsorted(table[0], ids)
+        return table[1][at], table[2][at]
+
+
+def _matrix(column) -> np.ndarray:
+    return vt.column_bytes(column)[0].view(np.float32).reshape(len(column), -1 if len(column) else 1)
+
+
+def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in order and both features of rows of bounded many ids; of several rows of one id, the greatest."""
+    table = rows.groupBy("id").agg(F.max(F.struct("text", "meta")).alias("x")).select("id", "x.text", "x.meta").toArrow().combine_chunks()
+    ids = table.column("id").to_numpy().astype(np.int64)
+    order = np.argsort(ids)
+    return ids[order], _matrix(table.column("text"))[order], _matrix(table.column("meta"))[order]
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Held | Spread, rounds: int = ROUNDS) -> Model:
     """Fit both views. With fewer than 8 rows of either class there is nothing to learn: every score is the prior."""
     good = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.5
     prior = float(np.log(good / (1 - good)))
@@ -166,23 +248,28 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
     held = np.zeros(len(y), bool)
     for label in (0, 1):  # every fourth of either class; rows come in the order of a hash
         held[np.flatnonzero(y == label)[::4]] = True
-    x, pool, y_own = [text[~held], meta[~held]], [pool_text, pool_meta], y[~held]
-    extra: list[dict[int, float]] = [{}, {}]  # of the pool's rows: the label that the other view gave
-    views: list[View] = []
+    own = (text, meta)
+    extra: list[dict[int, float]] = [{}, {}]  # of the pool's ids: the label that the other view gave
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    share = min(SHARE * pool.size, MOST_EXCHANGED)
     for r in range(rounds + 1):
         views = []
         for v in (0, 1):
-            at = np.array(sorted(extra[v]), np.int64)
-            label = np.array([extra[v][i] for i in at.tolist()])
-            views.append(_calibrate(fit_view(np.concatenate([x[v], pool[v][at]]), np.concatenate([y_own, label]), np.concatenate([np.ones(len(y_own)), np.full(len(at), 0.5)])), (text, meta)[v][held], y[held]))
-        if r == rounds or not len(pool_text):
+            ids = sorted(extra[v])
+            more = np.array([known[i][v] for i in ids], np.float32).reshape(len(ids), own[v].shape[1])
+            label = np.array([extra[v][i] for i in ids])
+            weight = np.concatenate([np.ones((~held).sum()), np.full(len(ids), 0.5)])
+            views.append(_calibrate(fit_view(np.concatenate([own[v][~held], more]), np.concatenate([y[~held], label]), weight), own[v][held], y[held]))
+        if r == rounds or not pool.size:
             break
+        most = {label: max(1, int(share * (good if label else 1 - good))) * (r + 1) for label in (1.0, 0.0)}
+        found = pool.surest(views, most)
+        new = np.array(sorted({i for ids in found.values() for i in ids.tolist()} - set(known)), np.int64)
+        if len(new):
+            known.update(zip(new.tolist(), zip(*pool.fetch(new))))
         for v in (0, 1):
-            p = _sigmoid(views[v].logit(pool[v]))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                most = max(1, int(SHARE * len(p) * (good if label else 1 - good)))
-                best = np.argsort(-sure, kind="stable")[: most * (r + 1)]
-                for i in best[sure[best] >= SURE].tolist():
+            for label in most:
+                for i in found[v, label].tolist():
                     extra[1 - v].setdefault(i, label)
     return Model(views[0], views[1], prior)
 
@@ -198,33 +285,35 @@ def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), own("lang", "string"), own("source", "string"), own("n_chars", "long"))
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: Column | None = None) -> Model:
-    """Co-train on the labelled documents (label: 1 good, 0 bad; null and contradicting labels do not count)."""
+def featurize(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_words and the features of both views of every row of docs, as a table."""
     cluster.ship(spark)
-    rows = _columns(docs, id_col, text_col)
-    label = F.col("quality") if label is None else label
-    known = labels.select(F.col(id_col).cast("long").alias("id"), label.cast("double").alias("y")).where("id is not null and y is not null")
-    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other and y in (0, 1)").drop("other")
-    chosen = _sample(known, MOST_LABELLED)
-    pool = _sample(rows.where("id is not null").select("id").distinct(), MOST_POOL).withColumn("y", F.lit(-1.0))
 
     def run(batches):
         for batch in batches:
-            for i, j, text, meta, _ in _featured(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(5).slice(i, j - i), vt.binary_rows(text.ravel(), np.arange(j - i + 1) * N_TEXT), vt.binary_rows(meta.ravel(), np.arange(j - i + 1) * N_META)], ["id", "y", "text", "meta"])
+            for i, j, text, meta, count in _featured(batch):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(count), vt.binary_rows(text.ravel(), np.arange(j - i + 1) * N_TEXT), vt.binary_rows(meta.ravel(), np.arange(j - i + 1) * N_META)], ["id", "n_words", "text", "meta"])
 
-    table = rows.join(F.broadcast(chosen.unionByName(pool)), "id").select("id", "text", "lang", "source", "n_chars", "y").mapInArrow(run, "id long, y double, text binary, meta binary").toArrow()
-    ids, y = table.column("id").to_numpy(), table.column("y").to_numpy()
-    text, meta = (vt.column_bytes(table.column(c))[0].view(np.float32).reshape(len(ids), -1 if len(ids) else 1) for c in ("text", "meta"))
-    own = np.flatnonzero(y >= 0)
-    own = own[np.lexsort((ids[own], vt.mix(ids[own].astype(np.int64).view(np.uint64))))]
-    free = np.flatnonzero((y < 0) & ~np.isin(ids, ids[own]))
-    free = free[np.argsort(ids[free], kind="stable")]
-    return co_train(text[own], meta[own], y[own], text[free], meta[free])
+    return cluster.materialize(spark, _columns(docs, id_col, text_col).mapInArrow(run, "id long, n_words long, text binary, meta binary"), "features")
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row of docs: the id, p_text, p_meta, score and kept (score at or above the threshold).
+def fit(spark: SparkSession, features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: Column | None = None) -> Model:
+    """Co-train on the labelled of the featurized documents (label: 1 good, 0 bad; null and contradicting labels do not count)."""
+    cluster.ship(spark)
+    label = F.col("quality") if label is None else label
+    known = labels.select(F.col(id_col).cast("long").alias("id"), label.cast("double").alias("y")).where("id is not null and y is not null")
+    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other and y in (0, 1)").drop("other")
+    chosen = cluster.materialize(spark, _sample(known, MOST_LABELLED), "labelled")
+    ids, text, meta = _collected(features.join(F.broadcast(chosen), "id"))
+    told = chosen.toArrow()
+    label_of = dict(zip(told.column("id").to_pylist(), told.column("y").to_pylist()))
+    order = np.lexsort((ids, vt.mix(ids.view(np.uint64))))
+    y = np.array([label_of[i] for i in ids[order].tolist()], np.float64)
+    return co_train(text[order], meta[order], y, Spread(spark, features, ids))
+
+
+def score(spark: SparkSession, features: DataFrame, model: Model, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """Per row of the featurized documents: the id, p_text, p_meta, score and kept (score at or above the threshold).
 
     A text without words, null or not, scores 0 and goes. Missing metadata columns and nulls in them have
     features of their own. Repeated rows are scored alike; an empty table gives an empty one.
@@ -233,18 +322,18 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc
 
     def run(batches):
         for batch in batches:
-            for i, j, text, meta, count in _featured(batch):
-                a, b, both = model.score(text, meta)
-                both = np.where(count > 0, both, 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, (np.round(a, 6), np.round(b, 6), np.round(both, 6), (both >= threshold) & (count > 0)))], ["id", "p_text", "p_meta", "score", "kept"])
+            count = batch.column(1).to_numpy()
+            a, b, both = model.score(_matrix(batch.column(2)), _matrix(batch.column(3))) if len(count) else (np.zeros(0),) * 3
+            both = np.where(count > 0, both, 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (np.round(a, 6), np.round(b, 6), np.round(both, 6), (both >= threshold) & (count > 0)))], ["id", "p_text", "p_meta", "score", "kept"])
 
-    return _columns(docs, id_col, text_col).mapInArrow(run, "id long, p_text double, p_meta double, score double, kept boolean").withColumnRenamed("id", id_col)
+    return features.select("id", "n_words", "text", "meta").mapInArrow(run, "id long, p_text double, p_meta double, score double, kept boolean").withColumnRenamed("id", id_col)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that the classifier rejects; all columns stay, and no row moves."""
     cluster.ship(spark)
-    model = fit(spark, docs, labels, id_col, text_col)
+    model = fit(spark, featurize(spark, docs, id_col, text_col), labels, id_col)
     types = dict(docs.dtypes)
     by_name = {c.lower(): c for c in types}
     names = [id_col, text_col, *(by_name.get(c) for c in ("lang", "source", "n_chars"))]

@@ -57,8 +57,8 @@ def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return quality_model.score(spark, docs, quality_model.fit(spark, docs, _table(spark, sf_dir, "labels")))
+    features = quality_model.featurize(spark, _table(spark, sf_dir, "documents"))
+    return quality_model.score(spark, features, quality_model.fit(spark, features, _table(spark, sf_dir, "labels")))
 
 
 def queries():
