@@ -18,6 +18,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,16 +120,20 @@ def _clean(value: str) -> str:
     return " ".join(value.split())
 
 
-def warc_record(page_id: int | None, r: ArcRecord, refers_to: int | None) -> bytes:
-    """The WARC record, without the separator after it; a revisit has no payload."""
+def warc_record(page_id: int | None, r: ArcRecord, refers_to: int | None, origin: str | None = None) -> str:
+    """The WARC record, without the separator after it; a revisit has no payload. A block that is not text comes as base64, and a header says so."""
     head, payload = split_http(r.content)
     digest = hashlib.sha1(payload).hexdigest()
     revisit = refers_to is not None
     block = head if revisit else r.content
+    try:
+        text, encoded = block.decode("utf-8"), False
+    except UnicodeDecodeError:
+        text, encoded = base64.b64encode(block).decode(), True
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id, digest)}",
+        f"WARC-Record-ID: {record_id(page_id if origin is None else origin, digest)}",
         f"WARC-Date: {warc_date(r.date)}",
         f"WARC-Target-URI: {_clean(r.url)}",
         f"WARC-IP-Address: {r.ip}",
@@ -138,8 +143,11 @@ def warc_record(page_id: int | None, r: ArcRecord, refers_to: int | None) -> byt
     ]
     if revisit:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}", f"X-Payload-Length: {len(payload)}"]
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
+    if encoded:
+        lines.append("X-Payload-Encoding: base64")
+    kind = "application/http; msgtype=response" if head else _clean(r.content_type) or "application/octet-stream"
+    lines += [f"Content-Type: {kind}", f"Content-Length: {len(text.encode())}"]
+    return "\r\n".join(lines) + "\r\n\r\n" + text
 
 
 def parse_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -160,7 +168,7 @@ def parse_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         block = stream.read(length)
         if len(block) != length:
             raise ValueError(f"a record of {length} bytes ends after {len(block)}")
-        yield fields, block
+        yield fields, base64.b64decode(block) if fields.get("X-Payload-Encoding") == "base64" else block
 
 
 def decide(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = LEAST_PAYLOAD) -> DataFrame:
@@ -187,6 +195,7 @@ def write_pages(spark: SparkSession, pages: DataFrame, path: str, id_col: str =
     rows = rows.join(told, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select("id", "url", "html", "refers_to")
 
     def convert(batches):
+        written = 0
         for k, batch in enumerate(batches):
             ids, refers = batch.column(0).to_pylist(), batch.column(3).to_pylist()
             for lo in range(0, len(ids), 256):
@@ -196,12 +205,68 @@ def write_pages(spark: SparkSession, pages: DataFrame, path: str, id_col: str =
                     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
                     records.append((_clean(url), "0.0.0.0", date, "text/html", head + body))
                 block = write_arc(records, 1 + (k + lo // 256) % 2)
-                out = [warc_record(i, r, to).decode() for i, to, r in zip(ids[lo : lo + 256], refers[lo : lo + 256], parse_arc(block), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                out = [warc_record(i, r, to) for i, to, r in zip(ids[lo : lo + 256], refers[lo : lo + 256], parse_arc(block), strict=True)]
+                upto = written + np.cumsum([len(x) for x in out])
+                written = int(upto[-1]) if len(upto) else written
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array((upto // FILE_BYTES).astype(np.int32))], ["value", "volume"])
 
-    mean = pages.agg(F.avg(F.octet_length(F.col(payload_col).cast("string")))).first()[0] or 1
-    made = rows.mapInArrow(convert, "value string")
-    made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, int(FILE_BYTES / max(mean, 1024)))).text(path)
+    _write(rows.mapInArrow(convert, "value string, volume int"), path)
+
+
+def _write(records: DataFrame, path: str) -> None:
+    """Records (value, volume) as files of a volume each: a task's records go on to the next volume by their bytes, so no reader holds much more than FILE_BYTES and one record."""
+    records.write.partitionBy("volume").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+
+
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """Every record of the ARC files (.arc, .arc.gz; a gzip member a record or a file) at or below path: file, place, version, url, ip, date, content_type, content.
+
+    Files are read where Spark puts them, one at a time in a task. A file that ends within a record, or of an
+    unknown version, is an error.
+    """
+    cluster.ship(spark)
+    schema = "file string, place long, version int, url string, ip string, date string, content_type string, content binary"
+    types = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = content.as_py()
+                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+                rows, held = [], 0
+                for k, r in enumerate(parse_arc(raw)):
+                    rows.append((file, k, r.version, r.url, r.ip, r.date, r.content_type, r.content))
+                    held += len(r.content)
+                    if held > 8_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{arc,arc.gz}").load(path).select("path", "content")
+    return files.mapInArrow(run, schema)
+
+
+def convert_arc(spark: SparkSession, arc_path: str, path: str) -> None:
+    """The legacy archives at or below arc_path as WARC files below path: a response for each record, its identifier from file and place.
+
+    A payload whose bytes are not UTF-8 is written as base64 with the header X-Payload-Encoding, as Spark's
+    text writer takes text only; read_archives gives the bytes back.
+    """
+    cluster.ship(spark)
+
+    def run(batches):
+        written = 0
+        for batch in batches:
+            out, volumes = [], []
+            for file, place, version, url, ip, date, kind, content in zip(*(batch.column(k).to_pylist() for k in range(8))):
+                value = warc_record(None, ArcRecord(url, ip, date, kind, content, version), None, f"{file}#{place}")
+                written += len(value)
+                out.append(value), volumes.append(written // FILE_BYTES)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(volumes, pa.int32())], ["value", "volume"])
+
+    _write(read_arc(spark, arc_path).mapInArrow(run, "value string, volume int"), path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -238,5 +303,5 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(read, schema)
