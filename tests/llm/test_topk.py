@@ -23,14 +23,14 @@ def test_against_brute_force(spark):
 
 def test_a_group_of_several_blocks_meets_several_shards(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_ROWS", 4)
-    monkeypatch.setattr(topk, "SHARD_ROWS", 100)
+    monkeypatch.setattr(topk, "RANGE_ROWS", 100)
     rng = random.Random(6)
     vectors = [(i * 10, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(500)]
     assert run(spark, vectors) == brute.top_k(vectors)
 
 
 def test_many_shards_groups_and_short_vectors(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD_ROWS", 64)
+    monkeypatch.setattr(topk, "RANGE_ROWS", 64)
     monkeypatch.setattr(topk, "GROUP_QUERIES", 3)
     rng = random.Random(9)
     vectors = [(i, [float(rng.randrange(-2, 3)) / 4 for _ in range(4)]) for i in range(400)]
@@ -55,3 +55,24 @@ def test_blocks_below_the_bound_are_not_scored():
     queries = np.floor(256 * rng.normal(size=(20, 8)))
     *_, scored = topk.search_cell(ids, docs, np.full(20, -1), queries, 5)
     assert scored < 20 * 40 / 4
+
+
+def test_vectors_move_only_where_bounds_ask():
+    """Ranges of small vectors are not asked once a query has its k-th score."""
+    rng = np.random.default_rng(4)
+    high, low = np.full((30, 8), 4.0), np.full((30, 8), -4.0)
+    high[3], low[3] = 900.0, -900.0
+    queries = np.floor(256 * rng.normal(size=(50, 8)))
+    bound = topk.range_bounds(queries, high, low)
+    assert (bound.argmax(axis=1) == 3).all() and ((bound >= 40.0 * np.abs(queries).sum(axis=1)[:, None]).sum(axis=1) == 1).all()
+    docs = np.floor(rng.uniform(-4, 4, size=(500, 8)))
+    assert (topk.range_bounds(queries, docs.max(axis=0)[None], docs.min(axis=0)[None])[:, 0] >= (queries @ docs.T).max(axis=1)).all()
+
+
+def test_structured_vectors_and_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(topk, "RANGE_ROWS", 50)
+    rng = random.Random(7)
+    vectors = [(i, [rng.uniform(-1, 1) * (5 if i < 100 else 0.05) for _ in range(4)]) for i in range(600)] + [(50, [0.5, 0.5, 0.5, 0.5])] * 120
+    want = brute.top_k(vectors)
+    assert sorted(run(spark, vectors)) == want
