@@ -20,7 +20,8 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(spark, _table(spark, sf_dir, "documents"), depth=50, digests_only=True)
+    out = suffix_dedup.remove_repeats(spark, _table(spark, sf_dir, "documents"), depth=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

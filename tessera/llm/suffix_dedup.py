@@ -7,9 +7,10 @@ most-significant-digit passes is a fingerprint of a byte block:
   ``anchor`` bytes. Only one suffix of each run of windows is dealt: the one that starts at the window's
   least fingerprint, which equal windows share. A group of one document is done.
 * pass 2 sorts within a group by the next digit, the bytes that the run's windows cover. Equal groups are
-  repeated runs: each holder but the first document learns that all of the run's windows are repeated.
-  A group whose digits differ goes on.
+  runs that seem repeated. A group whose digits differ goes on.
 * pass 3 sorts the windows of those runs at full depth.
+* the last digit is the bytes themselves: what seems repeated is shown by its documents and sorted by them, so
+  equal groups are exactly the repeated windows, and no fingerprint alone takes a byte away.
 
 Every task first settles what repeats among its own rows, so a passage that a third of all documents share
 is dealt once a batch. An anchor with many different runs in a batch, a common phrase, is not dealt by itself:
@@ -38,7 +39,7 @@ SEGMENT = 1 << 18
 #: the cluster's number of partitions.
 PLACE_BYTES = 4 << 20
 _LAST = np.iinfo(np.int64).max  # stands for a null id, after all others
-_ANCHORS, _SETTLED, _OPEN, _WINDOWS, _COMMON = 0, 1, 2, 3, 4
+_ANCHORS, _SETTLED, _OPEN, _WINDOWS, _COMMON, _CHECK, _BYTES, _WINDOW_CHECK = range(8)
 #: Different runs of one anchor in a batch from which on they are dealt by the run and not by the anchor.
 MOST_RUNS = 16
 #: Stands for a run in the place of a common anchor, to tell that there are others.
@@ -171,8 +172,8 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 _ROWS = "kind int, place int, block binary"
 
 
-def _settle(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each group, the entry with the least id, and the entries of other ids."""
+def _settle(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each group, the entry with the least id; the entries of other ids; and which of the first each of them has."""
     order = np.argsort(group)
     g = group[order]
     cut = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
@@ -183,7 +184,84 @@ def _settle(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     where = np.flatnonzero(same)
     of = np.repeat(np.arange(len(cut)), size)[where]
     keep = where[np.concatenate(([True], of[1:] != of[:-1]))] if len(where) else where
-    return order[keep], order[~same]
+    return order[keep], order[~same], np.repeat(np.arange(len(cut)), size)[~same]
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + size] and data[b : b + size] are the same bytes, for each."""
+    out = np.ones(len(a), bool)
+    upto = np.cumsum(size)
+    for lo, hi in _slices(upto, 1 << 22):
+        at, of = _spread(np.zeros(hi - lo, np.int64), size[lo:hi])
+        differ = data[a[lo:hi][of] + at] != data[b[lo:hi][of] + at]
+        out[lo + of[differ]] = False
+    return out
+
+
+def _slices(upto: np.ndarray, most: int):
+    """Runs [i, j) of entries of about so many bytes together, given running sums of their sizes."""
+    i = 0
+    while i < len(upto):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
+
+
+def spots(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One number for a key and its place in a document: what repeats is told by place, so that a key alone marks nothing."""
+    with np.errstate(over="ignore"):
+        return vt.mix(keys + vt.mix(at.astype(np.int64).view(U64) + U64(0x632BE59BD9B4E019)))
+
+
+def _same_as_first(group: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each string the first of its group that it equals byte for byte, or else itself."""
+    _, first, back = np.unique(group, return_index=True, return_inverse=True)
+    first = first[back]
+    out = np.arange(len(group))
+    like = np.flatnonzero((first != out) & (size == size[first]))
+    like = like[same_bytes(data, begin[like], begin[first[like]], size[like])]
+    out[like] = first[like]
+    return out
+
+
+def _pack_bytes(ids: np.ndarray, keys: np.ndarray, own: np.ndarray, sizes: np.ndarray, flat: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([struct.pack("<I", len(ids)), ids.astype("<i8").tobytes(), keys.astype("<u8").tobytes(), own.astype("<u8").tobytes(), sizes.astype("<u4").tobytes(), flat]))
+
+
+def _unpack_bytes(block: bytes) -> tuple[np.ndarray, ...]:
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    (n,) = struct.unpack_from("<I", raw)
+    ids, keys, own = np.frombuffer(raw, "<i8", n, 4), np.frombuffer(raw, "<u8", n, 4 + 8 * n), np.frombuffer(raw, "<u8", n, 4 + 16 * n)
+    return ids, keys, own, np.frombuffer(raw, "<u4", n, 4 + 24 * n).astype(np.int64), np.frombuffer(raw, np.uint8, offset=4 + 28 * n)
+
+
+def _show(place: np.ndarray, ids: np.ndarray, keys: np.ndarray, own: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray):
+    """Rows of the bytes data[begin : begin + size] of each entry (id, key, spot), by place."""
+    order = np.argsort(place, kind="stable")
+    cut = np.flatnonzero(np.concatenate(([True], place[order][1:] != place[order][:-1], [True]))) if len(order) else [0]
+    for a, b in zip(cut[:-1], cut[1:]):
+        mine = order[a:b]
+        where, of = _spread(begin[mine], begin[mine] + size[mine])
+        yield _BYTES, int(place[mine[0]]), _pack_bytes(ids[mine], keys[mine], own[mine], size[mine], data[where].tobytes())
+
+
+def _equal_bytes(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, spots) of the entries whose bytes another entry of their key has, of a smaller id."""
+    ids, keys, own, sizes, flat = (np.concatenate(x) for x in zip(*map(_unpack_bytes, blocks)))
+    begin = np.cumsum(sizes) - sizes
+    first, again, of = _settle(keys, ids)
+    with_ = first[of]
+    good = sizes[again] == sizes[with_]
+    good[good] = same_bytes(flat, begin[again[good]], begin[with_[good]], sizes[again[good]])
+    found = again[good]
+    if not good.all():  # keys that stand for several strings: told apart one by one
+        odd = np.flatnonzero(np.isin(keys, keys[again[~good]]))
+        least: dict[tuple[int, bytes], int] = {}
+        text = {i: (int(keys[i]), flat[begin[i] : begin[i] + sizes[i]].tobytes()) for i in odd.tolist()}
+        for i, t in text.items():
+            least[t] = min(least.get(t, _LAST), int(ids[i]))
+        found = np.concatenate([found[~np.isin(found, odd)], np.array([i for i, t in text.items() if ids[i] > least[t]], np.int64)])
+    return ids[found], own[found]
 
 
 def _homes(ids: np.ndarray, n: int) -> np.ndarray:
@@ -195,13 +273,16 @@ def _scan(batches, n: int, depth: int, anchor: int, most_runs: int):
     for batch in batches:
         ids = np.array(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
         data, at = vt.column_bytes(batch.column(1))
-        parts = [(doc, c.h, c.c) for c, doc, _ in _chunks(data, at, depth, anchor)]
+        parts = [(doc, c.h, c.c, c.begin + base, c.end - c.begin - 1 + depth) for c, doc, base in _chunks(data, at, depth, anchor)]
         if not parts:
             continue
-        doc, h, c = (np.concatenate(x) for x in zip(*parts))
+        doc, h, c, begin, size = (np.concatenate(x) for x in zip(*parts))
         own = ids[doc]
         key = run_key(h, c)
-        first, again = _settle(key, own)
+        first, again, of = _settle(key, own)
+        good = size[again] == size[first[of]]
+        good[good] = same_bytes(data, begin[again[good]], begin[first[of[good]]], size[again[good]])
+        first, again = np.concatenate([first, again[~good]]), again[good]
         _, back, times = np.unique(h[first], return_inverse=True, return_counts=True)
         common = first[(times > most_runs)[back]]
         first = first[~(times > most_runs)[back]]
@@ -210,8 +291,7 @@ def _scan(batches, n: int, depth: int, anchor: int, most_runs: int):
         marks = common[once]
         ids_, h_, c_ = np.concatenate([own[first], own[marks]]), np.concatenate([h[first], h[marks]]), np.concatenate([c[first], np.full(len(marks), _MARK)])
         rows += _deal(_ANCHORS, (h_ % U64(n)).astype(np.int64), ids_, [(h_, 7), (c_, 5)])
-        tied = _unique_pairs(own[again], key[again])
-        rows += _deal(_SETTLED, _homes(tied[0], n), tied[0], [(tied[1], 8)])
+        rows += _deal(_SETTLED, _homes(own[again], n), own[again], [(spots(key[again], begin[again] - at[doc[again]]), 8)])
         if rows:
             yield _batch(rows)
 
@@ -240,10 +320,11 @@ def _order_runs(key, table: pa.Table, n: int) -> pa.Table:
     rows: list = []
     if len(ids):
         runs = run_key(h, c)
-        first, again = _settle(runs, ids)
-        again = again[c[again] != _MARK]
-        settled = _unique_pairs(ids[again], runs[again])
-        rows += _deal(_SETTLED, _homes(settled[0], n), settled[0], [(settled[1], 8)])
+        first, again, of = _settle(runs, ids)
+        real = c[again] != _MARK
+        seen = np.concatenate([again[real], first[np.unique(of[real])]])
+        seem = _unique_pairs(ids[seen], runs[seen])
+        rows += _deal(_CHECK, _homes(seem[0], n), seem[0], [(seem[1], 8)])
         h, ids, runs, mark = h[first], ids[first], runs[first], c[first] == _MARK
         order = np.argsort(h)
         h, ids, runs, mark = h[order], ids[order], runs[order], mark[order]
@@ -256,14 +337,24 @@ def _order_runs(key, table: pa.Table, n: int) -> pa.Table:
 
 
 def _order_windows(key, table: pa.Table, n: int) -> pa.Table:
-    """Pass 3 of one place: windows at full depth."""
-    if key[0].as_py() == _WINDOWS:
+    """Pass 3 of one place: windows at full depth; and the runs that were shown, by their bytes."""
+    kind = key[0].as_py()
+    if kind == _WINDOWS:
         return table
+    if kind == _BYTES:
+        return _order_bytes(key, table, n, _SETTLED)
     parts = [_unpack(b.as_py(), [8]) for b in table.column("block")]
     ids, w = (np.concatenate(x) for x in zip(*parts))
-    _, again = _settle(w, ids)
-    pair = _unique_pairs(ids[again], w[again])
-    return pa.Table.from_batches([_batch(list(_deal(_WINDOWS, _homes(pair[0], n), pair[0], [(pair[1], 8)])))])
+    first, again, of = _settle(w, ids)
+    seen = np.concatenate([again, first[np.unique(of)]])
+    pair = _unique_pairs(ids[seen], w[seen])
+    return pa.Table.from_batches([_batch(list(_deal(_WINDOW_CHECK, _homes(pair[0], n), pair[0], [(pair[1], 8)])))])
+
+
+def _order_bytes(key, table: pa.Table, n: int, kind: int) -> pa.Table:
+    """The last digit of one place: entries by their bytes."""
+    found = _equal_bytes([b.as_py() for b in table.column("block")])
+    return pa.Table.from_batches([_batch(list(_deal(kind, _homes(found[0], n), found[0], [(found[1], 8)])))])
 
 
 def _pack_texts(batches, n: int):
@@ -313,73 +404,120 @@ def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + begin[of], of
 
 
-def _open_windows(texts: pa.Table, told: pa.Table, n: int, depth: int, anchor: int) -> pa.Table:
-    """The windows of a home's open runs, for pass 3."""
-    who, ties = _told(told, _OPEN)
-    found = []
+def _home(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts of a home end to end: ids, bytes, offsets."""
+    blocks = [_unpack_texts(b.as_py()) for b in texts.column("block")]
+    if not blocks:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    ids, data, at = zip(*blocks)
+    starts = np.cumsum([0, *(len(d) for d in data)])
+    return np.concatenate(ids), np.concatenate(data), np.concatenate([*(a[:-1] + s for a, s in zip(at, starts)), starts[-1:]])
+
+
+def _runs_of(ids: np.ndarray, data: np.ndarray, at: np.ndarray, who: np.ndarray, depth: int, anchor: int):
+    """(document, key, place in data, windows) of the runs of some documents."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    if len(who):
+        for chunk, doc, base in _chunks(data, at, depth, anchor, np.isin(ids, who)):
+            found.append((doc, run_key(chunk.h, chunk.c), chunk.begin + base, chunk.end - chunk.begin))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _windows_of(ids: np.ndarray, data: np.ndarray, at: np.ndarray, who: np.ndarray, ties: np.ndarray, depth: int, anchor: int):
+    """(document, hash, place in data) of the windows of the open runs of some documents."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64))]
     if len(who):
-        for block in texts.column("block"):
-            ids, data, at = _unpack_texts(block.as_py())
-            for chunk, doc, _ in _chunks(data, at, depth, anchor, np.isin(ids, who)):
-                own = _has(ties, _tied(ids[doc], run_key(chunk.h, chunk.c)))
-                where, of = _spread(chunk.begin[own], chunk.end[own])
-                w, d = chunk.window_hashes(where) if len(where) else np.zeros(0, U64), ids[doc[own]][of]
-                _, once = np.unique(_tied(d, w), return_index=True)
-                found.append((d[once], w[once]))
+        for chunk, doc, base in _chunks(data, at, depth, anchor, np.isin(ids, who)):
+            own = _has(ties, _tied(ids[doc], run_key(chunk.h, chunk.c)))
+            where, of = _spread(chunk.begin[own], chunk.end[own])
+            if len(where):
+                found.append((doc[own][of], chunk.window_hashes(where), where + base))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _open_windows(texts: pa.Table, told: pa.Table, n: int, depth: int, anchor: int) -> pa.Table:
+    """The windows of a home's open runs, for pass 3, and the bytes of its runs that seem repeated."""
+    open_who, open_ties = _told(told, _OPEN)
+    check_who, check_ties = _told(told, _CHECK)
+    rows: list = []
+    if len(open_who) or len(check_who):
+        ids, data, at = _home(texts)
+        doc, key, begin, windows = _runs_of(ids, data, at, check_who, depth, anchor)
+        own = _has(check_ties, _tied(ids[doc], key))
+        doc, key, begin, size = doc[own], key[own], begin[own], windows[own] - 1 + depth
+        once = np.unique(_same_as_first(_tied(doc, key), data, begin, size))
+        doc, key, begin, size = doc[once], key[once], begin[once], size[once]
+        rows += _show((key % U64(n)).astype(np.int64), ids[doc], key, spots(key, begin - at[doc]), data, begin, size)
+
+        doc, w, begin = _windows_of(ids, data, at, open_who, open_ties, depth, anchor)
+        once = np.unique(_same_as_first(_tied(doc, w), data, begin, np.full(len(w), depth)))
+        doc, w, begin = doc[once], w[once], begin[once]
+        first, again, of = _settle(w, ids[doc])
+        good = same_bytes(data, begin[again], begin[first[of]], np.full(len(again), depth))
+        first, again = np.concatenate([first, again[~good]]), again[good]
+        rows += _deal(_ANCHORS, (w[first] % U64(n)).astype(np.int64), ids[doc[first]], [(w[first], 8)])
+        rows += _deal(_WINDOWS, _homes(ids[doc[again]], n), ids[doc[again]], [(spots(w[again], begin[again] - at[doc[again]]), 8)])
+    return pa.Table.from_batches([_batch(rows)])
+
+
+def _show_windows(texts: pa.Table, told: pa.Table, n: int, depth: int, anchor: int) -> pa.Table:
+    """The bytes of a home's windows that seem repeated."""
+    who, ties = _told(told, _WINDOW_CHECK)
+    _, open_ties = _told(told, _OPEN)
     rows: list = []
-    if found:
-        ids, w = (np.concatenate(x) for x in zip(*found))
-        first, again = _settle(w, ids)
-        rows += _deal(_ANCHORS, (w[first] % U64(n)).astype(np.int64), ids[first], [(w[first], 8)])
-        rows += _deal(_WINDOWS, _homes(ids[again], n), ids[again], [(w[again], 8)])
+    if len(who):
+        ids, data, at = _home(texts)
+        doc, w, begin = _windows_of(ids, data, at, who, open_ties, depth, anchor)
+        own = _has(ties, _tied(ids[doc], w))
+        doc, w, begin = doc[own], w[own], begin[own]
+        once = np.unique(_same_as_first(_tied(doc, w), data, begin, np.full(len(w), depth)))
+        doc, w, begin = doc[once], w[once], begin[once]
+        rows += _show((w % U64(n)).astype(np.int64), ids[doc], w, spots(w, begin - at[doc]), data, begin, np.full(len(w), depth))
     return pa.Table.from_batches([_batch(rows)])
 
 
-def _remove(texts: pa.Table, told: pa.Table, depth: int, anchor: int, digests: bool) -> pa.Table:
+def _remove(texts: pa.Table, told: pa.Table, depth: int, anchor: int) -> pa.Table:
     """A home's documents with their repeated bytes taken out."""
-    _, settled = _told(told, _SETTLED)
+    settled_who, settled = _told(told, _SETTLED)
+    window_who, windows = _told(told, _WINDOWS)
     _, open_runs = _told(told, _OPEN)
-    _, windows = _told(told, _WINDOWS)
-    out: dict[str, list] = {k: [] for k in ("id", "n_bytes", "n_removed", "n_spans", "spans", "kept")}
-    for block in texts.column("block"):
-        ids, data, at = _unpack_texts(block.as_py())
-        edge = np.zeros(len(data) + 1, np.int32)
-        if len(settled) or len(windows):
-            for chunk, doc, base in _chunks(data, at, depth, anchor):
-                tie = _tied(ids[doc], run_key(chunk.h, chunk.c))
-                all_of = _has(settled, tie)
-                np.add.at(edge, chunk.begin[all_of] + base, 1)
-                np.add.at(edge, chunk.end[all_of] - 1 + depth + base, -1)
-                some = _has(open_runs, tie) & ~all_of
-                if some.any() and len(windows):
-                    where, of = _spread(chunk.begin[some], chunk.end[some])
-                    where = where[_has(windows, _tied(ids[doc[some]][of], chunk.window_hashes(where)))]
-                    np.add.at(edge, where + base, 1)
-                    np.add.at(edge, where + depth + base, -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        for i, doc_id in enumerate(ids.tolist()):
-            mine, text = gone[at[i] : at[i + 1]], data[at[i] : at[i + 1]]
-            flips = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0)) if mine.any() else np.zeros(0, np.int64)
-            kept = text[~mine].tobytes() if len(flips) else text.tobytes()
-            out["id"].append(None if doc_id == _LAST else doc_id)
-            out["n_bytes"].append(len(text))
-            out["n_removed"].append(len(text) - len(kept))
-            out["n_spans"].append(len(flips) // 2)
-            out["spans"].append(None if digests else [{"start": a, "end": b} for a, b in flips.reshape(-1, 2).tolist()])
-            out["kept"].append(hashlib.sha256(kept).hexdigest() if digests else kept)
+    ids, data, at = _home(texts)
+    edge = np.zeros(len(data) + 1, np.int32)
+
+    def mark(doc: np.ndarray, key: np.ndarray, begin: np.ndarray, size: np.ndarray, ties: np.ndarray) -> None:
+        """Strings that were told at their place, or whose like in the same document was, go."""
+        if len(doc) and len(ties):
+            told_here = _has(ties, _tied(ids[doc], spots(key, begin - at[doc])))
+            like = _same_as_first(_tied(doc, key), data, begin, size)
+            goes = told_here | told_here[like]
+            np.add.at(edge, begin[goes], 1)
+            np.add.at(edge, begin[goes] + size[goes], -1)
+
+    doc, key, begin, count = _runs_of(ids, data, at, settled_who, depth, anchor)
+    mark(doc, key, begin, count - 1 + depth, settled)
+    doc, w, begin = _windows_of(ids, data, at, window_who, open_runs, depth, anchor)
+    mark(doc, w, begin, np.full(len(w), depth), windows)
+    gone = np.cumsum(edge[:-1]) > 0
+    out: dict[str, list] = {k: [] for k in ("id", "n_bytes", "spans", "kept")}
+    for i, doc_id in enumerate(ids.tolist()):
+        mine, text = gone[at[i] : at[i + 1]], data[at[i] : at[i + 1]]
+        flips = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0)) if mine.any() else np.zeros(0, np.int64)
+        out["id"].append(None if doc_id == _LAST else doc_id)
+        out["n_bytes"].append(len(text))
+        out["spans"].append([{"start": a, "end": b} for a, b in flips.reshape(-1, 2).tolist()])
+        out["kept"].append(text[~mine].tobytes() if len(flips) else text.tobytes())
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    types = {"id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "spans": span, "kept": pa.string() if digests else pa.binary()}
+    types = {"id": pa.int64(), "n_bytes": pa.int64(), "spans": span, "kept": pa.binary()}
     return pa.table({k: pa.array(v, types[k]) for k, v in out.items()})
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = 50, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False, anchor: int | None = None) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = 50, id_col: str = "doc_id", text_col: str = "text", anchor: int | None = None) -> DataFrame:
     """Take out of each text every byte covered by a string of ``depth`` bytes that also starts in a document of a smaller id.
 
     Returns, per row of docs: the id, n_bytes, n_removed, n_spans, spans (array of start, end in bytes, end
-    exclusive; null with digests_only) and kept (the remaining bytes; with digests_only kept_sha256, their
-    digest). Strings are judged on the input. A null text is empty; a null id counts as larger than any
-    other; rows of the same id are never earlier than each other, so repeated rows stay alike. Texts shorter
-    than ``depth`` lose nothing. Only the two columns are read, whatever else docs has.
+    exclusive) and kept (the remaining bytes). Strings are judged on the input. A null text is empty; a null id
+    counts as larger than any other; rows of the same id are never earlier than each other, so repeated rows
+    stay alike. Texts shorter than ``depth`` lose nothing. Only the two columns are read, whatever else docs has.
     """
     cluster.ship(spark)
     anchor = anchor or max(1, min(20, depth // 2))
@@ -391,9 +529,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = 50, id_col
     dealt = rows.mapInArrow(lambda batches: _scan(batches, n, depth, anchor, most_runs), _ROWS)
     told = cluster.materialize(spark, dealt.groupBy("kind", "place").applyInArrow(lambda key, t: _order_runs(key, t, n), _ROWS), "runs")
     homes = rows.mapInArrow(lambda batches: _pack_texts(batches, n), _ROWS)
-    opened = homes.groupBy("place").cogroup(told.where(F.col("kind") == _OPEN).groupBy("place")).applyInArrow(lambda a, b: _open_windows(a, b, n, depth, anchor), _ROWS)
-    windows = opened.groupBy("kind", "place").applyInArrow(lambda key, t: _order_windows(key, t, n), _ROWS)
-    schema = "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept " + ("string" if digests_only else "binary")
-    out = homes.groupBy("place").cogroup(told.unionByName(windows).groupBy("place")).applyInArrow(lambda a, b: _remove(a, b, depth, anchor, digests_only), schema)
-    out = out.withColumnRenamed("id", id_col)
-    return out.drop("spans").withColumnRenamed("kept", "kept_sha256") if digests_only else out
+    # One plan from here on: the texts' exchange is reused by all three that read it.
+    at_home = lambda other, f, schema=_ROWS: homes.groupBy("place").cogroup(other.groupBy("place")).applyInArrow(f, schema)
+    opened = at_home(told.where(F.col("kind").isin(_OPEN, _CHECK)), lambda a, b: _open_windows(a, b, n, depth, anchor))
+    second = opened.groupBy("kind", "place").applyInArrow(lambda key, t: _order_windows(key, t, n), _ROWS)
+    known = told.where(F.col("kind").isin(_OPEN, _SETTLED)).unionByName(second)
+    shown = at_home(known, lambda a, b: _show_windows(a, b, n, depth, anchor))
+    third = shown.groupBy("kind", "place").applyInArrow(lambda key, t: _order_bytes(key, t, n, _WINDOWS), _ROWS)
+    schema = "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+    out = at_home(known.unionByName(third), lambda a, b: _remove(a, b, depth, anchor), schema)
+    return out.select(F.col("id").alias(id_col), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans", "kept")
