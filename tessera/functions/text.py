@@ -42,28 +42,50 @@ def reference_key(c: Column) -> Column:
     return F.lower(F.replace(c, F.lit(" "), F.lit("")))
 
 
+def running(values: Column, join: Callable[[Column, Column], Column], kind: str = "int") -> Column:
+    """Running results of an associative join over an array of this type.
+
+    A fold that appends copies its result at each step; so runs of about the root of the number fold by
+    themselves, then the runs' ends, and each run goes on from the end of those before it.
+    """
+
+    def fold(part: Column) -> Column:
+        step = lambda acc, x: F.array_append(acc, F.when(F.size(acc) == 0, x).otherwise(join(F.element_at(acc, -1), x)))
+        return F.aggregate(part, F.array().cast(f"array<{kind}>"), step)
+
+    def whole(v: Column) -> Column:
+        length = F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / length).cast("int") - 1), lambda c: fold(F.slice(v, c * length + 1, length)))
+
+        def joined_up(r: Column) -> Column:
+            ends = fold(F.transform(r, lambda x: F.element_at(x, -1)))
+            return let(ends, lambda e: F.flatten(F.transform(r, lambda x, c: F.when(c == 0, x).otherwise(F.transform(x, lambda y: join(F.get(e, c - 1), y))))))
+
+        return let(runs, joined_up)
+
+    return let(values, lambda v: F.when(F.size(v) <= 16, fold(v)).otherwise(whole(v)))
+
+
 def find_all(text: Column, pattern: str, groups: int) -> Column:
     """Every match of a Java pattern as (pos, end, g1 ... gn), in code points; a group without a match is ''.
 
-    The pattern may not match nothing: places come from the lengths of the pieces between matches.
+    The pattern may not match nothing: places are running sums of the lengths of matches and of what lies between them.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)]
     fields = "".join(f",g{g}:string" for g in range(1, groups + 1))
     none = F.array().cast(f"array<struct<pos:int,end:int{fields}>>")
 
-    def walk(held: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            pos = acc["at"] + F.length(F.element_at(held["between"], i))
-            end = pos + F.length(F.element_at(held["whole"], i))
-            found = F.struct(pos.alias("pos"), end.alias("end"), *(F.element_at(held[f"g{g}"], i).alias(f"g{g}") for g in range(1, groups + 1)))
-            return F.struct(end.alias("at"), F.array_append(acc["out"], found).alias("out"))
+    def placed(held: Column) -> Column:
+        steps = F.transform(held["whole"], lambda m, i: F.length(F.get(held["between"], i)) + F.length(m))
+
+        def found(ends: Column) -> Column:
+            return F.transform(ends, lambda e, i: F.struct((e - F.length(F.get(held["whole"], i))).alias("pos"), e.alias("end"), *(F.get(held[f"g{g}"], i).alias(f"g{g}") for g in range(1, groups + 1))))
 
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(held["whole"])), start, step, lambda a: a["out"])
+        return let(running(steps, lambda x, y: x + y), found)
 
     held = F.struct(whole.alias("whole"), F.split(text, pattern, -1).alias("between"), *(p.alias(f"g{g + 1}") for g, p in enumerate(parts)))
-    return F.when(text.rlike(pattern), let(held, walk)).otherwise(none)
+    return F.when(text.rlike(pattern), let(held, placed)).otherwise(none)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import find_all, let, lstrip, stable_id, strip
+from tessera.functions.text import find_all, let, lstrip, running, stable_id, strip
 from tessera.profile import Profile
 
 #: Flags that give Java's patterns the meaning of multi-line Unicode patterns with \n as the line's end.
@@ -55,26 +55,38 @@ def _label(name: Column, m: Column) -> Column:
     return F.concat_ws(" ", name, F.nullif(m["number"], F.lit("")), F.nullif(m["title"], F.lit("")))
 
 
-def bodies_of(marks: Column, size: Column, profile: Profile) -> Column:
-    """Chunks as (pos, end, number, title, path): to the next heading of the chunk's level or an outer one."""
-    names = F.array(*(F.lit(x.name) for x in profile.levels))
-    edges = F.filter(marks, lambda m: m["rank"] <= profile.chunk_rank)
-    none = F.array(*(F.lit(None).cast("string") for _ in profile.levels))
+_CRUMB = "array<struct<set:boolean,label:string>>"
 
-    def walk(edge: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            m = F.element_at(edge, i)
 
-            def placed(crumbs: Column) -> Column:
-                body = F.struct(m["pos"].alias("pos"), F.coalesce(F.get(edge, i)["pos"], size).alias("end"), m["number"].alias("number"), m["title"].alias("title"), F.concat_ws(" > ", crumbs).alias("path"))
-                return F.struct(crumbs.alias("crumbs"), F.when(m["rank"] == profile.chunk_rank, F.array_append(acc["out"], body)).otherwise(acc["out"]).alias("out"))
+def bodies_of(marks: Column, size: Column, profile: Profile) -> Column:
+    """Chunks as (pos, end, number, title, path): to the next heading of the chunk's level or an outer one.
 
-            return let(F.transform(acc["crumbs"], lambda c, r: F.when(r < m["rank"], c).when(r == m["rank"], _label(F.element_at(names, r + 1), m))), placed)
+    A heading sets its level's part of the breadcrumbs, clears the inner ones and leaves the outer ones; what
+    two after one another do is of the same form, so breadcrumbs are running results.
+    """
+    names = F.array(*(F.lit(x.name) for x in profile.levels))
+    ranks = F.sequence(F.lit(0), F.lit(len(profile.levels) - 1))
+    edges = F.filter(marks, lambda m: m["rank"] <= profile.chunk_rank)
 
-        start = F.struct(none.alias("crumbs"), F.array().cast("array<struct<pos:int,end:int,number:string,title:string,path:string>>").alias("out"))
-        return F.when(F.size(edge) > 0, F.aggregate(F.sequence(F.lit(1), F.size(edge)), start, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<pos:int,end:int,number:string,title:string,path:string>>"))
+    def own(m: Column) -> Column:
+        return F.transform(ranks, lambda r: F.struct((r >= m["rank"]).alias("set"), F.when(r == m["rank"], _label(F.element_at(names, r + 1), m)).alias("label")))
 
-    return let(edges, walk)
+    def walk(edge: Column) -> Column:
+        def body(crumbs: Column) -> Column:
+            every = F.transform(
+                edge,
+                lambda m, i: F.struct(
+                    m["rank"].alias("rank"), m["pos"].alias("pos"), F.coalesce(F.get(edge, i + 1)["pos"], size).alias("end"), m["number"].alias("number"), m["title"].alias("title"),
+                    F.concat_ws(" > ", F.transform(F.get(crumbs, i), lambda c: c["label"])).alias("path"),
+                ),
+            )
+            return F.transform(F.filter(every, lambda x: x["rank"] == profile.chunk_rank), lambda x: F.struct(*(x[c].alias(c) for c in ("pos", "end", "number", "title", "path"))))
+
+        merged = lambda a, b: F.zip_with(a, b, lambda x, y: F.when(y["set"], y).otherwise(x))
+        return let(running(F.transform(edge, own), merged, _CRUMB), body)
+
+    none = F.array().cast("array<struct<pos:int,end:int,number:string,title:string,path:string>>")
+    return let(edges, lambda edge: F.when(F.size(edge) > 0, walk(edge)).otherwise(none))
 
 
 def split_oversized(whole_body: Column, profile: Profile) -> Column:
