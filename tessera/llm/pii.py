@@ -20,6 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import let, running
 from tessera.llm import cluster
 
 KINDS = ("email", "ip", "card", "phone")
@@ -107,10 +108,6 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 _SPAN = "struct<kind:string,start:int,end:int>"
 
 
@@ -118,38 +115,14 @@ def _none(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def _scan(values: Column, join: Callable[[Column, Column], Column], kind: str = "int") -> Column:
-    """Running results of an associative join over an array.
-
-    A fold that appends copies its result at each step; so runs of about the root of the number fold by
-    themselves, then the runs' ends, and each run goes on from the end of those before it.
-    """
-
-    def fold(part: Column) -> Column:
-        step = lambda acc, x: F.array_append(acc, F.when(F.size(acc) == 0, x).otherwise(join(F.element_at(acc, -1), x)))
-        return F.aggregate(part, _none(kind), step)
-
-    def whole(v: Column) -> Column:
-        length = F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int")
-        runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / length).cast("int") - 1), lambda c: fold(F.slice(v, c * length + 1, length)))
-
-        def joined_up(r: Column) -> Column:
-            ends = fold(F.transform(r, lambda x: F.element_at(x, -1)))
-            return _let(ends, lambda e: F.flatten(F.transform(r, lambda x, c: F.when(c == 0, x).otherwise(F.transform(x, lambda y: join(F.get(e, c - 1), y))))))
-
-        return _let(runs, joined_up)
-
-    return _let(values, lambda v: F.when(F.size(v) <= 16, fold(v)).otherwise(whole(v)))
-
-
 def _places(text: Column, matches: Column, pattern: str) -> Column:
     """start and end of each match, in code points: running sums of the lengths of matches and of what lies between them."""
 
     def spans(between: Column) -> Column:
         steps = F.transform(matches, lambda m, i: F.length(F.get(between, i)) + F.length(m))
-        return F.transform(F.arrays_zip(_scan(steps, lambda a, b: a + b).alias("end"), matches.alias("match")), lambda z: F.struct((z["end"] - F.length(z["match"])).alias("start"), z["end"].alias("end"), z["match"].alias("match")))
+        return F.transform(F.arrays_zip(running(steps, lambda a, b: a + b).alias("end"), matches.alias("match")), lambda z: F.struct((z["end"] - F.length(z["match"])).alias("start"), z["end"].alias("end"), z["match"].alias("match")))
 
-    return _let(F.split(text, pattern, -1), spans)
+    return let(F.split(text, pattern, -1), spans)
 
 
 def _chunked(text: Column) -> Column:
@@ -372,7 +345,7 @@ def _proposals(kind: str, pattern: str, text: Column, matches: Column, chunks: C
     def accepted(z: Column) -> Column:
         before = _cut(chunks, F.greatest(z["start"] - CONTEXT, F.lit(0)), z["start"])
         after = _cut(chunks, z["end"], z["end"] + CONTEXT)
-        return _let(_features(z["match"], before, after), lambda f: sum((_compiled(t, f) for t in trees), F.lit(0.0))) >= threshold
+        return let(_features(z["match"], before, after), lambda f: sum((_compiled(t, f) for t in trees), F.lit(0.0))) >= threshold
 
     spans = F.transform(F.filter(_places(text, matches, pattern), accepted), lambda z: F.struct(F.lit(kind).alias("kind"), z["start"].alias("start"), z["end"].alias("end")))
     return F.when(F.size(matches) > 0, spans).otherwise(_none(_SPAN))
@@ -383,17 +356,17 @@ def _clear(spans: Column, taken: Column) -> Column:
     tagged = lambda array, new: F.transform(array, lambda s: F.struct(s["start"].alias("start"), F.lit(new).alias("new"), s["end"].alias("end"), s["kind"].alias("kind")))
 
     def sift(every: Column) -> Column:
-        last = _scan(F.transform(every, lambda s: F.when(s["new"], F.lit(0)).otherwise(s["end"])), F.greatest)
+        last = running(F.transform(every, lambda s: F.when(s["new"], F.lit(0)).otherwise(s["end"])), F.greatest)
         none = F.lit((1 << 31) - 1)
-        following = F.reverse(_scan(F.reverse(F.transform(every, lambda s: F.when(s["new"], none).otherwise(s["start"]))), F.least))
+        following = F.reverse(running(F.reverse(F.transform(every, lambda s: F.when(s["new"], none).otherwise(s["start"]))), F.least))
 
         def free(last_: Column, following_: Column) -> Column:
             keep = lambda s, i: s["new"] & (F.get(last_, i) <= s["start"]) & (F.get(following_, i) >= s["end"])
             return F.transform(F.filter(every, keep), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
-        return _let(last, lambda a: _let(following, lambda b: free(a, b)))
+        return let(last, lambda a: let(following, lambda b: free(a, b)))
 
-    whole = _let(F.sort_array(F.concat(tagged(spans, True), tagged(taken, False))), sift)
+    whole = let(F.sort_array(F.concat(tagged(spans, True), tagged(taken, False))), sift)
     return F.when(F.size(spans) == 0, _none(_SPAN)).when(F.size(taken) == 0, spans).otherwise(whole)
 
 
@@ -468,9 +441,9 @@ def redact(docs: DataFrame, text_col: str = "text", mark: Callable[[Column], Col
 
             return F.concat(F.array_join(F.transform(by_start, piece), ""), _cut(chunks, F.element_at(upto, -1), F.length(text)))
 
-        return _let(_scan(F.transform(by_start, lambda s: s["end"]), F.greatest), pieces)
+        return let(running(F.transform(by_start, lambda s: s["end"]), F.greatest), pieces)
 
     by_start = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    fresh = _let(by_start, lambda s: _let(_chunked(text), lambda c: rebuilt(s, c)))
+    fresh = let(by_start, lambda s: let(_chunked(text), lambda c: rebuilt(s, c)))
     new = F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(fresh)
     return found.select(*(new.alias(c) if c == text_col else found[c] for c in docs.columns))

@@ -65,3 +65,23 @@ def test_empty(spark):
     assert mixing.repeat_documents(spark, empty).count() == 0
     blank = spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id long, text string, source string")
     assert [(r.size, r.target, r.taken) for r in mixing.taken(spark, blank).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_names_of_the_callers_columns(spark):
+    df = spark.createDataFrame([(i, "a b c d", "s", i, 1, 2, 3) for i in range(5)] + [(None, "e f", None, 9, 1, 2, 3)], "doc_id long, text string, source string, _id long, _copies int, _copy int, key int")
+    out = mixing.repeat_documents(spark, df)
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in df.collect()} and out.count() > 0
+
+
+def test_sources_in_ranges(spark, monkeypatch):
+    """More ranges than one give the same targets and takings."""
+    docs = documents(random.Random(9), {f"s{i:03d}": (3, 30) for i in range(60)} | {None: (4, 20)})
+    df = spark.createDataFrame([(i, t, s) for i, t, s in docs], "doc_id long, text string, source string")
+    whole = sorted(map(tuple, mixing.taken(spark, df).collect()), key=repr)
+    monkeypatch.setattr(mixing, "ROWS_A_RANGE", 7)
+    assert sorted(map(tuple, mixing.taken(spark, df).collect()), key=repr) == whole
+    sizes = defaultdict(int)
+    for _, t, s in docs:
+        sizes[s] += len(brute.WORDS.findall(t or ""))
+    want, source = brute.targets(sizes), {i: s for i, _, s in docs}
+    assert all(t == pytest.approx(want[source[i]]) for i, _, _, t, _ in whole)

@@ -104,7 +104,7 @@ def test_running_results(spark):
     for n in (0, 1, 16, 17, 100, 1000):
         values = [(7 * i) % 13 for i in range(n)]
         df = spark.createDataFrame([(values,)], "v array<int>")
-        row = df.select(pii._scan(F.col("v"), lambda a, b: a + b).alias("s"), pii._scan(F.col("v"), F.greatest).alias("m")).first()
+        row = df.select(pii.running(F.col("v"), lambda a, b: a + b).alias("s"), pii.running(F.col("v"), F.greatest).alias("m")).first()
         assert row.s == [sum(values[: i + 1]) for i in range(n)] and row.m == [max(values[: i + 1]) for i in range(n)]
 
 
