@@ -130,11 +130,16 @@ def chunk_limit(spark, sf_dir):
     return corpus.read_chunks(spark, path, 50).select("id", "doc_id", "char_start")
 
 
-@query("document_files", "select cast(conv_id as varchar) as doc_id, count(*) as pages, cast(min(turn) as integer) as first_page from conversations where trim(coalesce(text, '')) <> '' group by 1")
+@query("document_files", f"with {r._TALK} select doc_id, 'table' as kind, page, char_start, char_end from pm union all select doc_id, 'lines', page, char_start, char_end from pm")
 def document_files(spark, sf_dir):
+    """Clean texts with their page map, as a table and as JSON lines, and both read again."""
     path = storage.new_path(spark, "clean")
-    sinks.write_documents(*clean.assemble(fx.conversation_pages(spark, sf_dir)), path)
-    return spark.read.parquet(f"{path}/page_map").groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.min("page").alias("first_page"))
+    docs, spans = clean.assemble(fx.conversation_pages(spark, sf_dir))
+    sinks.write_documents(docs, spans, path)
+    stored = spark.read.parquet(f"{path}/page_map")
+    sinks.write_page_maps(stored, f"{path}/lines")
+    lines = spark.read.schema("doc_id string, spans array<struct<page:int,char_start:int,char_end:int>>").json(f"{path}/lines").select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    return stored.select("doc_id", F.lit("table").alias("kind"), "page", "char_start", "char_end").unionByName(lines.withColumn("kind", F.lit("lines")))
 
 
 @query("outside_vectors", f"with {r._V} select id, round(score, 5) as score from vt")
