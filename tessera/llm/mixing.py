@@ -50,13 +50,13 @@ def running(spark: SparkSession, rows: DataFrame, order: list[Column], sums: dic
 
 
 def targets(spark: SparkSession, sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
-    """Per source of sized (source, size): key, n_docs, source_size, target.
+    """Per source of sized (source, size, n: so many alike): key, n_docs, source_size, target.
 
     Sources by code point, null last, take the weights in turn. Targets share the sum of all sizes by weight
     but stop at ``most`` times the source's size; the excess goes to the others by weight. With the sources
     by cap over weight, all before some place stop at their caps: running sums find it.
     """
-    per = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
+    per = sized.groupBy("source").agg(F.sum("n").alias("n_docs"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
     per = running(spark, per, [F.col("source").asc_nulls_last()], {})
     per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int"))).withColumnRenamed("place", "number")
     per = per.withColumn("cap", (F.col("source_size") * most).cast("double"))
@@ -116,6 +116,15 @@ def schedule(spark: SparkSession, per: DataFrame) -> DataFrame:
     return ranked.select("slot", "key", F.pmod("rank", "blocks").alias("block"), F.expr("rank div blocks").alias("pass"))
 
 
+def _each(spark: SparkSession, rows: DataFrame, run: int = 4096) -> DataFrame:
+    """Each of n alike as a row with its number j; large groups are dealt out in runs first."""
+    upto = F.col("n") - 1
+    few = rows.where(F.col("n") <= run).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), upto)))
+    many = rows.where(F.col("n") > run).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), upto, F.lit(run).cast("long")))).repartition(cluster.shuffle_partitions(spark))
+    many = many.withColumn("j", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + run - 1, upto)))).drop("run")
+    return few.unionByName(many)
+
+
 def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """The mix of all documents: (sized documents, segments).
 
@@ -128,7 +137,8 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", source_col
     seed and size. An empty table gives empty ones.
     """
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size"))
-    sized = cluster.materialize(spark, sized, "sizes")
+    # Rows of one id, source and size are alike: one row with their number, however many there are, until the end.
+    sized = cluster.materialize(spark, sized.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     per = cluster.materialize(spark, targets(spark, sized), "targets")
     slots = schedule(spark, per)
 
@@ -137,17 +147,17 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", source_col
     order = F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f" {seed}")).cast("binary"))
     placed = sized.withColumn("key", source_key(F.col("source"))).join(known, "key")
     placed = placed.withColumn("order", order).withColumn("cell", F.pmod(F.conv(F.substring("order", 1, 12), 16, 10).cast("long"), F.ceil(F.col("n_docs") / DOCS_A_CELL)))
-    by_cell = placed.groupBy("key", "cell").agg(F.sum("size").alias("cell_words"), F.count(F.lit(1)).alias("cell_docs"))
+    by_cell = placed.groupBy("key", "cell").agg(F.sum(F.col("size") * F.col("n")).alias("cell_words"), F.sum("n").alias("cell_docs"))
     upto = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     by_cell = by_cell.select("key", "cell", F.coalesce(F.sum("cell_words").over(upto), F.lit(0)).alias("base_words"), F.coalesce(F.sum("cell_docs").over(upto), F.lit(0)).alias("base_docs"))
     within = Window.partitionBy("key", "cell").orderBy("order", "size")
     placed = placed.join(by_cell, ["key", "cell"]).withColumns(
         {
-            "at": F.col("base_words") + F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-            "row": F.col("base_docs") + F.row_number().over(within) - 1,
+            "at": F.col("base_words") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "row": F.col("base_docs") + F.coalesce(F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         }
     )
-    placed = cluster.materialize(spark, placed.select("row", "id", "key", "size", "source_size", "target", "at", "words"), "placed")
+    placed = cluster.materialize(spark, _each(spark, placed).select((F.col("row") + F.col("j")).alias("row"), "id", "key", "size", "source_size", "target", (F.col("at") + F.col("j") * F.col("size")).alias("at"), "words"), "placed")
 
     parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr("at div words"), F.expr("(at + size - 1) div words"))))
     first = F.greatest(F.col("at"), F.col("block") * F.col("words"))

@@ -85,3 +85,19 @@ def test_sources_in_ranges(spark, monkeypatch):
         sizes[s] += len(brute.WORDS.findall(t or ""))
     want, source = brute.targets(sizes), {i: s for i, _, s in docs}
     assert all(t == pytest.approx(want[source[i]]) for i, _, _, t, _ in whole)
+
+
+def test_an_id_of_very_many_rows(spark):
+    """Rows that are alike are one until the end; together they take what their words are due."""
+    docs = documents(random.Random(3), {"a": (40, 50), "b": (30, 80)})
+    df = spark.createDataFrame(docs + [(7, "w x y z", "a")] * 9000, "doc_id long, text string, source string")
+    rows = mixing.taken(spark, df).collect()
+    assert len(rows) == len(docs) + 9000 and all(r.taken <= 3 * r.size for r in rows)
+    sizes, got = defaultdict(int), defaultdict(int)
+    source = {i: s for i, _, s in docs}
+    for i, t, s in docs + [(7, "w x y z", "a")] * 9000:
+        sizes[s] += len(brute.WORDS.findall(t))
+    for r in rows:
+        got[source[r.doc_id]] += r.taken
+    want = brute.targets(sizes)
+    assert all(got[s] == pytest.approx(want[s], rel=0.03, abs=5) for s in sizes)
