@@ -471,12 +471,20 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     return out.select(blank(F.col("id")).alias(id_col), blank(F.coalesce("label", "id")).alias("class_id"), F.col("size").alias("n_shingles"))
 
 
-def _may_be(rows: DataFrame, ids: DataFrame, words: int = 1 << 17) -> DataFrame:
-    """rows without most of those whose id is not one of ids: a bitmap of hashed ids, of this many words at most, meets them where they are read."""
-    h = F.xxhash64("id")
-    place, bit = F.pmod(h, F.lit(words)).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int"))
-    bits = ids.select(place, bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    return rows.withColumn("_word", place).join(F.broadcast(bits), "_word").where(bit.bitwiseAND(F.col("_bits")) != 0).drop("_word", "_bits")
+def _hits(rows: DataFrame, ids: DataFrame, id_col: str, hit: str, words: int = 1 << 17) -> DataFrame:
+    """rows with a column more: false for most whose id is not one of ids. A bitmap of hashed ids, of this many words at most, meets them where they are read; a null id is no hit."""
+    word, bits = cluster.fresh_names("word", "bits")
+    h = F.xxhash64(id_col)
+    place, bit = F.pmod(h, F.lit(words)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int"))
+    bitmap = ids.select(place.alias(word), bit.alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    met = rows.withColumn(word, place).join(F.broadcast(bitmap), word, "left")
+    found = F.col(id_col).isNotNull() & F.coalesce(bit.bitwiseAND(F.col(bits)) != 0, F.lit(False))
+    return met.withColumn(hit, found).drop(word, bits)
+
+
+def _may_be(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows without most of those whose id is not one of ids."""
+    return _hits(rows, ids, "id", "hit").where("hit").drop("hit")
 
 
 def _dealt_out(spark: SparkSession, buckets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -620,11 +628,15 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
 
     Rows without id stay. Of rows with one id and one text, one stays.
     """
-    own = cluster.fresh_names("kept", "times", "text")
+    own = cluster.fresh_names("id", "class", "times", "text", "hit")
     id_ = docs[id_col].cast("long")
-    named = classes(spark, docs, id_col, text_col, similarity).where(F.col("class_id") == F.col(id_col))
-    named = cluster.materialize(spark, named.groupBy(F.col(id_col).alias(own[0])).agg(F.count(F.lit(1)).alias(own[1])), "kept")
-    staying = docs.where(id_.isNotNull()).join(named, id_ == F.col(own[0]))
-    once = staying.where(F.col(own[1]) == 1).select(docs.columns)
-    again = staying.where(F.col(own[1]) > 1).withColumn(own[2], F.xxhash64(docs[text_col])).dropDuplicates([own[0], own[2]]).select(docs.columns)
-    return once.unionByName(again).unionByName(docs.where(id_.isNull()))
+    named = classes(spark, docs, id_col, text_col, similarity).where(F.col(id_col).isNotNull())
+    fate = named.groupBy(F.col(id_col).alias(own[0])).agg(F.max("class_id").alias(own[1]), F.count(F.lit(1)).alias(own[2]))
+    # Most ids are there once and in a class of their own: only those of the others, and few besides, have to meet it.
+    fate = cluster.materialize(spark, fate.where((F.col(own[2]) > 1) | (F.col(own[1]) != F.col(own[0]))), "fate")
+    told = _hits(docs.withColumn(own[0], id_), fate.select(own[0]), own[0], own[4])
+    clear = told.where(~F.col(own[4])).select(docs.columns)
+    met = told.where(F.col(own[4])).join(fate, own[0], "left")
+    single = met.where(F.col(own[1]).isNull() | ((F.col(own[2]) == 1) & (F.col(own[1]) == F.col(own[0])))).select(docs.columns)
+    again = met.where((F.col(own[2]) > 1) & (F.col(own[1]) == F.col(own[0]))).withColumn(own[3], F.xxhash64(F.col(text_col))).dropDuplicates([own[0], own[3]]).select(docs.columns)
+    return clear.unionByName(single).unionByName(again)

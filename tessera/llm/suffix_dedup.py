@@ -35,6 +35,8 @@ from tessera.llm import vectext as vt
 U64 = np.uint64
 #: Bytes handled at once; longer documents are cut here, with an overlap of the depth.
 SEGMENT = 1 << 18
+#: Bytes of a home's texts that are looked at together; a longer text is looked at alone.
+PART = 1 << 20
 #: Bytes of text that make a place. Blocks go from places to places, so their number follows the data and not
 #: the cluster's number of partitions.
 PLACE_BYTES = 4 << 20
@@ -191,7 +193,7 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray)
     """Whether data[a : a + size] and data[b : b + size] are the same bytes, for each."""
     out = np.ones(len(a), bool)
     upto = np.cumsum(size)
-    for lo, hi in _slices(upto, 1 << 22):
+    for lo, hi in _slices(upto, 1 << 19):
         at, of = _spread(np.zeros(hi - lo, np.int64), size[lo:hi])
         differ = data[a[lo:hi][of] + at] != data[b[lo:hi][of] + at]
         out[lo + of[differ]] = False
@@ -435,13 +437,19 @@ def _windows_of(ids: np.ndarray, data: np.ndarray, at: np.ndarray, who: np.ndarr
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _parts(texts: pa.Table):
+    """A home's documents in parts of about PART bytes: ids, bytes, offsets."""
+    ids, data, at = _home(texts)
+    for i, j in vt.chunks(at, PART):
+        yield ids[i:j], data[at[i] : at[j]], at[i : j + 1] - at[i]
+
+
 def _open_windows(texts: pa.Table, told: pa.Table, n: int, depth: int, anchor: int) -> pa.Table:
     """The windows of a home's open runs, for pass 3, and the bytes of its runs that seem repeated."""
     open_who, open_ties = _told(told, _OPEN)
     check_who, check_ties = _told(told, _CHECK)
     rows: list = []
-    if len(open_who) or len(check_who):
-        ids, data, at = _home(texts)
+    for ids, data, at in _parts(texts) if len(open_who) or len(check_who) else ():
         doc, key, begin, windows = _runs_of(ids, data, at, check_who, depth, anchor)
         own = _has(check_ties, _tied(ids[doc], key))
         doc, key, begin, size = doc[own], key[own], begin[own], windows[own] - 1 + depth
@@ -465,8 +473,7 @@ def _show_windows(texts: pa.Table, told: pa.Table, n: int, depth: int, anchor: i
     who, ties = _told(told, _WINDOW_CHECK)
     _, open_ties = _told(told, _OPEN)
     rows: list = []
-    if len(who):
-        ids, data, at = _home(texts)
+    for ids, data, at in _parts(texts) if len(who) else ():
         doc, w, begin = _windows_of(ids, data, at, who, open_ties, depth, anchor)
         own = _has(ties, _tied(ids[doc], w))
         doc, w, begin = doc[own], w[own], begin[own]
@@ -481,31 +488,31 @@ def _remove(texts: pa.Table, told: pa.Table, depth: int, anchor: int) -> pa.Tabl
     settled_who, settled = _told(told, _SETTLED)
     window_who, windows = _told(told, _WINDOWS)
     _, open_runs = _told(told, _OPEN)
-    ids, data, at = _home(texts)
-    edge = np.zeros(len(data) + 1, np.int32)
-
-    def mark(doc: np.ndarray, key: np.ndarray, begin: np.ndarray, size: np.ndarray, ties: np.ndarray) -> None:
-        """Strings that were told at their place, or whose like in the same document was, go."""
-        if len(doc) and len(ties):
-            told_here = _has(ties, _tied(ids[doc], spots(key, begin - at[doc])))
-            like = _same_as_first(_tied(doc, key), data, begin, size)
-            goes = told_here | told_here[like]
-            np.add.at(edge, begin[goes], 1)
-            np.add.at(edge, begin[goes] + size[goes], -1)
-
-    doc, key, begin, count = _runs_of(ids, data, at, settled_who, depth, anchor)
-    mark(doc, key, begin, count - 1 + depth, settled)
-    doc, w, begin = _windows_of(ids, data, at, window_who, open_runs, depth, anchor)
-    mark(doc, w, begin, np.full(len(w), depth), windows)
-    gone = np.cumsum(edge[:-1]) > 0
     out: dict[str, list] = {k: [] for k in ("id", "n_bytes", "spans", "kept")}
-    for i, doc_id in enumerate(ids.tolist()):
-        mine, text = gone[at[i] : at[i + 1]], data[at[i] : at[i + 1]]
-        flips = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0)) if mine.any() else np.zeros(0, np.int64)
-        out["id"].append(None if doc_id == _LAST else doc_id)
-        out["n_bytes"].append(len(text))
-        out["spans"].append([{"start": a, "end": b} for a, b in flips.reshape(-1, 2).tolist()])
-        out["kept"].append(text[~mine].tobytes() if len(flips) else text.tobytes())
+    for ids, data, at in _parts(texts):
+        edge = np.zeros(len(data) + 1, np.int32)
+
+        def mark(doc: np.ndarray, key: np.ndarray, begin: np.ndarray, size: np.ndarray, ties: np.ndarray) -> None:
+            """Strings that were told at their place, or whose like in the same document was, go."""
+            if len(doc) and len(ties):
+                told_here = _has(ties, _tied(ids[doc], spots(key, begin - at[doc])))  # noqa: B023
+                like = _same_as_first(_tied(doc, key), data, begin, size)  # noqa: B023
+                goes = told_here | told_here[like]
+                np.add.at(edge, begin[goes], 1)  # noqa: B023
+                np.add.at(edge, begin[goes] + size[goes], -1)  # noqa: B023
+
+        doc, key, begin, count = _runs_of(ids, data, at, settled_who, depth, anchor)
+        mark(doc, key, begin, count - 1 + depth, settled)
+        doc, w, begin = _windows_of(ids, data, at, window_who, open_runs, depth, anchor)
+        mark(doc, w, begin, np.full(len(w), depth), windows)
+        gone = np.cumsum(edge[:-1]) > 0
+        for i, doc_id in enumerate(ids.tolist()):
+            mine, text = gone[at[i] : at[i + 1]], data[at[i] : at[i + 1]]
+            flips = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0)) if mine.any() else np.zeros(0, np.int64)
+            out["id"].append(None if doc_id == _LAST else doc_id)
+            out["n_bytes"].append(len(text))
+            out["spans"].append([{"start": a, "end": b} for a, b in flips.reshape(-1, 2).tolist()])
+            out["kept"].append(text[~mine].tobytes() if len(flips) else text.tobytes())
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     types = {"id": pa.int64(), "n_bytes": pa.int64(), "spans": span, "kept": pa.binary()}
     return pa.table({k: pa.array(v, types[k]) for k, v in out.items()})
