@@ -7,10 +7,11 @@ most-significant-digit passes is a fingerprint of a byte block:
   ``anchor`` bytes. Only one suffix of each run of windows is dealt: the one that starts at the window's
   least fingerprint, which equal windows share. A group of one document is done.
 * pass 2 sorts within a group by the next digit, the bytes that the run's windows cover. Equal groups are
-  runs that seem repeated. A group whose digits differ goes on.
+  repeated runs: each holder but the first document learns that all of the run's windows are repeated.
+  A group whose digits differ goes on.
 * pass 3 sorts the windows of those runs at full depth.
-* the last digit is the bytes themselves: what seems repeated is shown by its documents and sorted by them, so
-  equal groups are exactly the repeated windows, and no fingerprint alone takes a byte away.
+
+Groups are told by 64 bits and confirmed by 40 more of another fingerprint; those within a task by the bytes.
 
 Every task first settles what repeats among its own rows, so a passage that a third of all documents share
 is dealt once a batch. An anchor with many different runs in a batch, a common phrase, is not dealt by itself:
@@ -41,16 +42,22 @@ PART = 1 << 20
 #: the cluster's number of partitions.
 PLACE_BYTES = 4 << 20
 _LAST = np.iinfo(np.int64).max  # stands for a null id, after all others
-_ANCHORS, _SETTLED, _OPEN, _WINDOWS, _COMMON, _CHECK, _BYTES, _WINDOW_CHECK = range(8)
+_ANCHORS, _SETTLED, _OPEN, _WINDOWS, _COMMON = range(5)
 #: Different runs of one anchor in a batch from which on they are dealt by the run and not by the anchor.
 MOST_RUNS = 16
 #: Stands for a run in the place of a common anchor, to tell that there are others.
 _MARK = U64((1 << 40) - 1)
 
 
+#: The other fingerprint: of another multiplier and other numbers for the bytes.
+_MULT2 = 0xC2B2AE3D27D4EB4F
+_INV2 = pow(_MULT2, -1, 1 << 64)
+_BYTES2 = np.random.default_rng(77003).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+
+
 @functools.cache
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return vt._powers(vt._MULT, n), vt._powers(vt._INV, n)
+def _tables(n: int) -> tuple[np.ndarray, ...]:
+    return vt._powers(vt._MULT, n), vt._powers(vt._INV, n), vt._powers(_MULT2, n), vt._powers(_INV2, n)
 
 
 def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -67,15 +74,17 @@ class Chunk:
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, anchor: int):
         self.depth, n = depth, len(data)
-        power, self.inverse = _tables(SEGMENT + 4 * depth + 64 if n <= SEGMENT + 4 * depth else n + 1)
+        power, self.inverse, power2, self.inverse2 = _tables(SEGMENT + 4 * depth + 64 if n <= SEGMENT + 4 * depth else n + 1)
         windows = n - depth + 1
         self.piece = self.begin = self.end = np.zeros(0, np.int64)
-        self.h = self.c = np.zeros(0, U64)
+        self.h = self.c = self.e = np.zeros(0, U64)
         if windows < 1:
             return
         with np.errstate(over="ignore"):
             self.sums = np.zeros(n + 1, U64)
             np.cumsum(vt._BYTES[data] * power[:n], out=self.sums[1:])
+            self.sums2 = np.zeros(n + 1, U64)
+            np.cumsum(_BYTES2[data] * power2[:n], out=self.sums2[1:])
             v = vt.mix((self.sums[anchor:] - self.sums[:-anchor]) * self.inverse[: n - anchor + 1])
             m = sliding_min(v, depth - anchor + 1)
             cut = np.zeros(windows + 1, bool)
@@ -90,16 +99,39 @@ class Chunk:
             self.h = m[self.begin] >> U64(8)
             self.c = np.minimum(_MARK - U64(1), vt.mix((self.sums[self.end - 1 + depth] - self.sums[self.begin]) * self.inverse[self.begin] + (self.end - self.begin).astype(U64)) >> U64(24))
 
+            self.e = self.others(self.begin, self.end - 1 + depth)
+
     def window_hashes(self, at: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return vt.mix((self.sums[at + self.depth] - self.sums[at]) * self.inverse[at])
 
+    def others(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The other fingerprint of the strings between, 40 bits of it."""
+        with np.errstate(over="ignore"):
+            return vt.mix((self.sums2[end] - self.sums2[begin]) * self.inverse2[begin] + (end - begin).astype(U64)) >> U64(24)
+
 
 def run_key(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return vt.mix((h << U64(8)) ^ (c * U64(0xD6E8FEB86659FD93)))
 
 
+def told_as(key: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """One number for both fingerprints: what a document is told."""
+    with np.errstate(over="ignore"):
+        return vt.mix(key + vt.mix(other + U64(0x632BE59BD9B4E019)))
+
+
+def _confirmed(key: np.ndarray, other: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_settle by both fingerprints: (first entries, entries of other ids). Those that only seem equal are first entries too."""
+    first, again, of = _settle(key, ids)
+    same = other[again] == other[first[of]]
+    if same.all():
+        return first, again
+    rest = again[~same]
+    return np.concatenate([first, rest[_settle(told_as(key[rest], other[rest]), ids[rest])[0]]]), np.concatenate([again[same], rest[_settle(told_as(key[rest], other[rest]), ids[rest])[1]]])
+
+
 def _tied(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """One number for a document and a key."""
     with np.errstate(over="ignore"):
@@ -209,63 +241,6 @@ def _slices(upto: np.ndarray, most: int):
         i = j
 
 
-def spots(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One number for a key and its place in a document: what repeats is told by place, so that a key alone marks nothing."""
-    with np.errstate(over="ignore"):
-        return vt.mix(keys + vt.mix(at.astype(np.int64).view(U64) + U64(0x632BE59BD9B4E019)))
-
-
-def _same_as_first(group: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each string the first of its group that it equals byte for byte, or else itself."""
-    _, first, back = np.unique(group, return_index=True, return_inverse=True)
-    first = first[back]
-    out = np.arange(len(group))
-    like = np.flatnonzero((first != out) & (size == size[first]))
-    like = like[same_bytes(data, begin[like], begin[first[like]], size[like])]
-    out[like] = first[like]
-    return out
-
-
-def _pack_bytes(ids: np.ndarray, keys: np.ndarray, own: np.ndarray, sizes: np.ndarray, flat: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([struct.pack("<I", len(ids)), ids.astype("<i8").tobytes(), keys.astype("<u8").tobytes(), own.astype("<u8").tobytes(), sizes.astype("<u4").tobytes(), flat]))
-
-
-def _unpack_bytes(block: bytes) -> tuple[np.ndarray, ...]:
-    raw = zstandard.ZstdDecompressor().decompress(block)
-    (n,) = struct.unpack_from("<I", raw)
-    ids, keys, own = np.frombuffer(raw, "<i8", n, 4), np.frombuffer(raw, "<u8", n, 4 + 8 * n), np.frombuffer(raw, "<u8", n, 4 + 16 * n)
-    return ids, keys, own, np.frombuffer(raw, "<u4", n, 4 + 24 * n).astype(np.int64), np.frombuffer(raw, np.uint8, offset=4 + 28 * n)
-
-
-def _show(place: np.ndarray, ids: np.ndarray, keys: np.ndarray, own: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray):
-    """Rows of the bytes data[begin : begin + size] of each entry (id, key, spot), by place."""
-    order = np.argsort(place, kind="stable")
-    cut = np.flatnonzero(np.concatenate(([True], place[order][1:] != place[order][:-1], [True]))) if len(order) else [0]
-    for a, b in zip(cut[:-1], cut[1:]):
-        mine = order[a:b]
-        where, of = _spread(begin[mine], begin[mine] + size[mine])
-        yield _BYTES, int(place[mine[0]]), _pack_bytes(ids[mine], keys[mine], own[mine], size[mine], data[where].tobytes())
-
-
-def _equal_bytes(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, spots) of the entries whose bytes another entry of their key has, of a smaller id."""
-    ids, keys, own, sizes, flat = (np.concatenate(x) for x in zip(*map(_unpack_bytes, blocks)))
-    begin = np.cumsum(sizes) - sizes
-    first, again, of = _settle(keys, ids)
-    with_ = first[of]
-    good = sizes[again] == sizes[with_]
-    good[good] = same_bytes(flat, begin[again[good]], begin[with_[good]], sizes[again[good]])
-    found = again[good]
-    if not good.all():  # keys that stand for several strings: told apart one by one
-        odd = np.flatnonzero(np.isin(keys, keys[again[~good]]))
-        least: dict[tuple[int, bytes], int] = {}
-        text = {i: (int(keys[i]), flat[begin[i] : begin[i] + sizes[i]].tobytes()) for i in odd.tolist()}
-        for i, t in text.items():
-            least[t] = min(least.get(t, _LAST), int(ids[i]))
-        found = np.concatenate([found[~np.isin(found, odd)], np.array([i for i, t in text.items() if ids[i] > least[t]], np.int64)])
-    return ids[found], own[found]
-
-
 def _homes(ids: np.ndarray, n: int) -> np.ndarray:
     return (vt.mix(ids.view(U64)) % U64(n)).astype(np.int64)
 
@@ -275,10 +250,10 @@ def _scan(batches, n: int, depth: int, anchor: int, most_runs: int):
     for batch in batches:
         ids = np.array(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
         data, at = vt.column_bytes(batch.column(1))
-        parts = [(doc, c.h, c.c, c.begin + base, c.end - c.begin - 1 + depth) for c, doc, base in _chunks(data, at, depth, anchor)]
+        parts = [(doc, c.h, c.c, c.e, c.begin + base, c.end - c.begin - 1 + depth) for c, doc, base in _chunks(data, at, depth, anchor)]
         if not parts:
             continue
-        doc, h, c, begin, size = (np.concatenate(x) for x in zip(*parts))
+        doc, h, c, e, begin, size = (np.concatenate(x) for x in zip(*parts))
         own = ids[doc]
         key = run_key(h, c)
         first, again, of = _settle(key, own)
@@ -288,12 +263,13 @@ def _scan(batches, n: int, depth: int, anchor: int, most_runs: int):
         _, back, times = np.unique(h[first], return_inverse=True, return_counts=True)
         common = first[(times > most_runs)[back]]
         first = first[~(times > most_runs)[back]]
-        rows = list(_deal(_COMMON, (key[common] % U64(n)).astype(np.int64), own[common], [(h[common], 7), (c[common], 5)]))
+        rows = list(_deal(_COMMON, (key[common] % U64(n)).astype(np.int64), own[common], [(h[common], 7), (c[common], 5), (e[common], 5)]))
         _, once = np.unique(h[common], return_index=True)
         marks = common[once]
-        ids_, h_, c_ = np.concatenate([own[first], own[marks]]), np.concatenate([h[first], h[marks]]), np.concatenate([c[first], np.full(len(marks), _MARK)])
-        rows += _deal(_ANCHORS, (h_ % U64(n)).astype(np.int64), ids_, [(h_, 7), (c_, 5)])
-        rows += _deal(_SETTLED, _homes(own[again], n), own[again], [(spots(key[again], begin[again] - at[doc[again]]), 8)])
+        ids_, h_, c_, e_ = np.concatenate([own[first], own[marks]]), np.concatenate([h[first], h[marks]]), np.concatenate([c[first], np.full(len(marks), _MARK)]), np.concatenate([e[first], np.zeros(len(marks), U64)])
+        rows += _deal(_ANCHORS, (h_ % U64(n)).astype(np.int64), ids_, [(h_, 7), (c_, 5), (e_, 5)])
+        tied = _unique_pairs(own[again], told_as(key[again], e[again]))
+        rows += _deal(_SETTLED, _homes(tied[0], n), tied[0], [(tied[1], 8)])
         if rows:
             yield _batch(rows)
 
@@ -311,23 +287,22 @@ def _order_runs(key, table: pa.Table, n: int) -> pa.Table:
     kind, place = key[0].as_py(), key[1].as_py()
     if kind == _SETTLED:
         return table
-    parts = [_unpack(b.as_py(), [7, 5]) for b in table.column("block")]
-    ids, h, c = (np.concatenate(x) for x in zip(*parts))
+    parts = [_unpack(b.as_py(), [7, 5, 5]) for b in table.column("block")]
+    ids, h, c, e = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(h)
     s = h[order]
     many = np.full(len(s), kind == _COMMON)
     many[1:] |= s[1:] == s[:-1]
     many[:-1] |= s[1:] == s[:-1]
-    ids, h, c = ids[order][many], s[many], c[order][many]
+    ids, h, c, e = ids[order][many], s[many], c[order][many], e[order][many]
     rows: list = []
     if len(ids):
         runs = run_key(h, c)
-        first, again, of = _settle(runs, ids)
-        real = c[again] != _MARK
-        seen = np.concatenate([again[real], first[np.unique(of[real])]])
-        seem = _unique_pairs(ids[seen], runs[seen])
-        rows += _deal(_CHECK, _homes(seem[0], n), seem[0], [(seem[1], 8)])
-        h, ids, runs, mark = h[first], ids[first], runs[first], c[first] == _MARK
+        first, again = _confirmed(runs, e, ids)
+        again = again[c[again] != _MARK]
+        settled = _unique_pairs(ids[again], told_as(runs[again], e[again]))
+        rows += _deal(_SETTLED, _homes(settled[0], n), settled[0], [(settled[1], 8)])
+        h, ids, runs, mark = h[first], ids[first], told_as(runs[first], e[first]), c[first] == _MARK
         order = np.argsort(h)
         h, ids, runs, mark = h[order], ids[order], runs[order], mark[order]
         cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
@@ -339,24 +314,14 @@ def _order_runs(key, table: pa.Table, n: int) -> pa.Table:
 
 
 def _order_windows(key, table: pa.Table, n: int) -> pa.Table:
-    """Pass 3 of one place: windows at full depth; and the runs that were shown, by their bytes."""
-    kind = key[0].as_py()
-    if kind == _WINDOWS:
+    """Pass 3 of one place: windows at full depth."""
+    if key[0].as_py() == _WINDOWS:
         return table
-    if kind == _BYTES:
-        return _order_bytes(key, table, n, _SETTLED)
-    parts = [_unpack(b.as_py(), [8]) for b in table.column("block")]
-    ids, w = (np.concatenate(x) for x in zip(*parts))
-    first, again, of = _settle(w, ids)
-    seen = np.concatenate([again, first[np.unique(of)]])
-    pair = _unique_pairs(ids[seen], w[seen])
-    return pa.Table.from_batches([_batch(list(_deal(_WINDOW_CHECK, _homes(pair[0], n), pair[0], [(pair[1], 8)])))])
-
-
-def _order_bytes(key, table: pa.Table, n: int, kind: int) -> pa.Table:
-    """The last digit of one place: entries by their bytes."""
-    found = _equal_bytes([b.as_py() for b in table.column("block")])
-    return pa.Table.from_batches([_batch(list(_deal(kind, _homes(found[0], n), found[0], [(found[1], 8)])))])
+    parts = [_unpack(b.as_py(), [8, 5]) for b in table.column("block")]
+    ids, w, e = (np.concatenate(x) for x in zip(*parts))
+    _, again = _confirmed(w, e, ids)
+    pair = _unique_pairs(ids[again], told_as(w[again], e[again]))
+    return pa.Table.from_batches([_batch(list(_deal(_WINDOWS, _homes(pair[0], n), pair[0], [(pair[1], 8)])))])
 
 
 def _pack_texts(batches, n: int):
@@ -416,27 +381,6 @@ def _home(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(data), np.concatenate([*(a[:-1] + s for a, s in zip(at, starts)), starts[-1:]])
 
 
-def _runs_of(ids: np.ndarray, data: np.ndarray, at: np.ndarray, who: np.ndarray, depth: int, anchor: int):
-    """(document, key, place in data, windows) of the runs of some documents."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    if len(who):
-        for chunk, doc, base in _chunks(data, at, depth, anchor, np.isin(ids, who)):
-            found.append((doc, run_key(chunk.h, chunk.c), chunk.begin + base, chunk.end - chunk.begin))
-    return tuple(np.concatenate(x) for x in zip(*found))
-
-
-def _windows_of(ids: np.ndarray, data: np.ndarray, at: np.ndarray, who: np.ndarray, ties: np.ndarray, depth: int, anchor: int):
-    """(document, hash, place in data) of the windows of the open runs of some documents."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64))]
-    if len(who):
-        for chunk, doc, base in _chunks(data, at, depth, anchor, np.isin(ids, who)):
-            own = _has(ties, _tied(ids[doc], run_key(chunk.h, chunk.c)))
-            where, of = _spread(chunk.begin[own], chunk.end[own])
-            if len(where):
-                found.append((doc[own][of], chunk.window_hashes(where), where + base))
-    return tuple(np.concatenate(x) for x in zip(*found))
-
-
 def _parts(texts: pa.Table):
     """A home's documents in parts of about PART bytes: ids, bytes, offsets."""
     ids, data, at = _home(texts)
@@ -445,66 +389,48 @@ def _parts(texts: pa.Table):
 
 
 def _open_windows(texts: pa.Table, told: pa.Table, n: int, depth: int, anchor: int) -> pa.Table:
-    """The windows of a home's open runs, for pass 3, and the bytes of its runs that seem repeated."""
-    open_who, open_ties = _told(told, _OPEN)
-    check_who, check_ties = _told(told, _CHECK)
-    rows: list = []
-    for ids, data, at in _parts(texts) if len(open_who) or len(check_who) else ():
-        doc, key, begin, windows = _runs_of(ids, data, at, check_who, depth, anchor)
-        own = _has(check_ties, _tied(ids[doc], key))
-        doc, key, begin, size = doc[own], key[own], begin[own], windows[own] - 1 + depth
-        once = np.unique(_same_as_first(_tied(doc, key), data, begin, size))
-        doc, key, begin, size = doc[once], key[once], begin[once], size[once]
-        rows += _show((key % U64(n)).astype(np.int64), ids[doc], key, spots(key, begin - at[doc]), data, begin, size)
-
-        doc, w, begin = _windows_of(ids, data, at, open_who, open_ties, depth, anchor)
-        once = np.unique(_same_as_first(_tied(doc, w), data, begin, np.full(len(w), depth)))
-        doc, w, begin = doc[once], w[once], begin[once]
-        first, again, of = _settle(w, ids[doc])
-        good = same_bytes(data, begin[again], begin[first[of]], np.full(len(again), depth))
-        first, again = np.concatenate([first, again[~good]]), again[good]
-        rows += _deal(_ANCHORS, (w[first] % U64(n)).astype(np.int64), ids[doc[first]], [(w[first], 8)])
-        rows += _deal(_WINDOWS, _homes(ids[doc[again]], n), ids[doc[again]], [(spots(w[again], begin[again] - at[doc[again]]), 8)])
-    return pa.Table.from_batches([_batch(rows)])
-
-
-def _show_windows(texts: pa.Table, told: pa.Table, n: int, depth: int, anchor: int) -> pa.Table:
-    """The bytes of a home's windows that seem repeated."""
-    who, ties = _told(told, _WINDOW_CHECK)
-    _, open_ties = _told(told, _OPEN)
+    """The windows of a home's open runs, for pass 3; what repeats among a part's own windows is settled by the bytes."""
+    who, ties = _told(told, _OPEN)
     rows: list = []
     for ids, data, at in _parts(texts) if len(who) else ():
-        doc, w, begin = _windows_of(ids, data, at, who, open_ties, depth, anchor)
-        own = _has(ties, _tied(ids[doc], w))
-        doc, w, begin = doc[own], w[own], begin[own]
-        once = np.unique(_same_as_first(_tied(doc, w), data, begin, np.full(len(w), depth)))
-        doc, w, begin = doc[once], w[once], begin[once]
-        rows += _show((w % U64(n)).astype(np.int64), ids[doc], w, spots(w, begin - at[doc]), data, begin, np.full(len(w), depth))
+        found = []
+        for chunk, doc, base in _chunks(data, at, depth, anchor, np.isin(ids, who)):
+            own = _has(ties, _tied(ids[doc], told_as(run_key(chunk.h, chunk.c), chunk.e)))
+            where, of = _spread(chunk.begin[own], chunk.end[own])
+            if len(where):
+                w, e, d = chunk.window_hashes(where), chunk.others(where, where + depth), ids[doc[own]][of]
+                _, once = np.unique(_tied(d, told_as(w, e)), return_index=True)
+                found.append((d[once], w[once], e[once], where[once] + base))
+        if found:
+            d, w, e, begin = (np.concatenate(x) for x in zip(*found))
+            first, again, of = _settle(w, d)
+            good = same_bytes(data, begin[again], begin[first[of]], np.full(len(again), depth))
+            first, again = np.concatenate([first, again[~good]]), again[good]
+            rows += _deal(_ANCHORS, (w[first] % U64(n)).astype(np.int64), d[first], [(w[first], 8), (e[first], 5)])
+            rows += _deal(_WINDOWS, _homes(d[again], n), d[again], [(told_as(w[again], e[again]), 8)])
     return pa.Table.from_batches([_batch(rows)])
 
 
 def _remove(texts: pa.Table, told: pa.Table, depth: int, anchor: int) -> pa.Table:
     """A home's documents with their repeated bytes taken out."""
-    settled_who, settled = _told(told, _SETTLED)
-    window_who, windows = _told(told, _WINDOWS)
+    _, settled = _told(told, _SETTLED)
     _, open_runs = _told(told, _OPEN)
+    _, windows = _told(told, _WINDOWS)
     out: dict[str, list] = {k: [] for k in ("id", "n_bytes", "spans", "kept")}
     for ids, data, at in _parts(texts):
         edge = np.zeros(len(data) + 1, np.int32)
-
-        def mark(doc: np.ndarray, key: np.ndarray, begin: np.ndarray, size: np.ndarray, ties: np.ndarray) -> None:
-            """Strings that were told at their place, or whose like in the same document was, go."""
-            if len(doc) and len(ties):
-                told_here = _has(ties, _tied(ids[doc], spots(key, begin - at[doc])))  # noqa: B023
-                like = _same_as_first(_tied(doc, key), data, begin, size)  # noqa: B023
-                goes = told_here | told_here[like]
-                np.add.at(edge, begin[goes], 1)  # noqa: B023
-                np.add.at(edge, begin[goes] + size[goes], -1)  # noqa: B023
-
-        doc, key, begin, count = _runs_of(ids, data, at, settled_who, depth, anchor)
-        mark(doc, key, begin, count - 1 + depth, settled)
-        doc, w, begin = _windows_of(ids, data, at, window_who, open_runs, depth, anchor)
-        mark(doc, w, begin, np.full(len(w), depth), windows)
+        if len(settled) or len(windows):
+            for chunk, doc, base in _chunks(data, at, depth, anchor):
+                tie = _tied(ids[doc], told_as(run_key(chunk.h, chunk.c), chunk.e))
+                all_of = _has(settled, tie)
+                np.add.at(edge, chunk.begin[all_of] + base, 1)
+                np.add.at(edge, chunk.end[all_of] - 1 + depth + base, -1)
+                some = _has(open_runs, tie) & ~all_of
+                if some.any() and len(windows):
+                    where, of = _spread(chunk.begin[some], chunk.end[some])
+                    where = where[_has(windows, _tied(ids[doc[some]][of], told_as(chunk.window_hashes(where), chunk.others(where, where + depth))))]
+                    np.add.at(edge, where + base, 1)
+                    np.add.at(edge, where + depth + base, -1)
         gone = np.cumsum(edge[:-1]) > 0
         for i, doc_id in enumerate(ids.tolist()):
             mine, text = gone[at[i] : at[i + 1]], data[at[i] : at[i + 1]]
@@ -536,13 +462,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = 50, id_col
     dealt = rows.mapInArrow(lambda batches: _scan(batches, n, depth, anchor, most_runs), _ROWS)
     told = cluster.materialize(spark, dealt.groupBy("kind", "place").applyInArrow(lambda key, t: _order_runs(key, t, n), _ROWS), "runs")
     homes = rows.mapInArrow(lambda batches: _pack_texts(batches, n), _ROWS)
-    # One plan from here on: the texts' exchange is reused by all three that read it.
-    at_home = lambda other, f, schema=_ROWS: homes.groupBy("place").cogroup(other.groupBy("place")).applyInArrow(f, schema)
-    opened = at_home(told.where(F.col("kind").isin(_OPEN, _CHECK)), lambda a, b: _open_windows(a, b, n, depth, anchor))
-    second = opened.groupBy("kind", "place").applyInArrow(lambda key, t: _order_windows(key, t, n), _ROWS)
-    known = told.where(F.col("kind").isin(_OPEN, _SETTLED)).unionByName(second)
-    shown = at_home(known, lambda a, b: _show_windows(a, b, n, depth, anchor))
-    third = shown.groupBy("kind", "place").applyInArrow(lambda key, t: _order_bytes(key, t, n, _WINDOWS), _ROWS)
+    opened = homes.groupBy("place").cogroup(told.where(F.col("kind") == _OPEN).groupBy("place")).applyInArrow(lambda a, b: _open_windows(a, b, n, depth, anchor), _ROWS)
+    windows = opened.groupBy("kind", "place").applyInArrow(lambda key, t: _order_windows(key, t, n), _ROWS)
     schema = "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-    out = at_home(known.unionByName(third), lambda a, b: _remove(a, b, depth, anchor), schema)
+    out = homes.groupBy("place").cogroup(told.unionByName(windows).groupBy("place")).applyInArrow(lambda a, b: _remove(a, b, depth, anchor), schema)
     return out.select(F.col("id").alias(id_col), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans", "kept")
