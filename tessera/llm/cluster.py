@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import io
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +63,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def handing_back(batches: Iterator) -> Iterator:
+    """The batches; once they are through, what they took goes back to the system, as Spark keeps a worker for later tasks."""
+    try:
+        yield from batches
+    finally:
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library keeps it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def fresh_names(*names: str) -> list[str]:
     """Column names that no table has."""
     return [f"_{x}_{uuid.uuid4().hex}" for x in names]

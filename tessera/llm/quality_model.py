@@ -209,7 +209,7 @@ class Spread:
                         tie = vt.mix(ids[at].view(np.uint64)).view(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), v, np.int32)), pa.array(np.full(len(at), label)), pa.array(sure), pa.array(tie), pa.array(ids[at])], ["view", "label", "sure", "tie", "id"])
 
-        found = self.features.select("id", "text", "meta").mapInArrow(run, "view int, label double, sure double, tie long, id long")
+        found = self.features.select("id", "text", "meta").mapInArrow(lambda b: cluster.handing_back(run(b)), "view int, label double, sure double, tie long, id long")
         found = cluster.materialize(self.spark, found.groupBy("view", "label", "id").agg(F.max("sure").alias("sure"), F.max("tie").alias("tie")), "surest")
         # The hash is compared as a number without sign, as numpy does.
         order = (F.desc("sure"), F.col("tie") < 0, "tie", "id")
@@ -294,7 +294,7 @@ def featurize(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
             for i, j, text, meta, count in _featured(batch):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(count), vt.binary_rows(text.ravel(), np.arange(j - i + 1) * N_TEXT), vt.binary_rows(meta.ravel(), np.arange(j - i + 1) * N_META)], ["id", "n_words", "text", "meta"])
 
-    return cluster.materialize(spark, _columns(docs, id_col, text_col).mapInArrow(run, "id long, n_words long, text binary, meta binary"), "features")
+    return cluster.materialize(spark, _columns(docs, id_col, text_col).mapInArrow(lambda b: cluster.handing_back(run(b)), "id long, n_words long, text binary, meta binary"), "features")
 
 
 def fit(spark: SparkSession, features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: Column | None = None) -> Model:
@@ -327,7 +327,7 @@ def score(spark: SparkSession, features: DataFrame, model: Model, id_col: str =
             both = np.where(count > 0, both, 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (np.round(a, 6), np.round(b, 6), np.round(both, 6), (both >= threshold) & (count > 0)))], ["id", "p_text", "p_meta", "score", "kept"])
 
-    return features.select("id", "n_words", "text", "meta").mapInArrow(run, "id long, p_text double, p_meta double, score double, kept boolean").withColumnRenamed("id", id_col)
+    return features.select("id", "n_words", "text", "meta").mapInArrow(lambda b: cluster.handing_back(run(b)), "id long, p_text double, p_meta double, score double, kept boolean").withColumnRenamed("id", id_col)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,4 +349,4 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: s
                 keep[i:j] = (model.score(text, meta)[2] >= THRESHOLD) & (count > 0)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda b: cluster.handing_back(run(b)), docs.schema)

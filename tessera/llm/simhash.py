@@ -460,7 +460,7 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     """
     cluster.ship(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = cluster.materialize(spark, rows.mapInArrow(lambda b: _signatures(b, k, similarity), "id long, size long, s1 long, s2 long, print binary, heads binary"), "prints")
+    signed = cluster.materialize(spark, rows.mapInArrow(lambda b: cluster.handing_back(_signatures(b, k, similarity)), "id long, size long, s1 long, s2 long, print binary, heads binary"), "prints")
     nodes = signed.where((F.col("size") > 0) & (F.col("id") != _LAST)).groupBy("s1", "s2").agg(F.min("id").alias("node"), F.max("print").alias("print"), F.max("heads").alias("heads"))
     nodes = cluster.materialize(spark, nodes, "nodes")
     links = _links(spark, rows, nodes, similarity, k)
@@ -510,27 +510,27 @@ def _links(spark: SparkSession, rows: DataFrame, nodes: DataFrame, similarity: f
     count = tables(width, similarity)
     most, cap = loose_distance(similarity), CAP
     own, fields = nodes.select(F.col("node").alias("id"), "print", "heads"), "table int, key long, id long, print binary"
-    counted = own.mapInArrow(lambda b: _keys(b, width, count), "table int, key long").groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"))
+    counted = own.mapInArrow(lambda b: cluster.handing_back(_keys(b, width, count)), "table int, key long").groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"))
     over = cluster.materialize(spark, counted.where(F.col("n") > cap), "over")
     if over.isEmpty():
-        buckets, large = own.mapInArrow(lambda b: _deal(b, width, count, None, False), fields), None
+        buckets, large = own.mapInArrow(lambda b: cluster.handing_back(_deal(b, width, count, None, False)), fields), None
     else:
         # The bitmap has some false hits; their buckets are known by the join and stay as they are.
         words = over.select("table", "key").mapInArrow(_bitmap, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         bitmap = np.zeros(SLOTS // 64, U64)
         bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U64)
-        marked = own.mapInArrow(lambda b: _deal(b, width, count, bitmap, True), fields).join(over, ["table", "key"], "left")
+        marked = own.mapInArrow(lambda b: cluster.handing_back(_deal(b, width, count, bitmap, True)), fields).join(over, ["table", "key"], "left")
         marked = cluster.materialize(spark, marked, "crowded")
-        fits = own.mapInArrow(lambda b: _deal(b, width, count, bitmap, False), fields).unionByName(marked.where("n is null").drop("n"))
+        fits = own.mapInArrow(lambda b: cluster.handing_back(_deal(b, width, count, bitmap, False)), fields).unionByName(marked.where("n is null").drop("n"))
         large = marked.where("n is not null")
-        again = large.select("table", "key", "id", "print", "n").mapInArrow(lambda b: _deal_again(b, width, cap), "table int, key long, id long, print binary")
+        again = large.select("table", "key", "id", "print", "n").mapInArrow(lambda b: cluster.handing_back(_deal_again(b, width, cap)), "table int, key long, id long, print binary")
         dealt_again, whole = _dealt_out(spark, again)
         buckets = fits.unionByName(dealt_again)
         # Samples of shared-shingle buckets are as many as MISS asks for: only what is cut at random has to meet.
         large = large.where("table >= 0").drop("n")
         large = large if whole is None else large.unionByName(whole)
     parts = cluster.shuffle_partitions(spark)
-    found = buckets.repartition(parts, "table", "key").sortWithinPartitions("table", "key").mapInArrow(lambda b: _link(b, most), "a long, b long, distance long, forest boolean")
+    found = buckets.repartition(parts, "table", "key").sortWithinPartitions("table", "key").mapInArrow(lambda b: cluster.handing_back(_link(b, most)), "a long, b long, distance long, forest boolean")
     found = cluster.materialize(spark, found.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max("forest").alias("forest")), "found")
 
     def fetched(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -544,7 +544,7 @@ def _links(spark: SparkSession, rows: DataFrame, nodes: DataFrame, similarity: f
 
     def verified(links: DataFrame) -> DataFrame:
         left, right = texts.withColumnsRenamed({"id": "a", "text": "t1"}), texts.withColumnsRenamed({"id": "b", "text": "t2"})
-        return links.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "t1", "t2").mapInArrow(lambda b: _verify(b, k, similarity), "a long, b long")
+        return links.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "t1", "t2").mapInArrow(lambda b: cluster.handing_back(_verify(b, k, similarity)), "a long, b long")
 
     either = found.select(F.col("a").alias("id"), "a", "b", "distance").unionByName(found.select(F.col("b").alias("id"), "a", "b", "distance"))
     closest = either.groupBy("id").agg(F.min(F.struct("distance", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
@@ -617,7 +617,7 @@ def _displaced(spark: SparkSession, texts: DataFrame, forests: DataFrame, good:
         return good.limit(0)
     clumps = components(spark, apart).select(F.col("node").alias("class"), F.col("label").alias("clump"))
     held = texts.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("label", "id")).join(clumps, "class")
-    sets = held.select("clump", "class", "id", "text").mapInArrow(lambda batches: _sets(batches, k), "clump long, class long, id long, size long, shingles binary")
+    sets = held.select("clump", "class", "id", "text").mapInArrow(lambda batches: cluster.handing_back(_sets(batches, k)), "clump long, class long, id long, size long, shingles binary")
     sets = cluster.materialize(spark, sets, "sets")
     met = _block_pairs(spark, sets, ["clump"], ["size", "shingles"], similarity)
     return cluster.materialize(spark, met.groupBy("pair").applyInArrow(lambda t: _compare(t, similarity), "a long, b long"), "displaced")

@@ -459,9 +459,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = 50, id_col
     n = min(1 << 24, total // PLACE_BYTES + 1)
 
     most_runs = MOST_RUNS
-    dealt = rows.mapInArrow(lambda batches: _scan(batches, n, depth, anchor, most_runs), _ROWS)
+    dealt = rows.mapInArrow(lambda batches: cluster.handing_back(_scan(batches, n, depth, anchor, most_runs)), _ROWS)
     told = cluster.materialize(spark, dealt.groupBy("kind", "place").applyInArrow(lambda key, t: _order_runs(key, t, n), _ROWS), "runs")
-    homes = rows.mapInArrow(lambda batches: _pack_texts(batches, n), _ROWS)
+    homes = rows.mapInArrow(lambda batches: cluster.handing_back(_pack_texts(batches, n)), _ROWS)
     opened = homes.groupBy("place").cogroup(told.where(F.col("kind") == _OPEN).groupBy("place")).applyInArrow(lambda a, b: _open_windows(a, b, n, depth, anchor), _ROWS)
     windows = opened.groupBy("kind", "place").applyInArrow(lambda key, t: _order_windows(key, t, n), _ROWS)
     schema = "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
