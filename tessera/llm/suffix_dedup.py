@@ -11,7 +11,7 @@ most-significant-digit passes is a fingerprint of a byte block:
   A group whose digits differ goes on.
 * pass 3 sorts the windows of those runs at full depth.
 
-Groups are told by 64 bits and confirmed by 40 more of another fingerprint; those within a task by the bytes.
+Groups are told by 64 bits and confirmed by 32 more of another fingerprint; those within a task by the bytes.
 
 Every task first settles what repeats among its own rows, so a passage that a third of all documents share
 is dealt once a batch. An anchor with many different runs in a batch, a common phrase, is not dealt by itself:
@@ -46,7 +46,7 @@ _ANCHORS, _SETTLED, _OPEN, _WINDOWS, _COMMON = range(5)
 #: Different runs of one anchor in a batch from which on they are dealt by the run and not by the anchor.
 MOST_RUNS = 16
 #: Stands for a run in the place of a common anchor, to tell that there are others.
-_MARK = U64((1 << 40) - 1)
+_MARK = U64((1 << 32) - 1)
 
 
 #: The other fingerprint: of another multiplier and other numbers for the bytes.
@@ -97,7 +97,7 @@ class Chunk:
             own = begin + depth <= ends[piece]
             self.piece, self.begin, self.end = piece[own], begin[own], end[own]
             self.h = m[self.begin] >> U64(8)
-            self.c = np.minimum(_MARK - U64(1), vt.mix((self.sums[self.end - 1 + depth] - self.sums[self.begin]) * self.inverse[self.begin] + (self.end - self.begin).astype(U64)) >> U64(24))
+            self.c = np.minimum(_MARK - U64(1), vt.mix((self.sums[self.end - 1 + depth] - self.sums[self.begin]) * self.inverse[self.begin] + (self.end - self.begin).astype(U64)) >> U64(32))
 
             self.e = self.others(self.begin, self.end - 1 + depth)
 
@@ -106,9 +106,9 @@ class Chunk:
             return vt.mix((self.sums[at + self.depth] - self.sums[at]) * self.inverse[at])
 
     def others(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The other fingerprint of the strings between, 40 bits of it."""
+        """The other fingerprint of the strings between, 32 bits of it."""
         with np.errstate(over="ignore"):
-            return vt.mix((self.sums2[end] - self.sums2[begin]) * self.inverse2[begin] + (end - begin).astype(U64)) >> U64(24)
+            return vt.mix((self.sums2[end] - self.sums2[begin]) * self.inverse2[begin] + (end - begin).astype(U64)) >> U64(32)
 
 
 def run_key(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -263,11 +263,11 @@ def _scan(batches, n: int, depth: int, anchor: int, most_runs: int):
         _, back, times = np.unique(h[first], return_inverse=True, return_counts=True)
         common = first[(times > most_runs)[back]]
         first = first[~(times > most_runs)[back]]
-        rows = list(_deal(_COMMON, (key[common] % U64(n)).astype(np.int64), own[common], [(h[common], 7), (c[common], 5), (e[common], 5)]))
+        rows = list(_deal(_COMMON, (key[common] % U64(n)).astype(np.int64), own[common], [(h[common], 7), (c[common], 4), (e[common], 4)]))
         _, once = np.unique(h[common], return_index=True)
         marks = common[once]
         ids_, h_, c_, e_ = np.concatenate([own[first], own[marks]]), np.concatenate([h[first], h[marks]]), np.concatenate([c[first], np.full(len(marks), _MARK)]), np.concatenate([e[first], np.zeros(len(marks), U64)])
-        rows += _deal(_ANCHORS, (h_ % U64(n)).astype(np.int64), ids_, [(h_, 7), (c_, 5), (e_, 5)])
+        rows += _deal(_ANCHORS, (h_ % U64(n)).astype(np.int64), ids_, [(h_, 7), (c_, 4), (e_, 4)])
         tied = _unique_pairs(own[again], told_as(key[again], e[again]))
         rows += _deal(_SETTLED, _homes(tied[0], n), tied[0], [(tied[1], 8)])
         if rows:
@@ -287,7 +287,7 @@ def _order_runs(key, table: pa.Table, n: int) -> pa.Table:
     kind, place = key[0].as_py(), key[1].as_py()
     if kind == _SETTLED:
         return table
-    parts = [_unpack(b.as_py(), [7, 5, 5]) for b in table.column("block")]
+    parts = [_unpack(b.as_py(), [7, 4, 4]) for b in table.column("block")]
     ids, h, c, e = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(h)
     s = h[order]
@@ -317,7 +317,7 @@ def _order_windows(key, table: pa.Table, n: int) -> pa.Table:
     """Pass 3 of one place: windows at full depth."""
     if key[0].as_py() == _WINDOWS:
         return table
-    parts = [_unpack(b.as_py(), [8, 5]) for b in table.column("block")]
+    parts = [_unpack(b.as_py(), [8, 4]) for b in table.column("block")]
     ids, w, e = (np.concatenate(x) for x in zip(*parts))
     _, again = _confirmed(w, e, ids)
     pair = _unique_pairs(ids[again], told_as(w[again], e[again]))
@@ -389,10 +389,10 @@ def _parts(texts: pa.Table):
 
 
 def _open_windows(texts: pa.Table, told: pa.Table, n: int, depth: int, anchor: int) -> pa.Table:
-    """The windows of a home's open runs, for pass 3; what repeats among a part's own windows is settled by the bytes."""
+    """The windows of a home's open runs, for pass 3; what repeats among its own windows is settled by the bytes."""
     who, ties = _told(told, _OPEN)
     rows: list = []
-    for ids, data, at in _parts(texts) if len(who) else ():
+    for ids, data, at in [_home(texts)] if len(who) else ():
         found = []
         for chunk, doc, base in _chunks(data, at, depth, anchor, np.isin(ids, who)):
             own = _has(ties, _tied(ids[doc], told_as(run_key(chunk.h, chunk.c), chunk.e)))
@@ -406,7 +406,7 @@ def _open_windows(texts: pa.Table, told: pa.Table, n: int, depth: int, anchor: i
             first, again, of = _settle(w, d)
             good = same_bytes(data, begin[again], begin[first[of]], np.full(len(again), depth))
             first, again = np.concatenate([first, again[~good]]), again[good]
-            rows += _deal(_ANCHORS, (w[first] % U64(n)).astype(np.int64), d[first], [(w[first], 8), (e[first], 5)])
+            rows += _deal(_ANCHORS, (w[first] % U64(n)).astype(np.int64), d[first], [(w[first], 8), (e[first], 4)])
             rows += _deal(_WINDOWS, _homes(d[again], n), d[again], [(told_as(w[again], e[again]), 8)])
     return pa.Table.from_batches([_batch(rows)])
 
@@ -461,6 +461,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = 50, id_col
     most_runs = MOST_RUNS
     dealt = rows.mapInArrow(lambda batches: cluster.handing_back(_scan(batches, n, depth, anchor, most_runs)), _ROWS)
     told = cluster.materialize(spark, dealt.groupBy("kind", "place").applyInArrow(lambda key, t: _order_runs(key, t, n), _ROWS), "runs")
+    del dealt
+    cluster.drop_shuffles(spark)
     homes = rows.mapInArrow(lambda batches: cluster.handing_back(_pack_texts(batches, n)), _ROWS)
     opened = homes.groupBy("place").cogroup(told.where(F.col("kind") == _OPEN).groupBy("place")).applyInArrow(lambda a, b: _open_windows(a, b, n, depth, anchor), _ROWS)
     windows = opened.groupBy("kind", "place").applyInArrow(lambda key, t: _order_windows(key, t, n), _ROWS)
