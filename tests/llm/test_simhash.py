@@ -188,6 +188,19 @@ def test_components(spark):
     assert got == label
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_few_links_need_few_jobs(spark, monkeypatch, most):
+    """A path, whose components took many rounds of jobs: up to MOST_LINKS links one task tells them, more go by stars."""
+    monkeypatch.setattr(simhash, "MOST_LINKS", most, raising=False)
+    links = spark.createDataFrame([(i, i + 1) for i in range(80)] + [(100 + i % 7, 200 + i) for i in range(50)], "a long, b long")
+    begun = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    out = simhash.components(spark, links)
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - begun
+    assert {r.node: r.label for r in out.collect()} == {i: 0 for i in range(81)} | {100 + i: 100 + i for i in range(7)} | {200 + i: 100 + i % 7 for i in range(50)}
+    assert jobs <= 8 or not most
+    assert simhash.components(spark, links.limit(0)).count() == 0
+
+
 def test_shingle_sets():
     rng = random.Random(7)
     texts = [brute.prose(rng, rng.randrange(0, 40)) for _ in range(80)] + ["", "a", "a b c d", " x  y ", "same same same same same same same"]
