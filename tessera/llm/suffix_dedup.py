@@ -9,13 +9,14 @@ most-significant-digit passes is a fingerprint of a byte block:
 * pass 2 sorts within a group by the next digit, the bytes that the run's windows cover. Equal groups are
   repeated runs: each holder but the first document learns that all of the run's windows are repeated.
   A group whose digits differ goes on.
-* pass 3 sorts the windows of those runs at full depth.
+* pass 3 sorts the windows of those runs at full depth. The runs of an anchor come whole to its place, as their
+  bytes are a fraction of their windows' fingerprints, and there equal windows are told by the bytes.
 
 Groups are told by 64 bits and confirmed by 32 more of another fingerprint; those within a task by the bytes.
 
 Every task first settles what repeats among its own rows, so a passage that a third of all documents share
 is dealt once a batch. An anchor with many different runs in a batch, a common phrase, is not dealt by itself:
-its runs are spread over all places and go on to pass 3, and a mark at the anchor's place sends others after. Rows move as packed blocks. Texts move compressed, to a home of their own, twice.
+its runs are spread over all places and go on to pass 3 window by window, and a mark at the anchor's place sends others after. Rows move as packed blocks. Texts move compressed, to a home of their own, twice.
 """
 
 from __future__ import annotations
@@ -42,9 +43,11 @@ PART = 1 << 20
 #: the cluster's number of partitions.
 PLACE_BYTES = 4 << 20
 _LAST = np.iinfo(np.int64).max  # stands for a null id, after all others
-_ANCHORS, _SETTLED, _OPEN, _WINDOWS, _COMMON = range(5)
+_ANCHORS, _SETTLED, _OPEN, _WINDOWS, _COMMON, _SHOWN = range(6)
 #: Different runs of one anchor in a batch from which on they are dealt by the run and not by the anchor.
 MOST_RUNS = 16
+#: Different runs of one anchor up to which they come to its place whole, and not window by window.
+MOST_SHOWN = 1 << 14
 #: Stands for a run in the place of a common anchor, to tell that there are others.
 _MARK = U64((1 << 32) - 1)
 
@@ -72,7 +75,7 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 class Chunk:
     """Pieces of documents end to end: the runs of windows that share their least anchor."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, anchor: int):
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, anchor: int, runs: bool = True):
         self.depth, n = depth, len(data)
         power, self.inverse, power2, self.inverse2 = _tables(SEGMENT + 4 * depth + 64 if n <= SEGMENT + 4 * depth else n + 1)
         windows = n - depth + 1
@@ -85,6 +88,8 @@ class Chunk:
             np.cumsum(vt._BYTES[data] * power[:n], out=self.sums[1:])
             self.sums2 = np.zeros(n + 1, U64)
             np.cumsum(_BYTES2[data] * power2[:n], out=self.sums2[1:])
+            if not runs:
+                return
             v = vt.mix((self.sums[anchor:] - self.sums[:-anchor]) * self.inverse[: n - anchor + 1])
             m = sliding_min(v, depth - anchor + 1)
             cut = np.zeros(windows + 1, bool)
@@ -122,6 +127,11 @@ def told_as(key: np.ndarray, other: np.ndarray) -> np.ndarray:
         return vt.mix(key + vt.mix(other + U64(0x632BE59BD9B4E019)))
 
 
+def _open_as(told: np.ndarray, shown: np.ndarray | bool) -> np.ndarray:
+    """What a document is told of an open run: the last bit has whether it is to be shown whole."""
+    return (told & ~U64(1)) | np.asarray(shown).astype(U64)
+
+
 def _confirmed(key: np.ndarray, other: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """_settle by both fingerprints: (first entries, entries of other ids). Those that only seem equal are first entries too."""
     first, again, of = _settle(key, ids)
@@ -308,8 +318,10 @@ def _order_runs(key, table: pa.Table, n: int) -> pa.Table:
         cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         size = np.diff(np.append(cut, len(h)))
         mixed = np.minimum.reduceat(ids, cut) != np.maximum.reduceat(ids, cut)
-        mixed = np.repeat(mixed | np.logical_or.reduceat(mark, cut) | (kind == _COMMON), size) & ~mark
-        rows += _deal(_OPEN, _homes(ids[mixed], n), ids[mixed], [(runs[mixed], 8)])
+        marked = np.logical_or.reduceat(mark, cut) | (kind == _COMMON)
+        shown = np.repeat(~marked & (size <= MOST_SHOWN), size)
+        mixed = np.repeat(mixed | marked, size) & ~mark
+        rows += _deal(_OPEN, _homes(ids[mixed], n), ids[mixed], [(_open_as(runs, shown)[mixed], 8)])
     return pa.Table.from_batches([_batch(rows)])
 
 
@@ -317,6 +329,8 @@ def _order_windows(key, table: pa.Table, n: int) -> pa.Table:
     """Pass 3 of one place: windows at full depth."""
     if key[0].as_py() == _WINDOWS:
         return table
+    if key[0].as_py() == _SHOWN:
+        return _order_shown(table, n)
     parts = [_unpack(b.as_py(), [8, 4]) for b in table.column("block")]
     ids, w, e = (np.concatenate(x) for x in zip(*parts))
     _, again = _confirmed(w, e, ids)
@@ -324,6 +338,44 @@ def _order_windows(key, table: pa.Table, n: int) -> pa.Table:
     return pa.Table.from_batches([_batch(list(_deal(_WINDOWS, _homes(pair[0], n), pair[0], [(pair[1], 8)])))])
 
 
+def _show(place: np.ndarray, ids: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray, depth: int):
+    """Rows (kind, place, block) of the bytes of each place's runs, by ascending id."""
+    press = zstandard.ZstdCompressor(level=1)
+    order = np.lexsort((ids, place))
+    place, ids, begin, size = place[order], ids[order], begin[order], size[order]
+    cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True]))) if len(place) else np.zeros(0, np.int64)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        head = _pack(ids[a:b], [(size[a:b], 4)])
+        yield _SHOWN, int(place[a]), press.compress(struct.pack("<II", depth, len(head)) + head + data[_spread(begin[a:b], begin[a:b] + size[a:b])[0]].tobytes())
+
+
+def _order_shown(table: pa.Table, n: int) -> pa.Table:
+    """Pass 3 of one place where runs came whole: their windows, equal ones told by the bytes."""
+    parts, depth = [], 0
+    for block in table.column("block"):
+        raw = zstandard.ZstdDecompressor().decompress(block.as_py())
+        depth, head = struct.unpack_from("<II", raw)
+        parts.append((*_unpack(raw[8 : 8 + head], [4]), np.frombuffer(raw, np.uint8, offset=8 + head)))
+    ids, size, data = (np.concatenate(x) for x in zip(*parts))
+    at = np.concatenate(([0], np.cumsum(size.astype(np.int64))))
+    found = []
+    for i, j in vt.chunks(at, SEGMENT):
+        chunk = Chunk(data[at[i] : at[j]], at[:0], at[:0], depth, depth, runs=False)
+        where, of = _spread(at[i:j] - at[i], at[i + 1 : j + 1] - at[i] - depth + 1)
+        found.append((chunk.window_hashes(where), chunk.others(where, where + depth), ids[i + of], where + at[i]))
+    w, e, d, begin = (np.concatenate(x) for x in zip(*found))
+    again, left = [], np.arange(len(w))
+    while len(left):
+        first, other, of = _settle(w[left], d[left])
+        first, other = left[first], left[other]
+        good = same_bytes(data, begin[other], begin[first[of]], np.full(len(other), depth))
+        again.append(other[good])
+        left = other[~good]  # of another string
+    again = np.concatenate(again)
+    pair = _unique_pairs(d[again], told_as(w[again], e[again]))
+    return pa.Table.from_batches([_batch(list(_deal(_WINDOWS, _homes(pair[0], n), pair[0], [(pair[1], 8)])))])
+
+
 def _pack_texts(batches, n: int):
     """Texts by home, each home's of a batch as one compressed block."""
     press = zstandard.ZstdCompressor(level=1)
@@ -389,18 +441,26 @@ def _parts(texts: pa.Table):
 
 
 def _open_windows(texts: pa.Table, told: pa.Table, n: int, depth: int, anchor: int) -> pa.Table:
-    """The windows of a home's open runs, for pass 3; what repeats among its own windows is settled by the bytes."""
+    """A home's open runs for pass 3: those to be shown, and the windows of the others, of which what repeats here is settled by the bytes."""
     who, ties = _told(told, _OPEN)
     rows: list = []
     for ids, data, at in [_home(texts)] if len(who) else ():
-        found = []
+        found, shown = [], []
         for chunk, doc, base in _chunks(data, at, depth, anchor, np.isin(ids, who)):
-            own = _has(ties, _tied(ids[doc], told_as(run_key(chunk.h, chunk.c), chunk.e)))
+            run = told_as(run_key(chunk.h, chunk.c), chunk.e)
+            tie = _tied(ids[doc], _open_as(run, True))
+            mine = np.flatnonzero(_has(ties, tie))
+            shown.append((chunk.h[mine], ids[doc[mine]], chunk.begin[mine] + base, chunk.end[mine] - chunk.begin[mine] - 1 + depth, tie[mine]))
+            own = _has(ties, _tied(ids[doc], _open_as(run, False)))
             where, of = _spread(chunk.begin[own], chunk.end[own])
             if len(where):
                 w, e, d = chunk.window_hashes(where), chunk.others(where, where + depth), ids[doc[own]][of]
                 _, once = np.unique(_tied(d, told_as(w, e)), return_index=True)
                 found.append((d[once], w[once], e[once], where[once] + base))
+        if shown:
+            h, d, begin, size, tie = (np.concatenate(x) for x in zip(*shown))
+            _, once = np.unique(tie, return_index=True)
+            rows += _show((h[once] % U64(n)).astype(np.int64), d[once], data, begin[once], size[once], depth)
         if found:
             d, w, e, begin = (np.concatenate(x) for x in zip(*found))
             first, again, of = _settle(w, d)
@@ -421,11 +481,11 @@ def _remove(texts: pa.Table, told: pa.Table, depth: int, anchor: int) -> pa.Tabl
         edge = np.zeros(len(data) + 1, np.int32)
         if len(settled) or len(windows):
             for chunk, doc, base in _chunks(data, at, depth, anchor):
-                tie = _tied(ids[doc], told_as(run_key(chunk.h, chunk.c), chunk.e))
-                all_of = _has(settled, tie)
+                run = told_as(run_key(chunk.h, chunk.c), chunk.e)
+                all_of = _has(settled, _tied(ids[doc], run))
                 np.add.at(edge, chunk.begin[all_of] + base, 1)
                 np.add.at(edge, chunk.end[all_of] - 1 + depth + base, -1)
-                some = _has(open_runs, tie) & ~all_of
+                some = (_has(open_runs, _tied(ids[doc], _open_as(run, False))) | _has(open_runs, _tied(ids[doc], _open_as(run, True)))) & ~all_of
                 if some.any() and len(windows):
                     where, of = _spread(chunk.begin[some], chunk.end[some])
                     where = where[_has(windows, _tied(ids[doc[some]][of], told_as(chunk.window_hashes(where), chunk.others(where, where + depth))))]

@@ -128,6 +128,21 @@ def test_equal_fingerprints_of_unlike_bytes_remove_nothing(monkeypatch, bits):
         assert got == want and sum(map(len, want.values())) > 1000
 
 
+@pytest.mark.parametrize("most", [1 << 14, 5, 0])
+def test_open_runs_come_whole_and_move_little(monkeypatch, most):
+    """Runs of one anchor and different contexts: whole, window by window, or both; whole they move a fraction of it."""
+    sd, rng, moved = suffix_dedup, random.Random(11), []
+    phrases = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(48)) for _ in range(40)]
+    docs = [(i, " ".join(brute.prose(rng, 6) + rng.choice(phrases) + rng.choice("xyz") for _ in range(8)) + "q" * rng.randrange(120)) for i in range(60)]
+    monkeypatch.setattr(sd, "MOST_SHOWN", most, raising=False)
+    opened = sd._open_windows
+    monkeypatch.setattr(sd, "_open_windows", lambda *a: moved.append(opened(*a)) or moved[-1])
+    want = gone(docs)
+    assert {i: {q for a, b in spans for q in range(a, b)} for i, spans in in_one_process(docs, n=2, batch=2).items()} == want and sum(map(len, want.values())) > 1000
+    size = sum(len(b) for t in moved for b in t.column("block").to_pylist())
+    assert most < 100 or size < sum(len(t.encode()) for _, t in docs)
+
+
 def test_same_bytes():
     data = np.frombuffer(b"abcabdabcabc", np.uint8)
     a, b, size = (np.array(x) for x in ([0, 0, 0, 3, 6], [3, 6, 3, 9, 9], [3, 6, 2, 0, 3]))
