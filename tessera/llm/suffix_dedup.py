@@ -173,18 +173,21 @@ def _from_bytes(b: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+_STEPS = ("u1", "<u2", "<u4", "<u8")
+
+
 def _pack(ids: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> bytes:
     """A block of rows with ascending ids: the ids as steps, then each column's low bytes."""
     steps = np.diff(ids.view(U64) if len(ids) else ids)
     most = int(steps.max()) if len(steps) else 0
     kind = next(k for k, top in enumerate((1 << 8, 1 << 16, 1 << 32, 1 << 64)) if most < top)
-    return b"".join([struct.pack("<IBq", len(ids), kind, int(ids[0]) if len(ids) else 0), steps.astype(("u1", "<u2", "<u4", "<u8")[kind]).tobytes(), *(_low_bytes(x, n).tobytes() for x, n in columns)])
+    return b"".join([struct.pack("<IBq", len(ids), kind, int(ids[0]) if len(ids) else 0), steps.astype(_STEPS[kind]).tobytes(), *(_low_bytes(x, n).tobytes() for x, n in columns)])
 
 
 def _unpack(block: bytes, widths: list[int]) -> list[np.ndarray]:
     n, kind, first = struct.unpack_from("<IBq", block)
     size = 1 << kind
-    steps = np.frombuffer(block, ("u1", "<u2", "<u4", "<u8")[kind], max(0, n - 1), 13).astype(U64)
+    steps = np.frombuffer(block, _STEPS[kind], max(0, n - 1), 13).astype(U64)
     ids = np.empty(n, U64)
     ids[:1] = np.array([first], np.int64).view(U64)
     with np.errstate(over="ignore"):
@@ -203,10 +206,15 @@ def _deal(kind: int, place: np.ndarray, ids: np.ndarray, columns: list[tuple[np.
     order = np.argsort(ids, kind="stable")
     order = order[np.argsort(place[order].astype(np.uint16 if place.max() < 1 << 16 else np.uint32), kind="stable")]
     place, ids = place[order], ids[order]
-    columns = [(x[order], n) for x, n in columns]
     cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        yield kind, int(place[a]), _pack(ids[a:b], [(x[a:b], n) for x, n in columns])
+    # As _pack, all blocks at once: their number grows with the square of the places.
+    steps = np.append(np.diff(ids.view(U64)), U64(0))
+    steps[cut[1:] - 1] = 0
+    wide = np.searchsorted(np.array([1 << 8, 1 << 16, 1 << 32], U64), np.maximum.reduceat(steps, cut[:-1]), "right")
+    as_bytes = {k: steps.astype(_STEPS[k]).tobytes() for k in np.unique(wide).tolist()}
+    held = [(_low_bytes(x[order], n).tobytes(), n) for x, n in columns]
+    for a, b, k, at, first in zip(cut[:-1].tolist(), cut[1:].tolist(), wide.tolist(), place[cut[:-1]].tolist(), ids[cut[:-1]].tolist()):
+        yield kind, at, b"".join([struct.pack("<IBq", b - a, k, first), as_bytes[k][a << k : b - 1 << k], *[x[a * n : b * n] for x, n in held]])
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -351,9 +359,9 @@ def _show(place: np.ndarray, ids: np.ndarray, data: np.ndarray, begin: np.ndarra
 
 def _order_shown(table: pa.Table, n: int) -> pa.Table:
     """Pass 3 of one place where runs came whole: their windows, equal ones told by the bytes."""
-    parts, depth = [], 0
+    parts, depth, press = [], 0, zstandard.ZstdDecompressor()
     for block in table.column("block"):
-        raw = zstandard.ZstdDecompressor().decompress(block.as_py())
+        raw = press.decompress(block.as_py())
         depth, head = struct.unpack_from("<II", raw)
         parts.append((*_unpack(raw[8 : 8 + head], [4]), np.frombuffer(raw, np.uint8, offset=8 + head)))
     ids, size, data = (np.concatenate(x) for x in zip(*parts))

@@ -143,6 +143,25 @@ def test_open_runs_come_whole_and_move_little(monkeypatch, most):
     assert most < 100 or size < sum(len(t.encode()) for _, t in docs)
 
 
+def test_blocks_are_packed_together(monkeypatch):
+    """A block for each place, as packed one by one, but without a call for each: there are as many as places squared."""
+    sd, rng = suffix_dedup, np.random.default_rng(4)
+    calls = []
+    pack = sd._pack
+    for top in (1 << 7, 1 << 14, 1 << 30, 1 << 62):
+        ids = np.concatenate([rng.integers(-top, top, 300), [sd._LAST, 5, 5]])
+        place, x, y = rng.integers(0, 40, 303), rng.integers(0, 1 << 56, 303).astype(np.uint64), rng.integers(0, 1 << 32, 303).astype(np.uint64)
+        monkeypatch.setattr(sd, "_pack", lambda *a: calls.append(0) or pack(*a))
+        got = list(sd._deal(3, place, ids, [(x, 7), (y, 4)]))
+        want = []
+        for p in np.unique(place).tolist():
+            own = np.flatnonzero(place == p)
+            own = own[np.argsort(ids[own], kind="stable")]
+            want.append((3, p, pack(ids[own], [(x[own], 7), (y[own], 4)])))
+        assert got == want
+    assert not calls
+
+
 def test_same_bytes():
     data = np.frombuffer(b"abcabdabcabc", np.uint8)
     a, b, size = (np.array(x) for x in ([0, 0, 0, 3, 6], [3, 6, 3, 9, 9], [3, 6, 2, 0, 3]))
