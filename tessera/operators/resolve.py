@@ -5,10 +5,11 @@ Fuzzy pairs come from blocks of a key, never from all pairs of a label; semantic
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import cosine
 from tessera.operators import graph
 from tessera.profile import Profile
 from tessera.sources.storage import materialize
@@ -76,24 +77,118 @@ def fuzzy(spark: SparkSession, entities: DataFrame, threshold: float) -> DataFra
     return reps.join(least, ["label", "key"]).join(labels, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("canonical"))
 
 
-def semantic_pairs(entities: DataFrame, vectors: DataFrame, threshold: float, blocks: int = 16) -> DataFrame:
-    """a, b, score of names of one label whose vectors (id, embedding) have such a cosine: every pair, compared exactly.
+#: Rows of a block at most, and the numbers in it.
+BLOCK_ROWS, BLOCK_NUMBERS = 16384, 1 << 22
+
 
-    Rows of a label fall into blocks by a hash of the id, and each pair of blocks meets under a key of its own,
-    so a row moves once a block and a label's pairs are spread over tasks.
+def _comparison(threshold: float, forest: bool) -> Callable:
+    """A group's rows (label, id, embedding, side) to what reaches the threshold: every pair and its cosine, or a forest that connects the same rows.
+
+    A matrix product proposes what may reach it; sums in the order of the vectors' places, as functions.text.cosine
+    has them, decide. Rows of side 0 meet those of side 1, or each other where a block meets itself.
+    All is nested, so that executors need no package.
     """
-    held = entities.select("id", "label").distinct().join(vectors.select("id", "embedding"), "id")
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        table = pa.Table.from_batches(list(batches))
+        label, ids = table.column("label")[0].as_py(), table.column("id").to_pylist()
+        held = table.column("embedding").combine_chunks()
+        n = len(ids)
+        rows = np.asarray(held.flatten(), dtype=np.float64).reshape(n, -1)
+        place = np.argsort(np.asarray(table.column("side")), kind="stable")
+        rows, names = rows[place], np.array(ids, dtype=object)[place]
+        cut = int((np.asarray(table.column("side")) == 0).sum())
+        own = table.column("x")[0] == table.column("y")[0]
+        columns = np.ascontiguousarray(rows.T)
+
+        def dot(i, j):
+            out = np.zeros(len(i))
+            for c in columns:
+                out += c[i] * c[j]
+            return out
+
+        every = np.arange(n)
+        with np.errstate(all="ignore"):
+            square = dot(every, every)
+            size = np.sqrt(square)
+            unit = rows / size[:, None]
+            unit[~((square > 1e-200) & (square < 1e200))] = np.nan  # not told by a product: decided below
+        root = every.copy()
+
+        def unite(i, j):
+            while len(i):
+                a, b = root[i], root[j]
+                apart = a != b
+                i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+                np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+                while (root[root] != root).any():
+                    root[:] = root[root]
+
+        def batch(a, b, score):
+            fields = [pa.array([label] * len(a), pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(score, pa.float64())]
+            return pa.RecordBatch.from_arrays(fields, ["label", "a", "b", "score"])
+
+        with np.errstate(all="ignore"):
+            for x in range(0, cut, 1024):
+                for y in range(x if own else cut, n, 2048):
+                    i, j = np.nonzero(~(unit[x : min(x + 1024, cut)] @ unit[y : y + 2048].T < threshold - 1e-9))
+                    i, j = i + x, j + y
+                    told = root[i] != root[j] if forest else names[i] != names[j]
+                    told &= i < j
+                    i, j = i[told], j[told]
+                    for k in range(0, len(i), 1 << 16):
+                        p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                        both = size[p] * size[q]
+                        score = dot(p, q) / both
+                        kept = (both != 0) & ~(score < threshold)
+                        if forest:
+                            unite(p[kept], q[kept])
+                        elif kept.any():
+                            yield batch(names[p[kept]], names[q[kept]], score[kept])
+        if forest:
+            k = np.nonzero(root != every)[0]
+            yield batch(names[k], names[root[k]], np.ones(len(k)))
+
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return run
+
+
+def _compared(entities: DataFrame, vectors: DataFrame, threshold: float, blocks: int | None, forest: bool) -> DataFrame:
+    """label, a, b, score by _comparison: rows of a label fall into blocks by a hash of the id, and each two blocks meet in a group of their own."""
+    number = F.col("embedding") if vectors.schema["embedding"].dataType.elementType.typeName() in ("float", "double") else F.col("embedding").cast("array<double>")
+    held = entities.select("id", F.col("label").cast("string").alias("label")).distinct().join(vectors.select("id", number.alias("embedding")), "id")
+    held = held.where(F.col("label").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull()))
+    held = materialize(entities.sparkSession, held.withColumn("dims", F.size("embedding")), "vectors")
+    if blocks is None:
+        # As few as hold a block in bounds: each row moves once a block.
+        most = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(1024), F.floor(F.lit(BLOCK_NUMBERS) / F.col("dims"))))
+        blocks = max(4, held.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.ceil(F.col("n") / most))).first()[0] or 1)
     mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    dealt = held.select("label", "id", "embedding", mine.alias("x"), F.explode(every).alias("y"))
-    other = held.select("label", F.col("id").alias("id2"), F.col("embedding").alias("embedding2"), mine.alias("y"), F.explode(every).alias("x"))
-    met = dealt.join(other, ["label", "x", "y"]).where("id < id2")
-    scored = met.select("label", F.col("id").alias("a"), F.col("id2").alias("b"), cosine(F.col("embedding"), F.col("embedding2")).alias("score"))
-    return scored.where(F.col("score") >= threshold).groupBy("label", "a", "b").agg(F.max("score").alias("score"))
+    met = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least(mine, k).alias("x"), F.greatest(mine, k).alias("y"), (mine > k).cast("int").alias("side")))
+    dealt = held.withColumn("m", F.explode(met)).select("label", "dims", "m.x", "m.y", "m.side", F.col("id").cast("string").alias("id"), "embedding")
+    # More parts than cores, whatever their bytes: the work is in the pairs.
+    parts = max(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2000, blocks * (blocks + 1) // 2))
+    return dealt.repartition(parts, "label", "dims", "x", "y").groupBy("label", "dims", "x", "y").applyInArrow(_comparison(threshold, forest), "label string, a string, b string, score double")
+
+
+def semantic_pairs(entities: DataFrame, vectors: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
+    """a, b, score of names of one label whose vectors (id, embedding) have such a cosine: every pair, compared exactly.
+
+    Blocks of a label's rows meet two by two as matrices, so the work is quadratic in a label's rows, spread over
+    tasks, each within the memory of two blocks.
+    """
+    found = _compared(entities, vectors, threshold, blocks, False)
+    return found.select("label", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").groupBy("label", "a", "b").agg(F.max("score").alias("score"))
 
 
 def semantic(spark: SparkSession, entities: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    labels = components(spark, semantic_pairs(entities, vectors, threshold).select("a", "b"))
+    """id, canonical over links of such vectors; of each two blocks' links a forest is enough."""
+    links = _compared(entities, vectors, threshold, None, True).where("a <> b").select("a", "b")
+    labels = components(spark, links)
     return entities.select("id").distinct().join(labels, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("canonical"))
 
 
