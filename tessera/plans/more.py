@@ -257,7 +257,7 @@ def clean_pages(spark, sf_dir):
 
 @query("paged_chunks", f"with {fx.STATUTES_SQL} select id, cast(least(5, char_start // 150 + 1) as integer) as page, path || ' (p. ' || least(5, char_start // 150 + 1) || ')' as path from chunks")
 def paged_chunks(spark, sf_dir):
-    chunks = r._acts(spark, sf_dir)
+    chunks = r._acts(spark, sf_dir, once=True)
     spans = chunks.select("doc_id").distinct().withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("char_start", (F.col("page") - 1) * 150)
     return segment.stamp_pages(chunks, spans).select("id", "page", "path")
 
