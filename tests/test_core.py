@@ -1,13 +1,14 @@
 """Goldens and edge cases of the operators, on small fixtures."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import profile as pf
 from tessera import providers
-from tessera.functions.text import cosine, find_all, stable_id
+from tessera.functions.text import cosine, find_all, stable_id, strip
 from tessera.operators import clean, cost, graph, index, resolve, retrieve, segment, validate, xref
 from tessera.sources import corpus, sinks
 
@@ -131,6 +132,63 @@ def paged(spark):
     return spark.createDataFrame([("d", i + 1, t) for i, t in enumerate(pages)], "doc_id string, page int, text string")
 
 
+def test_find_all_where_texts_hold_the_signs_that_part_matches(spark):
+    for text in ("a1b2", "a\x011\x02b2", "\x01\x0212\x01", "1\x02", "$1 \\2", "1", "12" * 20):
+        got = spark.createDataFrame([(text,)], "t string").select(find_all(F.col("t"), "([0-9])([a-z\x02])?", 2).alias("m")).first().m
+        assert [tuple(x) for x in got] == [(m.start(), m.end(), m[1], m[2] or "") for m in re.finditer("([0-9])([a-z\x02])?", text)]
+
+
+def test_white_space_goes_as_a_pattern_says(spark):
+    every = "".join(map(chr, (*range(1, 0xD800), *range(0xE000, 0x10000))))
+    df = spark.createDataFrame([(f"{c}x{c}",) for c in every], "t string")
+    assert df.where(strip(F.col("t")) != F.regexp_replace("t", r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")).count() == 0
+    # A trim is compiled with the rest of a row's work, a pattern is searched twice.
+    assert "regexp" not in df.select(strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_references_are_told_in_their_row_and_common_keys_by_broadcast(spark, monkeypatch):
+    law = lambda k: f"TITRE I - A\n\nArticle 1 - x\nvoir article 2 et article 2, modifie l'article 2, article {k}.\nArticle 2 - y\nsous réserve de l'article 1, article 1. Article 1\nArticle 2 - z\nvoir article 9{k}, article 2."
+    chunks = segment.segment(docs(spark, *((f"d{k}.txt", law(k)) for k in range(1, 8))), pf.STATUTES).localCheckpoint()
+    for scope in ("document", "corpus"):
+        want = xref.dedupe(xref.resolve(xref.scan(chunks, pf.STATUTES), xref.index(chunks, scope), scope))
+        for least in (1, 8, 10_000):
+            monkeypatch.setattr(xref, "COMMON_REFERENCES", least)
+            got = xref.cross_references(chunks, pf.STATUTES, scope)
+            assert got.columns == want.columns and got.count() == want.count() > 20
+            assert got.exceptAll(want).isEmpty()
+    monkeypatch.setattr(xref, "COMMON_REFERENCES", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan, n = _shuffles(xref.cross_references(chunks, pf.STATUTES, "document"))
+        assert n == 1 and "Join" not in plan
+        assert "BroadcastHashJoin" in _shuffles(xref.cross_references(chunks, pf.STATUTES))[0]
+        edges = graph.parser_edges(xref.cross_references(chunks, pf.STATUTES, "document"), chunks)
+        assert _shuffles(edges)[1] == 5  # the window's, two for each end, none for the edges
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_chunks_that_are_read_twice_are_made_once(spark):
+    from tessera.plans import registry
+
+    for name in ("paged_chunks", "lexical_graph"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "LIVRE" not in plan and "regexp" not in plan, name
+
+
+def test_statute_graph_moves_no_chunk_for_its_making(spark, monkeypatch):
+    from tessera.plans import registry
+
+    plans, real = {}, registry.materialize
+    monkeypatch.setattr(registry, "materialize", lambda s, df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or real(s, df, name))
+    registry.queries()["expand_statutes"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in plans["nodes"]
+
+
 def test_page_cleanup(spark):
     texts, spans = clean.clean_pages(paged(spark))
     text = texts.first().text
