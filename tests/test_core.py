@@ -250,6 +250,15 @@ def test_validation(spark):
     assert validate.provenance(none[1]).first().coverage == 1.0
 
 
+def test_edges_are_dealt_by_their_number(spark, monkeypatch):
+    nodes = spark.createDataFrame([(f"n{k}", [f"L{k % 3}"], {"name": "x"}) for k in range(30)], graph.NODES)
+    edges = spark.createDataFrame([(f"n{k % 30}", "R", f"n{k * k % 30}", {}) for k in range(100)], graph.EDGES)
+    monkeypatch.setattr(graph, "PART_ROWS", 5)
+    found = graph.triples(nodes, edges)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2 and ", 20\n" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(r.n for r in found.collect()) == 100
+
+
 def test_hubs_and_exemptions(spark):
     own = pf.with_limits(pf.HANDBOOK, max_degree=2, exempt=("fire",))
     names = ["Fire", "hub"] + [f"n{i}" for i in range(4)]
